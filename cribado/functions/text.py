@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cribado.functions.fixed import PLACEHOLDER, RESULT_PREFIX, SPACE_CHARS, SPACE_CLASS
+from cribado.functions.fixed import PLACEHOLDER, RESULT_PREFIX, SPACE_CHARS
 
 
 def render_prompt(template: str, text: Column) -> Column:
@@ -19,8 +19,8 @@ def strip(value: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Whitespace-separated tokens."""
-    return F.split(strip(text), f"[{SPACE_CLASS}]+")
+    """Whitespace-separated tokens. Same class as in `fixed`, in the form the JVM tests fastest."""
+    return F.split(strip(text), r"(?U)[\s\x1c-\x1f]+")
 
 
 def token_budget(text: Column, limit: int, keep: str = "first") -> Column:

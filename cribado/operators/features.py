@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.base import Transformer
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,15 +14,19 @@ from pyspark.sql import types as T
 from cribado.functions.fixed import SCORING_BATCH
 
 FEATURES = "features"
-NUM_FEATURES = 1 << 14
+NUM_FEATURES = 1 << 13
 
 
 def text_stages(text_col: str, num_features: int = NUM_FEATURES, min_doc_freq: int = 1) -> list:
-    """Hashed TF-IDF of the whole text: no external model, no Python, memory fixed by `num_features`."""
+    """Hashed TF-IDF of the whole text, scaled to unit length: no external model, no Python.
+
+    `num_features` fixes the memory of model and fit. Above 4096 the fit iterates over the data;
+    below, it solves a `num_features` squared system, which is quick only up to about 1024.
+    """
     words = RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"[^\p{L}\p{N}_]+")
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=num_features)
-    weights = IDF(inputCol="_counts", outputCol=FEATURES, minDocFreq=min_doc_freq)
-    return [words, counts, weights]
+    weights = IDF(inputCol="_counts", outputCol="_weights", minDocFreq=min_doc_freq)
+    return [words, counts, weights, Normalizer(inputCol="_weights", outputCol=FEATURES)]
 
 
 def vector_features(df: DataFrame, array_col: str) -> DataFrame:

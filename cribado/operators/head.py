@@ -22,7 +22,7 @@ class Candidate:
 
     reg_param: float = 0.0
     elastic_net: float = 0.0
-    max_iter: int = 100
+    max_iter: int = 30
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,7 @@ class Selection:
     leaderboard: list[dict]
 
 
-DEFAULT_GRID = (Candidate(0.01), Candidate(0.1), Candidate(1.0))
+DEFAULT_GRID = (Candidate(0.1), Candidate(1.0), Candidate(10.0))
 
 
 def head(candidate: Candidate, label_col: str = "label") -> LinearRegression:
@@ -44,6 +44,7 @@ def head(candidate: Candidate, label_col: str = "label") -> LinearRegression:
         regParam=candidate.reg_param,
         elasticNetParam=candidate.elastic_net,
         maxIter=candidate.max_iter,
+        tol=1e-4,
     )
 
 

@@ -77,6 +77,9 @@ def tag_counts(
 
     The combined group is added up from the counts of the datasets, so the tags themselves are
     read and shuffled once. A dataset that is also kept under a filtered name is left out of it.
+
+    Ids are whole numbers. Id and position are aggregated as one number: a hash aggregate can
+    keep a minimum of numbers, but for the minimum of a struct Spark would sort all tags first.
     """
     tags = explode_tags(
         normalized.select("dataset", _in_all(F.col(path_col)).alias("_in_all"), id_col, "domains", "use_cases"),
@@ -86,9 +89,11 @@ def tag_counts(
     )
     if drop_cut_tag:
         tags = tags.filter(F.col("tag") != CUT_TAG)
+    place = F.col(id_col).cast("decimal(20,0)") * F.lit(1 << 31) + F.col("pos")
     counts = tags.groupBy("dataset", "_in_all", "kind", "tag").agg(
-        F.count("*").alias("n"), F.min(F.struct("dataset", id_col, "pos")).alias("first_seen")
+        F.count("*").alias("n"), F.min(place).alias("_place")
     )
+    counts = counts.withColumn("first_seen", F.struct("dataset", "_place")).drop("_place")
     if not combined:
         return counts.drop("_in_all")
     if per_dataset:

@@ -13,14 +13,13 @@ from cribado.functions import text as text_functions
 from cribado.functions.scores import linear_score
 from cribado.operators import evaluation, labels, ratings, selection
 from cribado.operators.features import FEATURES, apply_stages, text_stages, vector_features
-from cribado.operators.generate import generate
 from cribado.operators.head import Candidate, fit_head, select_head
 from cribado.operators.scoring import quantize, score_documents
 from cribado.operators.shards import pending_shards
 from cribado.operators.split import TEST, TRAIN, stratified_split
 from cribado.plans import stand_ins
 from cribado.plans.curation import ask, curate, train_on_responses
-from cribado.session import fresh_path, materialize
+from cribado.session import fresh_path, spread
 from cribado.sources import tables
 from cribado.streaming.incremental import process_new_files
 
@@ -158,9 +157,9 @@ def _stored_ratings(spark, sf_dir) -> DataFrame:
 
 
 def score_corpus(spark, sf_dir):
-    chosen = train_on_responses(_stored_ratings(spark, sf_dir), "doc_id", text_stages("text"), [Candidate(0.1)])
+    chosen = train_on_responses(_stored_ratings(spark, sf_dir), "doc_id", text_stages("text"), [Candidate(1.0)])
     docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
-    return score_documents(chosen.model, docs).drop("text")
+    return score_documents(chosen.model, spread(docs)).drop("text")
 
 
 def incremental_score(spark, sf_dir):
@@ -264,7 +263,7 @@ def macro_metrics(spark, sf_dir):
 
 def text_features(spark, sf_dir):
     """TF-IDF of every document, folded to 64 dimensions to keep the listing readable."""
-    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    docs = spread(_documents(spark, sf_dir).select("doc_id", "text"))
     stages = text_stages("text", num_features=64)
     for index, stage in enumerate(stages):
         stages[index] = stage.fit(apply_stages(stages[:index], docs)) if hasattr(stage, "fit") else stage
@@ -301,6 +300,7 @@ def curate_corpus(spark, sf_dir):
         stand_ins.stub_judge,
         text_stages("text"),
         stand_ins.THRESHOLD,
+        grid=[Candidate(1.0), Candidate(10.0)],
     )
     return kept.select("doc_id", "source", "score", "int_score")
 

@@ -16,7 +16,7 @@ from cribado.operators.ratings import clean_ratings, parse_ratings, training_row
 from cribado.operators.scoring import score_documents
 from cribado.operators.selection import keep_by_score
 from cribado.operators.split import TEST, TRAIN, stratified_split
-from cribado.session import materialize
+from cribado.session import materialize, spread
 
 
 def ask(
@@ -32,7 +32,7 @@ def train_on_responses(
     responses: DataFrame, id_col: str, feature_stages: Sequence[Estimator], grid: Sequence[Candidate] = DEFAULT_GRID
 ) -> Selection:
     """Parse and clean stored ratings, split them by class and select a head."""
-    rows = materialize(stratified_split(training_rows(clean_ratings(parse_ratings(responses))), id_col))
+    rows = spread(materialize(stratified_split(training_rows(clean_ratings(parse_ratings(responses))), id_col)))
     train, test = (rows.filter(F.col("split") == name) for name in (TRAIN, TEST))
     return select_head(train, test, feature_stages, grid)
 
@@ -51,7 +51,7 @@ def curate(
     """Rate a sample, train a head on the ratings, score all documents, keep the good ones."""
     responses = ask(sample.select(id_col, text_col), text_col, template, factory)
     chosen = train_on_responses(responses, id_col, feature_stages, grid)
-    return keep_by_score(score_documents(chosen.model, docs), threshold)
+    return keep_by_score(score_documents(chosen.model, spread(docs)), threshold)
 
 
 def label_report(
