@@ -23,7 +23,12 @@ def confusion_counts(df: DataFrame, y_col: str = "y", pred_col: str = "pred", by
 
 
 def confusion_pivot(confusion: DataFrame) -> DataFrame:
-    """The counts as a matrix: a row per class, a column `pred_k` per prediction."""
+    """The counts as a matrix: a row per class, a column `pred_k` per prediction.
+
+    A class that is only ever predicted has a row of zeros.
+    """
+    zero_row = F.struct(F.col("pred").alias("y"), "pred", F.lit(0).cast("bigint").alias("n"))
+    confusion = confusion.select(F.inline(F.array(F.struct("y", "pred", "n"), zero_row)))
     cells = [
         F.coalesce(F.sum(F.when(F.col("pred") == k, F.col("n"))), F.lit(0)).alias(f"pred_{k}") for k in CLASSES
     ]

@@ -84,7 +84,8 @@ def select_head(
     }
     if len(metrics) < len(models):
         raise ValueError("the held-out split is empty")
-    best = max(range(len(models)), key=lambda index: (metrics[index].f1_macro, -index))
+    # Rounded, as the order in which class means are added up may change their last digit.
+    best = max(range(len(models)), key=lambda index: (round(metrics[index].f1_macro, 12), -index))
     leaderboard = [
         {
             "candidate": index,

@@ -54,6 +54,8 @@ def test_report_against_counting_by_hand(spark):
 def test_pivot(spark):
     rows = evaluation.confusion_pivot(confusion(spark, PAIRS)).collect()
     assert [tuple(r) for r in rows] == [(0, 1, 1, 0, 0, 0, 0), (1, 0, 1, 0, 0, 0, 0), (2, 0, 1, 2, 0, 0, 0), (3, 0, 0, 1, 0, 0, 0)]
+    rows = evaluation.confusion_pivot(confusion(spark, [(0, 2)])).collect()
+    assert [tuple(r) for r in rows] == [(0, 0, 0, 1, 0, 0, 0), (2, 0, 0, 0, 0, 0, 0)]
 
 
 def test_evaluator_rounds_and_clamps(spark):
