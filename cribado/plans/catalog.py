@@ -43,7 +43,7 @@ def read_documents(spark, sf_dir):
 
 def scan_with_provenance(spark, sf_dir):
     rows = tables.with_provenance(tables.read_shards(spark, sf_dir, pattern="documents.parquet"))
-    return rows.select("doc_id", "source", "file_name")
+    return rows.select("doc_id", "source", "file_name", "row_index")
 
 
 def resume_pending_shards(spark, sf_dir):

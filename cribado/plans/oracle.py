@@ -111,7 +111,7 @@ _PROMPT = f"replace({_TEMPLATE}, {_PLACEHOLDER}, text)"
 
 ORACLE: dict[str, str] = {
     "read_documents": "SELECT * FROM documents",
-    "scan_with_provenance": "SELECT doc_id, source, 'documents.parquet' AS file_name FROM documents",
+    "scan_with_provenance": "SELECT doc_id, source, 'documents.parquet' AS file_name, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM documents",
     "resume_pending_shards": """SELECT source, count(*) AS n_docs FROM documents
 WHERE source NOT IN (SELECT source FROM documents WHERE cast(regexp_extract(source, '[0-9]+') AS int) < 10)
 GROUP BY source""",

@@ -3,8 +3,10 @@
     spark.dataSource.register(ArrowShards)
     spark.read.format("arrow_ipc").load("/corpus/")
 
-Options: `path` (a file or a folder), `suffix` (default `.arrow`), `recursive` (default false),
-`columns` (comma-separated, default all), `split_bytes` (default 128 MiB).
+Options: `path` (a file or a folder; `load` also takes a list), `suffix` (default `.arrow`),
+`recursive` (default false), `columns` (comma-separated, default all), `split_bytes` (default
+128 MiB), `provenance` (default false: adds `shard_path` and the row's position `row_index`, which
+together identify a row of a corpus without ids).
 
 A shard larger than `split_bytes` is shared out among several tasks, each of which takes its
 share of the record batches, so one huge shard does not end up in one task. Local and mounted
@@ -13,36 +15,45 @@ files are memory-mapped: batches of other tasks are skipped without being read.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructType
 
 from cribado.functions.fixed import SHARD_SUFFIX
 
 FILE_MAGIC = b"ARROW1"
 ROWS_PER_SLICE = 10_000
+SHARD_PATH = "shard_path"
+ROW_INDEX = "row_index"
 
 
 class ShardPart(InputPartition):
     """Record batches `part`, `part + parts`, … of one shard."""
 
-    def __init__(self, path: str, part: int, parts: int):
+    def __init__(self, root: str, path: str, part: int, parts: int):
         super().__init__(path)
+        self.root = root
         self.path = path
         self.part = part
         self.parts = parts
 
 
 def _resolve(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
+    """File system and path within it."""
+    if "://" in path:
         return pafs.FileSystem.from_uri(path)
     return pafs.LocalFileSystem(), path
 
 
+def _true(value: str) -> bool:
+    return value.lower() == "true"
+
+
 def _open(filesystem: pafs.FileSystem, path: str) -> pa.NativeFile:
     if isinstance(filesystem, pafs.LocalFileSystem):
         return pa.memory_map(path)
@@ -55,15 +66,22 @@ def _is_file_format(source: pa.NativeFile) -> bool:
     return magic == FILE_MAGIC
 
 
-def _batches(source: pa.NativeFile, part: int, parts: int) -> Iterator[pa.RecordBatch]:
+def _batches(source: pa.NativeFile) -> Iterator[pa.RecordBatch]:
+    """All record batches; with a memory map, data nobody looks at is never read."""
     if _is_file_format(source):
         reader = pa.ipc.open_file(source)
-        for index in range(part, reader.num_record_batches, parts):
-            yield reader.get_batch(index)
+        yield from (reader.get_batch(index) for index in range(reader.num_record_batches))
     else:
-        for index, batch in enumerate(pa.ipc.open_stream(source)):
-            if index % parts == part:
-                yield batch
+        yield from pa.ipc.open_stream(source)
+
+
+def _share(source: pa.NativeFile, part: int, parts: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """This task's record batches, each with the position of its first row."""
+    first_row = 0
+    for index, batch in enumerate(_batches(source)):
+        if index % parts == part:
+            yield first_row, batch
+        first_row += batch.num_rows
 
 
 class ArrowShards(DataSource):
@@ -71,26 +89,33 @@ class ArrowShards(DataSource):
     def name(cls) -> str:
         return "arrow_ipc"
 
-    def _files(self) -> tuple[pafs.FileSystem, list[pafs.FileInfo]]:
-        filesystem, path = _resolve(self.options["path"])
+    def roots(self) -> list[str]:
+        """The paths given to `load`; Spark passes several as a JSON list."""
+        return [self.options["path"]] if "path" in self.options else json.loads(self.options["paths"])
+
+    def files(self, root: str) -> tuple[pafs.FileSystem, list[pafs.FileInfo]]:
+        filesystem, path = _resolve(root)
         info = filesystem.get_file_info(path)
         if info.type == pafs.FileType.File:
             return filesystem, [info]
-        recursive = self.options.get("recursive", "false").lower() == "true"
+        recursive = _true(self.options.get("recursive", "false"))
         suffix = self.options.get("suffix", SHARD_SUFFIX)
         listed = filesystem.get_file_info(pafs.FileSelector(path, recursive=recursive))
         files = [f for f in listed if f.type == pafs.FileType.File and f.path.endswith(suffix)]
         if not files:
-            raise FileNotFoundError(f"no {suffix} shards in {self.options['path']}")
+            raise FileNotFoundError(f"no {suffix} shards in {root}")
         return filesystem, sorted(files, key=lambda f: f.path)
 
     def schema(self) -> StructType:
-        filesystem, files = self._files()
+        filesystem, files = self.files(self.roots()[0])
         with _open(filesystem, files[0].path) as source:
             opener = pa.ipc.open_file if _is_file_format(source) else pa.ipc.open_stream
             schema = from_arrow_schema(opener(source).schema)
         wanted = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
-        return StructType([schema[c] for c in wanted]) if wanted else schema
+        schema = StructType([schema[c] for c in wanted]) if wanted else schema
+        if _true(self.options.get("provenance", "false")):
+            schema = StructType(schema.fields).add(SHARD_PATH, StringType()).add(ROW_INDEX, LongType())
+        return schema
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return ArrowShardReader(self, schema)
@@ -99,27 +124,35 @@ class ArrowShards(DataSource):
 class ArrowShardReader(DataSourceReader):
     def __init__(self, source: ArrowShards, schema: StructType):
         self.source = source
-        self.root = source.options["path"]
         self.split_bytes = int(source.options.get("split_bytes", 128 << 20))
         self.arrow_schema = to_arrow_schema(schema)
 
     def partitions(self) -> list[InputPartition]:
-        filesystem, files = self.source._files()
         parts = []
-        for info in files:
-            pieces = -(-info.size // self.split_bytes) or 1
-            if pieces > 1 and not isinstance(filesystem, pafs.LocalFileSystem):
-                # A remote stream has no index: every task would have to read all of it.
-                with _open(filesystem, info.path) as source:
-                    pieces = pieces if _is_file_format(source) else 1
-            parts += [ShardPart(info.path, part, pieces) for part in range(pieces)]
+        for root in self.source.roots():
+            filesystem, files = self.source.files(root)
+            local = isinstance(filesystem, pafs.LocalFileSystem)
+            for info in files:
+                # A remote shard cannot be skipped through: each task would read all of it.
+                pieces = max(1, -(-info.size // self.split_bytes)) if local else 1
+                parts += [ShardPart(root, info.path, part, pieces) for part in range(pieces)]
         return parts
 
     def read(self, partition: ShardPart) -> Iterator[pa.RecordBatch]:
-        filesystem, _ = _resolve(self.root)
+        filesystem, _ = _resolve(partition.root)
         with _open(filesystem, partition.path) as source:
-            for batch in _batches(source, partition.part, partition.parts):
+            for first_row, batch in _share(source, partition.part, partition.parts):
                 for start in range(0, batch.num_rows, ROWS_PER_SLICE):
                     rows = batch.slice(start, ROWS_PER_SLICE)
-                    columns = [rows.column(f.name).cast(f.type) for f in self.arrow_schema]
+                    columns = [self._column(rows, f, partition.path, first_row + start) for f in self.arrow_schema]
                     yield pa.RecordBatch.from_arrays(columns, schema=self.arrow_schema)
+
+    @staticmethod
+    def _column(rows: pa.RecordBatch, field: pa.Field, path: str, first_row: int) -> pa.Array:
+        if field.name in rows.schema.names:
+            return rows.column(field.name).cast(field.type)
+        if field.name == SHARD_PATH:
+            return pa.repeat(pa.scalar(path, field.type), rows.num_rows)
+        if field.name == ROW_INDEX:
+            return pa.array(range(first_row, first_row + rows.num_rows), field.type)
+        raise KeyError(f"{path} has no column {field.name}")

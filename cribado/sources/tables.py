@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cribado.functions.fixed import RESULT_GLOB
-from cribado.functions.text import dataset_of_result, strip
+from cribado.functions.text import dataset_of_result, dataset_of_shard, strip
 from cribado.sources.arrow_ipc import ArrowShards
 
 RATING_RECORD = T.StructType([T.StructField("Score", T.StringType()), T.StructField("Prompt", T.StringType())])
@@ -25,14 +25,21 @@ def read_shards(spark: SparkSession, *paths: str, pattern: str = "*.parquet") ->
 
 
 def with_provenance(df: DataFrame) -> DataFrame:
-    """Add the path and the name of the file each row came from."""
-    return df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"))
+    """Add path and name of the Parquet file each row came from, and the row's position in it."""
+    fields = [F.col(f"_metadata.{name}").alias(name) for name in ("file_path", "file_name", "row_index")]
+    return df.select("*", *fields)
 
 
-def read_arrow(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def read_arrow(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
     """Arrow IPC shards; see `arrow_ipc` for the options."""
     spark.dataSource.register(ArrowShards)
-    return spark.read.format("arrow_ipc").options(**options).load(path)
+    return spark.read.format("arrow_ipc").options(**options).load(paths)
+
+
+def read_datasets(spark: SparkSession, manifest: str, **options: str) -> DataFrame:
+    """All Arrow shards a manifest lists as one table, with `dataset`, `shard_path` and `row_index`."""
+    rows = read_arrow(spark, manifest_paths(spark, manifest), provenance="true", **options)
+    return rows.withColumn("dataset", dataset_of_shard(F.col("shard_path")))
 
 
 def list_shards(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False) -> DataFrame:

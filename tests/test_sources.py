@@ -50,6 +50,29 @@ def test_arrow_single_file_and_columns(spark, tmp_path):
     assert tables.read_arrow(spark, "file://" + str(tmp_path / "a.arrow")).agg(F.sum("id")).first()[0] == sum(range(25_000))
 
 
+@pytest.mark.parametrize("split_bytes", ["300", "100000"])
+def test_manifest_of_datasets_gives_names_and_positions(spark, tmp_path, split_bytes):
+    for folder in ("uno_dos", "tres"):
+        os.mkdir(tmp_path / folder)
+        write_shard(tmp_path / folder / "train.arrow", 1000, 40)
+    manifest = tmp_path / "datasets.txt"
+    manifest.write_text("\n".join(str(tmp_path / f / "train.arrow") for f in ("uno_dos", "tres")))
+    df = tables.read_datasets(spark, str(manifest), columns="id", split_bytes=split_bytes)
+    assert df.columns == ["id", "shard_path", "row_index", "dataset"]
+    rows = df.collect()
+    assert sorted((r.dataset, r.row_index) for r in rows) == sorted((d, i) for d in ("uno-dos", "tres") for i in range(40))
+    assert all(r.id == 1000 + r.row_index and r.shard_path.endswith("train.arrow") for r in rows)
+
+
+def test_shards_with_different_columns_are_an_error(spark, tmp_path):
+    write_shard(tmp_path / "a.arrow", 0, 5)
+    table = pa.table({"id": pa.array([1])})
+    with pa.OSFile(str(tmp_path / "b.arrow"), "wb") as sink, pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    with pytest.raises(Exception, match="has no column texto"):
+        tables.read_arrow(spark, str(tmp_path)).collect()
+
+
 def test_arrow_without_shards_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="no .arrow shards"):
         tables.read_arrow(spark, str(tmp_path)).count()
@@ -132,6 +155,7 @@ def test_provenance_and_union(spark, tmp_path):
     assert union.columns == ["id", "x"] and union.count() == 5
     one.write.parquet(str(tmp_path / "p"))
     rows = tables.with_provenance(tables.read_shards(spark, str(tmp_path / "p"))).collect()
+    assert {r.row_index for r in rows} <= {0, 1, 2}
     assert all(r.file_name.endswith(".parquet") and r.file_path.endswith(r.file_name) for r in rows) and len(rows) == 3
 
 
