@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cribado.functions.fixed import PLACEHOLDER, RESULT_PREFIX, SPACE_CHARS
+from cribado.functions.fixed import PLACEHOLDER, PROMPT_TOKENS, RESULT_PREFIX, SPACE_CHARS
 
 
 def render_prompt(template: str, text: Column) -> Column:
@@ -23,7 +23,7 @@ def tokens(text: Column) -> Column:
     return F.split(strip(text), r"(?U)[\s\x1c-\x1f]+")
 
 
-def token_budget(text: Column, limit: int, keep: str = "first") -> Column:
+def token_budget(text: Column, limit: int = PROMPT_TOKENS, keep: str = "last") -> Column:
     """Keep the first or last `limit` tokens; text within the budget stays as it is.
 
     Prompts keep their end, encoder inputs their start. The budget counts whitespace tokens;

@@ -143,8 +143,8 @@ def test_strip_and_tokens_as_in_python(spark, values):
 
 def test_token_budget(spark):
     values = ["a  b\tc d", "a b", "  x\n y ", "", None]
-    assert evaluate(spark, values, lambda c: text.token_budget(c, 3)) == ["a b c", "a b", "  x\n y ", "", None]
-    assert evaluate(spark, values, lambda c: text.token_budget(c, 3, "last")) == ["b c d", "a b", "  x\n y ", "", None]
+    assert evaluate(spark, values, lambda c: text.token_budget(c, 3, "first")) == ["a b c", "a b", "  x\n y ", "", None]
+    assert evaluate(spark, values, lambda c: text.token_budget(c, 3)) == ["b c d", "a b", "  x\n y ", "", None]
     with pytest.raises(ValueError):
         text.token_budget(F.col("v"), 3, "middle")
 

@@ -165,6 +165,27 @@ def test_incremental_runs_equal_the_batch(spark, tmp_path):
     assert sorted(stream.collect()) == sorted(batch.collect())
 
 
+def test_generation_resumes_by_file(spark, tmp_path):
+    source, output, checkpoint = (str(tmp_path / name) for name in ("in", "out", "progress"))
+    log = str(tmp_path / "calls.txt")
+
+    def counting():
+        def predict(prompts):
+            with open(log, "a") as out:
+                out.writelines(f"{p}\n" for p in prompts)
+            return [p.upper() for p in prompts]
+
+        return predict
+
+    docs = spark.createDataFrame([(i, f"d{i}") for i in range(30)], "id bigint, texto string")
+    for part in ("id < 20", "id >= 20", "id < 0"):
+        docs.filter(part).coalesce(1).write.mode("append").parquet(source)
+        process_new_files(spark, source, docs.schema, lambda df: generate(df, "texto", counting), output, checkpoint)
+    rows = spark.read.parquet(output).collect()
+    assert sorted((r.id, r.response) for r in rows) == [(i, f"D{i}") for i in range(30)]
+    assert len(open(log).read().split()) == 30
+
+
 def test_partitioning_does_not_change_results(spark):
     rows = [(f"d{i % 3}", i, f"DOMINIO: Salud, x{i % 4}\nCASOS DE USO: u{i % 11}") for i in range(120)]
     df = spark.createDataFrame(rows, "dataset string, id bigint, response string")

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from cribado.operators import labels
 from cribado.operators.scoring import quantize
 from cribado.operators.selection import filter_counts, keep_by_score
 from cribado.operators.shards import pending_shards
@@ -139,6 +140,20 @@ def test_label_results_carry_their_dataset(spark, tmp_path):
     ]
 
 
+def test_report_over_imported_results(spark, tmp_path):
+    record = {"0": {"domains": "Salud, Legal", "use_cases": "a"}, "1": {"domains": "Sin coincidencia", "use_cases": "a, E"}}
+    for name in ("uno", "dos", "dos-toxicity"):
+        (tmp_path / f"usecasesdomains_{name}_M.json").write_text(json.dumps(record, indent=4))
+    normalized = labels.normalize_labels(tables.read_labels(spark, str(tmp_path)))
+    report = labels.top_tags(labels.tag_counts(normalized, "id", path_col="path")).collect()
+    assert {r.dataset for r in report} == {"uno", "dos", "dos-toxicity", "All-Datasets"}
+    assert {(r.kind, r.tag, r.n, r.pct, r.rank) for r in report if r.dataset == "All-Datasets"} == {
+        ("domain", "Salud", 2, 50.0, 1), ("domain", "Legal", 2, 50.0, 2), ("use_case", "a", 4, 100.0, 1)
+    }
+    coverage = {r.dataset: (r.n_total, r.n_valid) for r in labels.coverage_counts(normalized, "path").collect()}
+    assert coverage["All-Datasets"] == (4, 2) and coverage["dos-toxicity"] == (2, 1)
+
+
 def test_listing_and_pending(spark, tmp_path):
     for name in ("a.arrow", "b.arrow", "c.txt"):
         (tmp_path / name).write_text("x")
