@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +13,13 @@ from pyspark.sql import types as T
 from cribado.functions import text as text_functions
 from cribado.functions.scores import linear_score
 from cribado.operators import evaluation, labels, ratings, selection
-from cribado.operators.features import FEATURES, apply_stages, text_stages, vector_features
+from cribado.operators.features import FEATURES, apply_stages, encoder_features, text_stages, vector_features
 from cribado.operators.head import Candidate, fit_head, select_head
 from cribado.operators.scoring import quantize, score_documents
 from cribado.operators.shards import pending_shards
 from cribado.operators.split import TEST, TRAIN, stratified_split
-from cribado.plans import stand_ins
-from cribado.plans.curation import ask, curate, train_on_responses
+from cribado.plans import curation, stand_ins
+from cribado.plans.curation import ask, train_on_responses
 from cribado.session import fresh_path, spread
 from cribado.sources import tables
 from cribado.streaming.incremental import process_new_files
@@ -156,10 +157,25 @@ def _stored_ratings(spark, sf_dir) -> DataFrame:
     return ratings.join_responses(docs, stored, "doc_id")
 
 
+def _corpus(spark, sf_dir) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", "source", "text")
+
+
 def score_corpus(spark, sf_dir):
+    """Hashed TF-IDF features: no Python and no external model."""
     chosen = train_on_responses(_stored_ratings(spark, sf_dir), "doc_id", text_stages("text"), [Candidate(1.0)])
-    docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
-    return score_documents(chosen.model, spread(docs)).drop("text")
+    return curation.score_corpus(_corpus(spark, sf_dir), chosen).drop("text")
+
+
+def score_corpus_encoder(spark, sf_dir):
+    """Features from an encoder the caller supplies."""
+
+    def encode(df: DataFrame) -> DataFrame:
+        return encoder_features(df, "text", stand_ins.stub_encoder)
+
+    chosen = train_on_responses(_stored_ratings(spark, sf_dir), "doc_id", grid=[Candidate()], encode=encode)
+    scored = curation.score_corpus(_corpus(spark, sf_dir), chosen, encode)
+    return scored.select("doc_id", "source", F.round("score", 4).alias("score"), "int_score")
 
 
 def incremental_score(spark, sf_dir):
@@ -277,7 +293,7 @@ def _vectors(spark, sf_dir) -> DataFrame:
 
 def fit_score_head(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
-    return score_documents(fit_head(vectors), vectors).select("vec_id", "y", F.round("score", 6).alias("score"))
+    return score_documents(fit_head(vectors), vectors).select("vec_id", "y", F.round("score", 4).alias("score"))
 
 
 def select_best_head(spark, sf_dir):
@@ -289,20 +305,26 @@ def select_best_head(spark, sf_dir):
 
 def curate_corpus(spark, sf_dir):
     """Rate the documents listed in `labels`, train on the ratings, score and filter all documents."""
-    docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
+    docs = _corpus(spark, sf_dir)
     sample = docs.join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    kept = curate(
+    names = [f"_f{i}" for i in range(len(stand_ins.TEXT_FEATURES))]
+    columns = ", ".join(f"{sql} AS {name}" for sql, name in zip(stand_ins.TEXT_FEATURES, names))
+    features = [
+        SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__"),
+        VectorAssembler(inputCols=names, outputCol=FEATURES),
+    ]
+    kept = curation.curate(
         docs,
         sample,
         "doc_id",
         "text",
         stand_ins.RATING_TEMPLATE,
         stand_ins.stub_judge,
-        text_stages("text"),
+        features,
         stand_ins.THRESHOLD,
-        grid=[Candidate(1.0), Candidate(10.0)],
+        grid=[Candidate()],
     )
-    return kept.select("doc_id", "source", "score", "int_score")
+    return kept.select("doc_id", "source", F.round("score", 4).alias("score"), "int_score")
 
 
 QUERIES: dict[str, Query] = {
@@ -325,6 +347,7 @@ QUERIES: dict[str, Query] = {
         filter_counts,
         linear_score_sql,
         score_corpus,
+        score_corpus_encoder,
         incremental_score,
         parse_labels,
         normalize_labels,

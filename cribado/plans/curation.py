@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
@@ -18,6 +18,8 @@ from cribado.operators.selection import keep_by_score
 from cribado.operators.split import TEST, TRAIN, stratified_split
 from cribado.session import materialize, spread
 
+Encode = Callable[[DataFrame], DataFrame]
+
 
 def ask(
     docs: DataFrame, text_col: str, template: str, factory: PredictorFactory, num_partitions: int | None = None
@@ -29,14 +31,31 @@ def ask(
 
 
 def train_on_responses(
-    responses: DataFrame, id_col: str, feature_stages: Sequence[Estimator], grid: Sequence[Candidate] = DEFAULT_GRID
+    responses: DataFrame,
+    id_col: str,
+    feature_stages: Sequence[Estimator] = (),
+    grid: Sequence[Candidate] = DEFAULT_GRID,
+    encode: Encode | None = None,
 ) -> Selection:
-    """Parse and clean stored ratings, split them by class and select a head."""
+    """Parse and clean stored ratings, split them by class and select a head.
+
+    Features come from `feature_stages` or from `encode`, which adds them to a DataFrame
+    (`encoder_features`, `vector_features`).
+    """
     rows = spread(materialize(stratified_split(training_rows(clean_ratings(parse_ratings(responses))), id_col)))
     train, test = (rows.filter(F.col("split") == name) for name in (TRAIN, TEST))
+    if encode:
+        train, test = encode(train), encode(test)
     return select_head(train, test, feature_stages, grid)
 
 
+def score_corpus(docs: DataFrame, chosen: Selection, encode: Encode | None = None) -> DataFrame:
+    """All documents with `score` and `int_score`."""
+    rows = spread(docs)
+    scored = score_documents(chosen.model, encode(rows) if encode else rows)
+    return scored.select(*docs.columns, "score", "int_score")
+
+
 def curate(
     docs: DataFrame,
     sample: DataFrame,
@@ -44,14 +63,15 @@ def curate(
     text_col: str,
     template: str,
     factory: PredictorFactory,
-    feature_stages: Sequence[Estimator],
-    threshold: int,
+    feature_stages: Sequence[Estimator] = (),
+    threshold: int = 3,
     grid: Sequence[Candidate] = DEFAULT_GRID,
+    encode: Encode | None = None,
 ) -> DataFrame:
     """Rate a sample, train a head on the ratings, score all documents, keep the good ones."""
     responses = ask(sample.select(id_col, text_col), text_col, template, factory)
-    chosen = train_on_responses(responses, id_col, feature_stages, grid)
-    return keep_by_score(score_documents(chosen.model, spread(docs)), threshold)
+    chosen = train_on_responses(responses, id_col, feature_stages, grid, encode)
+    return keep_by_score(score_corpus(docs, chosen, encode), threshold)
 
 
 def label_report(

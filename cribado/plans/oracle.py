@@ -92,8 +92,7 @@ rates AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE cast(hits AS double) /
   CASE WHEN support = 0 THEN 0.0 ELSE cast(hits AS double) / support END AS r FROM sums),
 metrics AS (SELECT *, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS f FROM rates)"""
 
-_SPLIT = f"""WITH {_RATED},
-classes AS (SELECT y, count(*) AS n FROM rated GROUP BY y),
+_SPLIT = f"""classes AS (SELECT y, count(*) AS n FROM rated GROUP BY y),
 wanted AS (SELECT *, cast(sum(n) OVER () AS bigint) AS everything FROM classes),
 shares AS (SELECT *, (everything * {fixed.TRAIN_PERMILLE}) // 1000 AS train FROM wanted),
 parts AS (SELECT *, (train * n) // everything AS whole, (train * n) % everything AS rest FROM shares),
@@ -101,13 +100,53 @@ ranked AS (SELECT *, train - sum(whole) OVER () AS missing,
   row_number() OVER (ORDER BY rest DESC, y) AS place FROM parts),
 quotas AS (SELECT y, CASE WHEN n = 1 THEN 1 WHEN place <= missing THEN whole + 1 ELSE whole END AS quota FROM ranked),
 placed AS (SELECT *, row_number() OVER (PARTITION BY y
-  ORDER BY md5(concat_ws('|', cast(doc_id AS string), '{fixed.SPLIT_SEED}')), doc_id) AS place FROM rated)
-SELECT doc_id, y, CASE WHEN place <= quota THEN 'train' ELSE 'test' END AS split
-FROM placed JOIN quotas USING (y)"""
+  ORDER BY md5(concat_ws('|', cast(doc_id AS string), '{fixed.SPLIT_SEED}')), doc_id) AS place FROM rated),
+divided AS (SELECT doc_id, y, CASE WHEN place <= quota THEN 'train' ELSE 'test' END AS split
+  FROM placed JOIN quotas USING (y))"""
+
+
+def _least_squares(width: int) -> str:
+    """`beta(b)` from `design(x, y)`: the normal equations, solved by elimination."""
+    return f"""cells AS (SELECT i, j, sum(x[i] * CASE WHEN j <= {width} THEN x[j] ELSE y END) AS v
+  FROM design, generate_series(1, {width}) AS a(i), generate_series(1, {width + 1}) AS b(j) GROUP BY i, j),
+lines AS (SELECT i, list(v ORDER BY j) AS line FROM cells GROUP BY i),
+solve AS (SELECT 1 AS k, list(line ORDER BY i) AS m FROM lines
+  UNION ALL SELECT k + 1, [CASE WHEN i = k THEN [v / m[k][k] FOR v IN m[k]]
+    ELSE [r[c] - r[k] * m[k][c] / m[k][k] FOR c IN generate_series(1, {width + 1})] END FOR r, i IN m]
+  FROM solve WHERE k <= {width}),
+beta AS (SELECT [r[{width + 1}] FOR r IN m] AS b FROM solve WHERE k = {width + 1})"""
+
+
+def _predicted(width: int) -> str:
+    return f"list_sum([x[c] * b[c] FOR c IN generate_series(1, {width})])"
+
+
+_WIDTH = len(stand_ins.TEXT_FEATURES) + 1
+
+
+def _head_on_text(rated: str, number: str, columns: str, condition: str) -> str:
+    """Split `rated`, fit on its training rows, score all documents. `number` is the features' type."""
+    features = ", ".join(f"cast(cast({sql} AS {number}) AS double)" for sql in stand_ins.TEXT_FEATURES)
+    return f"""WITH RECURSIVE {rated}, {_SPLIT},
+encoded AS (SELECT doc_id, source, [cast(1 AS double), {features}] AS x FROM documents),
+design AS (SELECT x, cast(y AS double) AS y FROM encoded JOIN divided USING (doc_id) WHERE split = 'train'),
+{_least_squares(_WIDTH)},
+predicted AS (SELECT doc_id, source, {_predicted(_WIDTH)} AS score FROM encoded, beta),
+scored AS (SELECT doc_id, source, score, {_int_score('score')} AS int_score FROM predicted)
+SELECT {columns} FROM scored WHERE {condition}"""
+
+
+_SCORED_COLUMNS = "doc_id, source, round(score, 4) AS score, int_score"
+_STORED_RATINGS = f"""responses AS (SELECT doc_id, {stand_ins.STORED_RESPONSE} AS response FROM labels),
+parsed AS (SELECT doc_id, {_raw_rating('response')} AS score_raw FROM responses),
+rated AS (SELECT doc_id, {_class_of('score_raw')} AS y FROM parsed)"""
 
 _TOKENS = f"string_split_regex(trim(text, {_SPACES}), '[{fixed.SPACE_CLASS}]+')"
 _WEIGHTS = "[" + ", ".join(str(w) for w in stand_ins.HEAD_WEIGHTS) + "]"
 _PROMPT = f"replace({_TEMPLATE}, {_PLACEHOLDER}, text)"
+_JUDGED = f"least(length({_PROMPT}) // 600, 5)"
+_JUDGED_RATINGS = f"""rated AS (SELECT doc_id, {_JUDGED} AS y FROM documents
+  WHERE doc_id IN (SELECT doc_id FROM labels))"""
 
 ORACLE: dict[str, str] = {
     "read_documents": "SELECT * FROM documents",
@@ -131,7 +170,7 @@ SELECT doc_id,
     ELSE array_to_string(parts[len(parts) - {stand_ins.PROMPT_TAIL_TOKENS} + 1:], ' ') END AS prompt_input
 FROM split""",
     "stub_generate": f"""SELECT doc_id, concat('Juez de prueba.', chr(10), 'PUNTUACIÓN EDUCATIVA: ',
-  cast(least(length({_PROMPT}) // 600, 5) AS string)) AS response, cast(NULL AS string) AS error FROM documents""",
+  cast({_JUDGED} AS string)) AS response, cast(NULL AS string) AS error FROM documents""",
     "parse_rating": f"WITH {_PARSED} SELECT * FROM parsed",
     "clean_scores": f"WITH {_CLEANED} SELECT * FROM cleaned",
     "join_ratings": f"""WITH stored AS (SELECT doc_id, {stand_ins.STORED_RESPONSE} AS response FROM labels)
@@ -165,7 +204,15 @@ SELECT report AS dataset, count(*) AS n_total,
     "label_distribution_domains": _distribution("dataset", "kind = 'domain'"),
     "label_distribution_usecases": _distribution("dataset", "kind = 'use_case'"),
     "label_distribution_all": _distribution(_REPORTS, "true"),
-    "stratified_split": _SPLIT,
+    "stratified_split": f"WITH {_RATED}, {_SPLIT} SELECT * FROM divided",
+    "score_corpus_encoder": _head_on_text(_STORED_RATINGS, "float", _SCORED_COLUMNS, "true"),
+    "curate_corpus": _head_on_text(
+        _JUDGED_RATINGS, "double", _SCORED_COLUMNS, f"int_score >= {stand_ins.THRESHOLD}"
+    ),
+    "fit_score_head": f"""WITH RECURSIVE design AS (SELECT vec_id, least(label, 5) AS class, cast(least(label, 5) AS double) AS y,
+  list_concat([cast(1 AS double)], [cast(e AS double) FOR e IN embedding]) AS x FROM embeddings),
+{_least_squares(65)}
+SELECT vec_id, class AS y, round({_predicted(65)}, 4) AS score FROM design, beta""",
     "confusion_matrix": f"WITH {_CONFUSION} SELECT * FROM confusion",
     "classification_report": f"""WITH {_CLASS_METRICS}
 SELECT cast(label AS string) AS label, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1,

@@ -7,6 +7,8 @@ in DuckDB.
 
 from __future__ import annotations
 
+import numpy as np
+
 RATING_TEMPLATE = (
     "Valore de 0 a 5 la utilidad escolar del texto.\n\n<EJEMPLO>\n\n"
     'Termine con "PUNTUACIÓN EDUCATIVA: <puntos>"'
@@ -50,11 +52,28 @@ MODEL_PATH = "models/Demo-70B_v1.5-Instruct"
 HEAD_WEIGHTS = [((i * 7) % 11 - 5) / 10 for i in range(64)]
 HEAD_INTERCEPT = 2.5
 
+# Stand-in for an encoder: length and letter shares, in SQL and in numpy.
+LENGTH_CAP = 3000
+LETTERS = "aeosntw"
+TEXT_FEATURES = [f"least(length(text), {LENGTH_CAP}) / cast({LENGTH_CAP} AS double)"] + [
+    f"(length(text) - length(replace(text, '{c}', ''))) / cast(greatest(length(text), 1) AS double)" for c in LETTERS
+]
+
 ENCODER_TOKENS = 512
 PROMPT_TAIL_TOKENS = 2_000
 THRESHOLD = 3
 
 
+def stub_encoder():
+    """`make_predict_fn` with the features above as 32-bit numbers. A stub, not a trained encoder."""
+
+    def predict(texts):
+        rows = [[min(len(t), LENGTH_CAP) / LENGTH_CAP] + [t.count(c) / max(len(t), 1) for c in LETTERS] for t in texts]
+        return np.array(rows, dtype="float32")
+
+    return predict
+
+
 def stub_judge():
     """Predictor factory: rates a prompt by its length. A stub, not a judge of quality."""
 

@@ -13,9 +13,7 @@ WITH_SQL = sorted(registry.oracle_sql())
 WITHOUT_SQL = {
     "score_corpus": ["doc_id", "source", "score", "int_score"],
     "text_features": ["doc_id", "features"],
-    "fit_score_head": ["vec_id", "y", "score"],
     "select_best_head": None,
-    "curate_corpus": ["doc_id", "source", "score", "int_score"],
 }
 
 
