@@ -20,7 +20,7 @@ from cribado.operators.shards import pending_shards
 from cribado.operators.split import TEST, TRAIN, stratified_split
 from cribado.plans import curation, stand_ins
 from cribado.plans.curation import ask, train_on_responses
-from cribado.session import fresh_path, spread
+from cribado.session import fresh_path, materialize, spread
 from cribado.sources import tables
 from cribado.streaming.incremental import process_new_files
 
@@ -297,10 +297,11 @@ def fit_score_head(spark, sf_dir):
 
 
 def select_best_head(spark, sf_dir):
-    rows = stratified_split(_vectors(spark, sf_dir), "vec_id")
+    rows = materialize(stratified_split(_vectors(spark, sf_dir), "vec_id"))
     train, test = (rows.filter(F.col("split") == name) for name in (TRAIN, TEST))
-    grid = [Candidate(reg, mix) for reg in (0.0, 0.01, 0.1) for mix in (0.0, 0.5)]
-    return spark.createDataFrame(select_head(train, test, grid=grid).leaderboard)
+    chosen = select_head(train, test, grid=[Candidate(reg) for reg in stand_ins.RIDGE_GRID])
+    board = spark.createDataFrame(chosen.leaderboard).drop("max_iter", "elastic_net")
+    return _rounded(board, "precision", "recall", "f1_macro", "accuracy")
 
 
 def curate_corpus(spark, sf_dir):

@@ -136,6 +136,40 @@ scored AS (SELECT doc_id, source, score, {_int_score('score')} AS int_score FROM
 SELECT {columns} FROM scored WHERE {condition}"""
 
 
+# Ridge on centred data: the penalty on a coefficient is scaled by its feature's variance and by
+# the standard deviation of the label.
+_RIDGE = f"""WITH RECURSIVE rated AS (SELECT vec_id AS doc_id, least(label, 5) AS y FROM embeddings), {_SPLIT},
+vectors AS (SELECT doc_id, split, y, list_append([cast(e AS double) FOR e IN embedding], cast(y AS double)) AS z
+  FROM embeddings JOIN divided ON vec_id = doc_id),
+means AS (SELECT i, avg(z[i]) AS mean FROM vectors, generate_series(1, 65) AS a(i) WHERE split = 'train' GROUP BY i),
+covariances AS (SELECT a.i, b.i AS j, avg((z[a.i] - a.mean) * (z[b.i] - b.mean)) AS v
+  FROM vectors, means AS a, means AS b WHERE split = 'train' GROUP BY a.i, b.i),
+deviation AS (SELECT sqrt(v) AS s FROM covariances WHERE i = 65 AND j = 65),
+grid AS (SELECT unnest(generate_series(0, {len(stand_ins.RIDGE_GRID) - 1})) AS candidate,
+  unnest({list(stand_ins.RIDGE_GRID)}::double[]) AS reg_param),
+lines AS (SELECT candidate, i, list(CASE WHEN i = j THEN v * (1 + reg_param / s) ELSE v END ORDER BY j) AS line
+  FROM covariances, grid, deviation WHERE i <= 64 GROUP BY candidate, i),
+solve AS (SELECT candidate, 1 AS k, list(line ORDER BY i) AS m FROM lines GROUP BY candidate
+  UNION ALL SELECT candidate, k + 1, [CASE WHEN i = k THEN [v / m[k][k] FOR v IN m[k]]
+    ELSE [r[c] - r[k] * m[k][c] / m[k][k] FOR c IN generate_series(1, 65)] END FOR r, i IN m]
+  FROM solve WHERE k <= 64),
+centre AS (SELECT list(mean ORDER BY i) AS mu FROM means),
+predicted AS (SELECT candidate, y, mu[65] + list_sum([(z[c] - mu[c]) * m[c][65] FOR c IN generate_series(1, 64)]) AS score
+  FROM vectors, centre, solve WHERE split = 'test' AND k = 65),
+pairs AS (SELECT candidate, y, {_int_score('score')} AS pred FROM predicted),
+seen AS (SELECT candidate, y AS label FROM pairs UNION SELECT candidate, pred FROM pairs),
+sums AS (SELECT c.candidate, label, count(*) FILTER (y = label) AS support, count(*) FILTER (pred = label) AS predicted,
+  count(*) FILTER (y = label AND pred = label) AS hits FROM seen AS c JOIN pairs AS p USING (candidate) GROUP BY ALL),
+rates AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE hits / predicted END AS p,
+  CASE WHEN support = 0 THEN 0.0 ELSE hits / support END AS r FROM sums),
+board AS (SELECT candidate, avg(p) AS precision, avg(r) AS recall,
+  avg(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END) AS f1_macro, sum(hits) / sum(support) AS accuracy
+  FROM rates GROUP BY candidate)
+SELECT candidate, reg_param, round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round(f1_macro, 6) AS f1_macro, round(accuracy, 6) AS accuracy,
+  row_number() OVER (ORDER BY round(f1_macro, 12) DESC, candidate) = 1 AS best
+FROM board JOIN grid USING (candidate)"""
+
 _SCORED_COLUMNS = "doc_id, source, round(score, 4) AS score, int_score"
 _STORED_RATINGS = f"""responses AS (SELECT doc_id, {stand_ins.STORED_RESPONSE} AS response FROM labels),
 parsed AS (SELECT doc_id, {_raw_rating('response')} AS score_raw FROM responses),
@@ -209,6 +243,7 @@ SELECT report AS dataset, count(*) AS n_total,
     "curate_corpus": _head_on_text(
         _JUDGED_RATINGS, "double", _SCORED_COLUMNS, f"int_score >= {stand_ins.THRESHOLD}"
     ),
+    "select_best_head": _RIDGE,
     "fit_score_head": f"""WITH RECURSIVE design AS (SELECT vec_id, least(label, 5) AS class, cast(least(label, 5) AS double) AS y,
   list_concat([cast(1 AS double)], [cast(e AS double) FOR e IN embedding]) AS x FROM embeddings),
 {_least_squares(65)}

@@ -59,6 +59,8 @@ TEXT_FEATURES = [f"least(length(text), {LENGTH_CAP}) / cast({LENGTH_CAP} AS doub
     f"(length(text) - length(replace(text, '{c}', ''))) / cast(greatest(length(text), 1) AS double)" for c in LETTERS
 ]
 
+RIDGE_GRID = (0.0, 0.01, 0.1, 1.0)
+
 ENCODER_TOKENS = 512
 PROMPT_TAIL_TOKENS = 2_000
 THRESHOLD = 3
