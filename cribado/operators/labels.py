@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cribado.functions.fixed import ALL_DATASETS, CUT_TAG, EXCLUDED_FROM_ALL, TOP_DOMAINS, TOP_USE_CASES
+from cribado.functions.plan import with_column_once
 from cribado.functions.responses import domain_list, null_if_no_match, use_case_list
 from cribado.functions.text import strip
 
@@ -43,7 +44,7 @@ def explode_tags(normalized: DataFrame, *keep: str) -> DataFrame:
     fields = normalized.select(*keep, F.explode(lists).alias("_field"))
     filled = fields.filter(F.col("_field.list") != "")
     items = filled.select(*keep, "_field.kind", F.posexplode(F.split("_field.list", ",")).alias("pos", "tag"))
-    return items.withColumn("tag", strip(F.col("tag")))
+    return with_column_once(items, "tag", strip(F.col("tag")))
 
 
 def _groups(dataset: Column, in_all: Column) -> Column:

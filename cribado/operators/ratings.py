@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cribado.functions.plan import with_column_once
 from cribado.functions.responses import rating_text
 from cribado.functions.scores import rating_class
 
 
 def parse_ratings(df: DataFrame, response_col: str = "response") -> DataFrame:
     """Replace the response by `score_raw`; rows without a rating drop out."""
-    parsed = df.withColumn("score_raw", rating_text(F.col(response_col)))
+    parsed = with_column_once(df, "score_raw", rating_text(F.col(response_col)))
     return parsed.filter(F.col("score_raw").isNotNull()).drop(response_col)
 
 
 def clean_ratings(df: DataFrame) -> DataFrame:
     """Add the class `y` (0 to 5). A rating without digits before its dot has `y` NULL."""
-    return df.withColumn("y", rating_class(F.col("score_raw")))
+    return with_column_once(df, "y", rating_class(F.col("score_raw")))
 
 
 def training_rows(cleaned: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.ml import Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cribado.functions.plan import with_column_once
 from cribado.functions.scores import int_score
 
 
@@ -15,6 +16,9 @@ def quantize(df: DataFrame, score_col: str = "score") -> DataFrame:
 
 
 def score_documents(model: Model, df: DataFrame) -> DataFrame:
-    """All input columns plus `score` and `int_score`. Also runs on a streaming DataFrame."""
-    scored = model.transform(df).select(*df.columns, F.col("prediction").alias("score"))
-    return quantize(scored)
+    """All input columns plus `score` and `int_score`. Also runs on a streaming DataFrame.
+
+    The model runs once per row, also when the result is filtered by score.
+    """
+    scored = with_column_once(model.transform(df), "score", F.col("prediction"))
+    return quantize(scored.select(*df.columns, "score"))

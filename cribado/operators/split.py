@@ -47,7 +47,8 @@ def stratified_split(
     prefix in which a class reaches its quota; only the rows with that prefix are sorted, and
     give the last hash that is still training. The rows themselves are then marked by comparing
     hashes, without a shuffle. Ids must be unique. Classes are the six of the scale; a row
-    without a class gets no split.
+    without a class gets no split. Ids and classes are read three times, so store `df` first if
+    they are costly to compute.
     """
     hashed = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
     in_class = F.col(y_col).between(MIN_SCORE, MAX_SCORE)

@@ -46,7 +46,7 @@ class ShardPart(InputPartition):
 def _resolve(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and path within it."""
     if "://" in path:
-        return pafs.FileSystem.from_uri(path)
+        return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
     return pafs.LocalFileSystem(), path
 
 

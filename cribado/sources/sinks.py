@@ -15,7 +15,8 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def write_scored(df: DataFrame, path: str) -> None:
     """Scored rows, one folder per `int_score`: a later threshold reads only the folders it keeps.
 
-    At most six files per task and no shuffle.
+    At most six files per task and no shuffle. For large files, have the scoring scan give large
+    tasks (`spark.sql.files.maxPartitionBytes`).
     """
     df.write.mode("append").partitionBy("int_score").parquet(path)
 

@@ -106,7 +106,10 @@ def read_labels(spark: SparkSession, path: str, indented: bool = True) -> DataFr
 
 
 def union_shards(first: DataFrame, *others: DataFrame) -> DataFrame:
-    """All rows of all shards, duplicates included, columns matched by name."""
+    """All rows of all shards, duplicates included, columns matched by name.
+
+    For a few tables of different origin; shards of one layout are read together by their paths.
+    """
     union = first
     for other in others:
         union = union.unionByName(other)

@@ -4,6 +4,10 @@ import random
 
 import pytest
 
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import LinearRegression
+from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+
 from cribado.operators import evaluation
 
 PAIRS = [(0, 0), (0, 1), (1, 1), (2, 1), (2, 2), (2, 2), (3, 2)]
@@ -63,3 +67,15 @@ def test_evaluator_rounds_and_clamps(spark):
     evaluator = evaluation.MacroF1Evaluator()
     assert evaluator.evaluate(spark.createDataFrame(rows, "label double, prediction double")) == pytest.approx(0.458333, abs=1e-6)
     assert evaluator.isLargerBetter()
+
+
+def test_evaluator_drives_spark_tuning(spark):
+    rows = [(Vectors.dense([float(i % 6)]), float(i % 6)) for i in range(200)]
+    df = spark.createDataFrame(rows, ["features", "label"])
+    regression = LinearRegression()
+    grid = ParamGridBuilder().addGrid(regression.regParam, [100.0, 0.0]).build()
+    tuned = TrainValidationSplit(
+        estimator=regression, estimatorParamMaps=grid, evaluator=evaluation.MacroF1Evaluator(), seed=1
+    ).fit(df)
+    assert tuned.validationMetrics[1] == 1.0 > tuned.validationMetrics[0]
+    assert tuned.bestModel.getRegParam() == 0.0

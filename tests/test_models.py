@@ -13,6 +13,7 @@ from cribado.operators.features import apply_stages, encoder_features, text_stag
 from cribado.operators.generate import generate
 from cribado.operators.ratings import clean_ratings, parse_ratings, run_summary, training_rows
 from cribado.operators.scoring import quantize, score_documents
+from cribado.operators.selection import keep_by_score
 from cribado.plans.curation import ask, curate, label_report
 from cribado.streaming.incremental import process_new_files
 
@@ -141,6 +142,16 @@ def test_scoring_keeps_columns_and_does_not_shuffle(spark):
     assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
 
 
+def test_the_model_runs_once_per_row_under_a_filter(spark):
+    docs = spark.createDataFrame([(i, f"texto {i} " * i) for i in range(20)], "id bigint, texto string")
+    stages = text_stages("texto", num_features=16)
+    labelled = docs.withColumn("label", F.col("id") % 6 * 1.0)
+    chosen = head.select_head(labelled, labelled, stages, [head.Candidate(0.1)])
+    kept = keep_by_score(score_documents(chosen.model, docs), 2)
+    filters = [line for line in kept._jdf.queryExecution().executedPlan().toString().splitlines() if "Filter" in line]
+    assert filters and not any("UDF" in line for line in filters)
+
+
 def test_incremental_runs_equal_the_batch(spark, tmp_path):
     source, output, checkpoint = (str(tmp_path / name) for name in ("in", "out", "progress"))
     _, _, df = vectors(spark, n=90)
