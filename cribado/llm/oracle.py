@@ -6,3 +6,62 @@ from __future__ import annotations
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 SQL: dict[str, str] = {}
+
+SQL["op4_exact_topk"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, s.vec_id,
+           list_sum(list_transform(list_zip(q.c, s.c), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM v q JOIN v s ON q.vec_id <> s.vec_id
+    WHERE q.vec_id % 20 = 0
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id, score
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+SQL["op10_quality_rules"] = r"""
+WITH d AS (
+    SELECT doc_id, source, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
+    FROM documents
+), windows AS (
+    SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), covered AS (
+    SELECT doc_id, count(DISTINCT p) AS n
+    FROM (
+        SELECT doc_id, unnest([i, i + 1, i + 2]) AS p
+        FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows)
+        WHERE c > 1
+    )
+    GROUP BY doc_id
+), lines AS (
+    SELECT doc_id, source, t, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
+           lower(array_to_string(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), ' ')) AS y
+    FROM (SELECT doc_id, source, t, unnest(l) AS x FROM d)
+), frequent AS (
+    SELECT source, y FROM lines GROUP BY source, y HAVING count(DISTINCT t) > 100
+), left_over AS (
+    SELECT a.doc_id, sum(CASE WHEN f.y IS NULL THEN a.n ELSE 0 END) / sum(a.n) AS share
+    FROM lines a LEFT JOIN frequent f ON f.y = a.y AND f.source IS NOT DISTINCT FROM a.source
+    GROUP BY a.doc_id
+), measured AS (
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+           len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+           (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+           coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(s.share, 1.0) AS share
+    FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN left_over s USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND share >= 0.3 AS kept
+FROM measured
+"""
