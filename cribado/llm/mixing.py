@@ -97,9 +97,11 @@ def mix(
     last; repeated rows are documents of their own. An empty table gives an empty result. Other columns are
     not read. Copies never exceed `most` rounded up, and reruns agree: only the seed is random.
     """
-    sized = docs.select(
-        F.col(id_col).alias(id_col), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")
-    )
+    sized = materialize(
+        docs.select(
+            F.col(id_col).alias(id_col), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")
+        )
+    )  # the range partition reads its input twice; so the texts are read once
     ordered = sized.repartitionByRange(
         max(2, parallelism(docs)), F.col("source"), F.col("size"), F.xxhash64(id_col), F.col(id_col)
     ).sortWithinPartitions("source", "size", F.xxhash64(id_col), id_col)
