@@ -318,3 +318,15 @@ def split_kinds(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     stored = materialize(rows)
     state = stored.filter("kind = 0").select("chunk", "payload")
     return state, stored.filter("kind = 1").select("range", "chunk", "payload")
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, their counts, and for each input its place among them."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    group = np.cumsum(new) - 1
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = group
+    return ordered[new], np.bincount(group, minlength=int(new.sum())), inverse

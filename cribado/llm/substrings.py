@@ -47,24 +47,12 @@ class Windows:
         return places[alive[places] & alive[places + old]]
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, their counts, and for each input its place among them."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    group = np.cumsum(new) - 1
-    inverse = np.empty(len(keys), np.int64)
-    inverse[order] = group
-    return ordered[new], np.bincount(group, minlength=int(new.sum())), inverse
-
-
 def _short(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(64 - _KEY_BITS)
 
 
 def _ask_repeated(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
-    distinct, counts, _ = _distinct(keys)
+    distinct, counts, _ = chunks.distinct(keys)
     at = chunks.range_starts(distinct, ranges, _KEY_BITS)
     for r in np.flatnonzero(np.diff(at)).tolist():
         part = slice(at[r], at[r + 1])
@@ -78,7 +66,7 @@ def _reply_repeated(payloads: list[bytes]) -> list[bytes]:
         packed, many = chunks.unpack_parts(payload, 2)
         keys.append(chunks.unpack_sorted(packed))
         counts.append(chunks.unpack_bits(many, len(keys[-1])) + np.int64(1))
-    _, _, inverse = _distinct(np.concatenate(keys))
+    _, _, inverse = chunks.distinct(np.concatenate(keys))
     total = np.bincount(inverse, weights=np.concatenate(counts))
     repeated = np.split(total[inverse] > 1, np.cumsum([len(k) for k in keys])[:-1])
     return [chunks.pack_bits(r) for r in repeated]
@@ -87,7 +75,7 @@ def _reply_repeated(payloads: list[bytes]) -> list[bytes]:
 def _alive(windows_: Windows, places: np.ndarray, ranges: int, answers: list[bytes]) -> np.ndarray:
     """One flag per word from the answers about the windows at `places`."""
     alive = np.zeros(len(windows_.words), bool)
-    distinct, _, inverse = _distinct(_short(windows_.hashes[places]))
+    distinct, _, inverse = chunks.distinct(_short(windows_.hashes[places]))
     at = chunks.range_starts(distinct, ranges, _KEY_BITS)
     sizes = np.diff(at)
     flags = [chunks.unpack_bits(a, n) for a, n in zip(answers, sizes[sizes > 0].tolist())]
