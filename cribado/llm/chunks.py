@@ -142,14 +142,22 @@ def window_places(firsts: np.ndarray, length: int) -> np.ndarray:
     return np.arange(counts.sum()) + skipped
 
 
+def compress(data: bytes) -> bytes:
+    return zstandard.compress(data, 1)
+
+
+def decompress(blob: bytes) -> bytes:
+    return zstandard.decompress(blob)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Bytes of the values, those of equal weight together, compressed."""
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
-    return zstandard.compress(planes.tobytes(), 1)
+    return compress(planes.tobytes())
 
 
 def unpack(blob: bytes, kind) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    planes = np.frombuffer(decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
@@ -175,11 +183,11 @@ def unpack_parts(blob: bytes, n: int) -> list[bytes]:
 
 
 def pack_bits(flags: np.ndarray) -> bytes:
-    return zstandard.compress(np.packbits(flags).tobytes(), 1)
+    return compress(np.packbits(flags).tobytes())
 
 
 def unpack_bits(blob: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zstandard.decompress(blob), np.uint8), count=n).astype(bool)
+    return np.unpackbits(np.frombuffer(decompress(blob), np.uint8), count=n).astype(bool)
 
 
 def range_starts(keys: np.ndarray, ranges: int, bits: int = 64) -> np.ndarray:
