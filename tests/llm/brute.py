@@ -102,7 +102,7 @@ def unigram_scores(rows) -> dict[int, tuple]:
 def ppm_code_length(rows, order: int, start: int = 0xFE, end: int = 0xFF) -> dict[int, float]:
     """doc_id -> log10 probability under a byte model with escapes and exclusion, symbol by symbol."""
     seen: dict[bytes, Counter] = defaultdict(Counter)
-    coded = {d: bytes([start] * order) + (t or "").encode() + bytes([end]) for d, t in rows}
+    coded = {d: bytes([start] * order) + (t or "").encode().lower() + bytes([end]) for d, t in rows}
     for d, b in coded.items():
         if zlib.crc32(str(d).encode()) % 10:
             for i in range(order, len(b)):
