@@ -65,3 +65,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND share >= 0.3 AS kept
 FROM measured
 """
+
+SQL["op7_warc"] = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
+), k AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS keeper FROM p
+)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM k
+"""

@@ -11,6 +11,20 @@ from cribado.llm.shingles import op1_ngram_jaccard
 from cribado.llm.substrings import op6_substring_dedup
 from cribado.llm.suffixes import op2_suffix_array_dedup
 from cribado.llm.topk import op4_exact_topk
+from cribado.llm.warc import op7_warc
 
-QUERIES = {query.__name__: query for query in (op1_ngram_jaccard, op2_suffix_array_dedup, op3_byte_bpe, op4_exact_topk, op5_lm_scoring, op6_substring_dedup, op9_mixing, op10_quality_rules)}
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op1_ngram_jaccard,
+        op2_suffix_array_dedup,
+        op3_byte_bpe,
+        op4_exact_topk,
+        op5_lm_scoring,
+        op6_substring_dedup,
+        op7_warc,
+        op9_mixing,
+        op10_quality_rules,
+    )
+}
 ORACLE = {name: sql for name, sql in oracle.SQL.items() if name in QUERIES}
