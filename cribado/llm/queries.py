@@ -5,6 +5,7 @@ from __future__ import annotations
 from cribado.llm import oracle
 from cribado.llm.bpe import op3_byte_bpe
 from cribado.llm.mixing import op9_mixing
+from cribado.llm.personal import op8_pii
 from cribado.llm.ppm import op5_lm_scoring
 from cribado.llm.quality import op10_quality_rules
 from cribado.llm.shingles import op1_ngram_jaccard
@@ -23,6 +24,7 @@ QUERIES = {
         op5_lm_scoring,
         op6_substring_dedup,
         op7_warc,
+        op8_pii,
         op9_mixing,
         op10_quality_rules,
     )
