@@ -193,8 +193,8 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id",
     return rows.mapInArrow(run, f"`{id_col}` {kind}, decoded binary" + ", ids array<int>" * keep_ids)
 
 
-def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """Encode, decode again, and report both as digests."""
+def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PATTERN, keep_ids: bool = False) -> DataFrame:
+    """Encode, decode again, and report both as digests; with `keep_ids` the ids too."""
     ranks = read_ranks(vocabulary)
     both = decode(encode(docs, ranks, pattern), ranks, keep_ids=True)
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -203,6 +203,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str = public_to
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if keep_ids else []),
     )
 
 

@@ -5,9 +5,10 @@
 2. The others keep their shared shingles in the global order, rare ones first. Documents with equal sets
    collapse to one representative.
 3. Of two similar sets the first few shingles in this order must meet (prefix filter). Documents that meet are
-   compared with one leader of their meeting place, not with each other; documents that are already linked,
-   by whatever way, are not compared again. What is left unlinked at a meeting place after these rounds
-   is compared there exhaustively, with bounds on size and overlap.
+   first compared with one leader of their meeting place, not with each other: the one that shares the largest
+   part of itself, the origin of a family of copies if there is one. Documents linked by whatever way are not
+   compared again. Those still apart at a meeting place are compared if their sizes and their overlaps with the
+   leader leave it possible that they are similar; so no link is lost.
 4. A comparison cuts the global order into fragments, counts the overlap of each pair in each fragment
    by itself, and sums per pair.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cribado.llm import chunks
@@ -30,8 +31,6 @@ WORDS = 5
 PERCENT = 80
 #: Parts that the global order is cut into.
 FRAGMENTS = 4
-#: Rounds of comparisons with leaders before the rest is compared exhaustively.
-ROUNDS = 2
 _KEY_BITS = 48
 _SETS = "doc_id long, n_shingles long, set_low long, set_high long, shared array<long>"
 
@@ -130,9 +129,9 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return counted.groupBy("a", "b", "a_size", "b_size").agg(F.sum("partial").alias("overlap"))
 
 
-def _similar(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def _similar(counted: DataFrame, percent: int) -> DataFrame:
     union = F.col("a_size") + F.col("b_size") - F.col("overlap")
-    return _overlaps(pairs, segments).filter(100 * F.col("overlap") >= percent * union).select("a", "b")
+    return counted.filter(100 * F.col("overlap") >= percent * union).select("a", "b")
 
 
 def _cut(sets: DataFrame, fragments: int) -> DataFrame:
@@ -154,11 +153,19 @@ def _cut(sets: DataFrame, fragments: int) -> DataFrame:
 
 
 def _pairs(left: DataFrame, right: DataFrame, condition, percent: int) -> DataFrame:
-    """Distinct pairs of different components that meet and could be similar by their sizes and shared shingles."""
-    a = left.select("s", *(F.col(c).alias(f"a_{c}") for c in ("node", "component", "size", "shareable")))
-    b = right.select("s", *(F.col(c).alias(f"b_{c}") for c in ("node", "component", "size", "shareable")))
-    sizes = F.col("a_size") + F.col("b_size")
-    possible = (100 + percent) * F.least("a_shareable", "b_shareable") >= percent * sizes
+    """Distinct pairs of different components that meet and could be similar.
+
+    What they share is at most what the lesser shares with anyone; and, where both have been compared with the leader
+    of the meeting place, at most the lesser overlap with it plus the lesser rest.
+    """
+    columns = ("node", "component", "size", "shareable", "led")
+    a = left.select("s", *(F.col(c).alias(f"a_{c}") for c in columns))
+    b = right.select("s", *(F.col(c).alias(f"b_{c}") for c in columns))
+    needed = percent * (F.col("a_size") + F.col("b_size"))
+    most = F.least("a_shareable", "b_shareable")
+    rest = F.least(F.col("a_shareable") - F.col("a_led"), F.col("b_shareable") - F.col("b_led"))
+    by_leader = F.when(F.col("a_led").isNotNull() & F.col("b_led").isNotNull(), F.least("a_led", "b_led") + rest)
+    possible = (100 + percent) * F.least(most, by_leader) >= needed
     met = a.join(b, (a["s"] == b["s"]) & condition & (F.col("a_component") != F.col("b_component")) & possible)
     ordered = F.col("a_node") < F.col("b_node")
     return met.select(
@@ -169,7 +176,17 @@ def _pairs(left: DataFrame, right: DataFrame, condition, percent: int) -> DataFr
     ).distinct()
 
 
-def _components(nodes: DataFrame, percent: int, fragments: int, rounds: int) -> DataFrame:
+def _leaders(here: DataFrame) -> DataFrame:
+    """Of each meeting place with several components, the set that shares the largest part of itself."""
+    alone = (F.col("size") - F.col("shareable")) / F.col("size")
+    columns = ["node", "component", "size", "shareable", "led"]
+    led = here.groupBy("s").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct(alone, F.xxhash64("node"), *columns)).alias("leader")
+    )
+    return materialize(led.filter("least <> most").select("s", *(f"leader.{c}" for c in columns)))
+
+
+def _components(nodes: DataFrame, percent: int, fragments: int) -> DataFrame:
     """`(node, component)` of the linked sets among `nodes` (node, size, shared)."""
     shareable = F.size("shared")
     prefix = shareable - least_shared_column("size", percent) + 1
@@ -177,29 +194,26 @@ def _components(nodes: DataFrame, percent: int, fragments: int, rounds: int) ->
         nodes.select("node", "size", shareable.alias("shareable"), F.explode(F.slice("shared", F.lit(1), prefix)).alias("s"))
     )
     segments = materialize(_cut(nodes, fragments))
-    links = component = None
-    for turn in range(rounds + 1):
-        if component is None:
-            here = meetings.withColumn("component", F.col("node"))
-        else:
-            here = meetings.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        order = [F.xxhash64(c, F.lit(turn)) for c in ("component", "node")]
-        columns = ["node", "component", "size", "shareable"]
-        led = here.groupBy("s").agg(
-            F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct(*order, *columns)).alias("leader")
-        )
-        led = materialize(led.filter("least <> most").select("s", "leader.*"))
-        if led.isEmpty():
-            break
-        if turn < rounds:
-            pairs = _pairs(here, led, F.lit(True), percent)
-        else:
-            still = here.join(led.select("s"), "s", "left_semi")
-            pairs = _pairs(still, still, F.col("a_node") < F.col("b_node"), percent)
-        new = materialize(_similar(pairs, segments, percent))
-        links = new if links is None else links.union(new)
-        component = materialize(connected(links))
-    return component if component is not None else nodes.select("node", F.col("node").alias("component")).limit(0)
+    here = meetings.withColumn("component", F.col("node")).withColumn("led", F.lit(None).cast("int"))
+    leaders = _leaders(here)
+    counted = materialize(_overlaps(_pairs(here, leaders, F.lit(True), percent), segments))
+    links = materialize(_similar(counted, percent))
+    component = materialize(connected(links))
+
+    # What is still apart at a meeting place, with its overlap with the leader there.
+    both = counted.select("a", "b", "overlap").union(counted.select("b", "a", "overlap"))
+    both = both.toDF("leader", "node", "overlap")
+    here = meetings.join(leaders.select("s", F.col("node").alias("leader")), "s")
+    here = here.join(both, ["leader", "node"], "left").join(component, "node", "left")
+    here = here.withColumn("component", F.coalesce("component", "node"))
+    here = here.withColumn("led", F.when(F.col("node") == F.col("leader"), F.col("shareable")).otherwise(F.col("overlap").cast("int")))
+    here = materialize(here.select("s", "node", "size", "shareable", "component", "led"))
+    apart = here.groupBy("s").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
+    still = here.join(apart.select("s"), "s", "left_semi")
+    pairs = _pairs(still, still, F.col("a_node") < F.col("b_node"), percent)
+    pairs = pairs.join(counted.select("a", "b"), ["a", "b"], "left_anti")
+    more = materialize(_similar(_overlaps(pairs, segments), percent))
+    return component if more.isEmpty() else connected(links.union(more))
 
 
 def least_shared_column(size: str, percent: int):
@@ -212,7 +226,6 @@ def jaccard_components(
     text_col: str = "text",
     percent: int = PERCENT,
     fragments: int = FRAGMENTS,
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """`doc_id, n_shingles, component_id`, one row per input row.
 
@@ -229,7 +242,7 @@ def jaccard_components(
             F.min("doc_id").alias("least_id"), F.first("shared").alias("shared")
         )
     )
-    component = _components(nodes.select("node", "size", "shared"), percent, fragments, rounds)
+    component = _components(nodes.select("node", "size", "shared"), percent, fragments)
     placed = nodes.select("node", "least_id").join(component, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
     names = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -245,7 +258,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     found = jaccard_components(docs, id_col, text_col, **options)
     stays = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.dropDuplicates([id_col]).join(stays, F.col(id_col) == F.col("_stays"), "left_semi")
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    once = docs.filter(F.col(id_col).isNotNull()).withColumn("_place", place).filter("_place = 1").drop("_place")
+    kept = once.join(stays, F.col(id_col) == F.col("_stays"), "left_semi")
     return kept.union(docs.filter(F.col(id_col).isNull()))
 
 
