@@ -1,22 +1,63 @@
-"""The corpus pipeline: STAGES applied one after the other to `documents`."""
+"""From raw documents to token ids: five stages, each on all that its predecessor kept.
 
-from __future__ import annotations
+1. `quality`: documents that the quality rules reject go; of the others, lines that stand in very many
+   documents of the host are removed.
+2. `near_duplicates`: of each group of documents linked by similar 5-word shingles, the one with the smallest id stays.
+3. `personal_data`: spans of personal data are replaced by their kind.
+4. `mixing`: documents are dropped or repeated until the sources have their target weights.
+5. `tokens`: texts become ids of a byte-level BPE vocabulary; the decoded bytes are reported as a digest.
+
+Each function takes `(spark, docs, sf_dir)`; all but the last return the columns of `documents`. `run` writes every
+stage as Parquet into the shared folder and reads it again for the next one.
+"""
 
-from cribado.llm import bpe
+from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from cribado.llm import bpe, mixing, personal, quality, shingles
+from cribado.session import materialize
+
+#: Rank file of the vocabulary.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return shingles.keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return personal.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.repeat_documents(docs)
+
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_and_decode(docs, VOCABULARY, keep_ids=True)
 
-def encode(spark, docs, sf_dir):
-    return bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
+STAGES = [
+    ("quality", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mixing", mix_sources),
+    ("tokens", tokens),
+]
 
-STAGES = [("encode", encode)]
+#: SQL cannot express sampling by prefix sums in this order, nor byte-pair merges.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        docs = materialize(docs) if number < len(STAGES) else docs
     return docs

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cribado.functions.plan import with_column_once
 from cribado.llm.common import WORD, words
 from cribado.session import materialize
 
@@ -159,7 +160,9 @@ def judge(
     left = F.when(any_hit, _left_share(text, hits)).otherwise(F.lit(1.0))
     kept = ~F.col("base_failed") & (F.col("left_share") >= min_left)
     cleaned = F.when(any_hit, without_lines(text, hits)).otherwise(text)
-    return measured.withColumn("left_share", left).withColumn("kept", kept).withColumn("cleaned", cleaned).drop("_hits")
+    judged = measured.withColumn("left_share", left).withColumn("kept", kept).withColumn("cleaned", cleaned)
+    once = with_column_once(judged, "_judged", F.struct(*made))  # a later filter must not repeat all this
+    return once.select(*(c for c in docs.columns if c not in made), *(f"_judged.{c}" for c in made))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
