@@ -155,14 +155,15 @@ def _cut(sets: DataFrame, fragments: int) -> DataFrame:
 def _pairs(left: DataFrame, right: DataFrame, condition, percent: int) -> DataFrame:
     """Distinct pairs of different components that meet and could be similar.
 
-    What they share is at most what the lesser shares with anyone; and, where both have been compared with the leader
-    of the meeting place, at most the lesser overlap with it plus the lesser rest.
+    Two sets that share enough meet at a place from which on both still have as many shareable shingles (`after`) as
+    they must share: only there they are a pair. Where both have been compared with the leader of the meeting
+    place, they share at most the lesser overlap with it plus the lesser rest.
     """
-    columns = ("node", "component", "size", "shareable", "led")
+    columns = ("node", "component", "size", "shareable", "after", "led")
     a = left.select("s", *(F.col(c).alias(f"a_{c}") for c in columns))
     b = right.select("s", *(F.col(c).alias(f"b_{c}") for c in columns))
     needed = percent * (F.col("a_size") + F.col("b_size"))
-    most = F.least("a_shareable", "b_shareable")
+    most = F.least("a_after", "b_after")
     rest = F.least(F.col("a_shareable") - F.col("a_led"), F.col("b_shareable") - F.col("b_led"))
     by_leader = F.when(F.col("a_led").isNotNull() & F.col("b_led").isNotNull(), F.least("a_led", "b_led") + rest)
     possible = (100 + percent) * F.least(most, by_leader) >= needed
@@ -179,7 +180,7 @@ def _pairs(left: DataFrame, right: DataFrame, condition, percent: int) -> DataFr
 def _leaders(here: DataFrame) -> DataFrame:
     """Of each meeting place with several components, the set that shares the largest part of itself."""
     alone = (F.col("size") - F.col("shareable")) / F.col("size")
-    columns = ["node", "component", "size", "shareable", "led"]
+    columns = ["node", "component", "size", "shareable", "after", "led"]
     led = here.groupBy("s").agg(
         F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct(alone, F.xxhash64("node"), *columns)).alias("leader")
     )
@@ -191,7 +192,9 @@ def _components(nodes: DataFrame, percent: int, fragments: int) -> DataFrame:
     shareable = F.size("shared")
     prefix = shareable - least_shared_column("size", percent) + 1
     meetings = materialize(
-        nodes.select("node", "size", shareable.alias("shareable"), F.explode(F.slice("shared", F.lit(1), prefix)).alias("s"))
+        nodes.select(
+            "node", "size", shareable.alias("shareable"), F.posexplode(F.slice("shared", F.lit(1), prefix)).alias("place", "s")
+        ).select("s", "node", "size", "shareable", (F.col("shareable") - F.col("place")).alias("after"))
     )
     segments = materialize(_cut(nodes, fragments))
     here = meetings.withColumn("component", F.col("node")).withColumn("led", F.lit(None).cast("int"))
@@ -207,7 +210,7 @@ def _components(nodes: DataFrame, percent: int, fragments: int) -> DataFrame:
     here = here.join(both, ["leader", "node"], "left").join(component, "node", "left")
     here = here.withColumn("component", F.coalesce("component", "node"))
     here = here.withColumn("led", F.when(F.col("node") == F.col("leader"), F.col("shareable")).otherwise(F.col("overlap").cast("int")))
-    here = materialize(here.select("s", "node", "size", "shareable", "component", "led"))
+    here = materialize(here.select("s", "node", "size", "shareable", "after", "component", "led"))
     apart = here.groupBy("s").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
     still = here.join(apart.select("s"), "s", "left_semi")
     pairs = _pairs(still, still, F.col("a_node") < F.col("b_node"), percent)
