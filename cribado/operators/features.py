@@ -14,15 +14,15 @@ from pyspark.sql import types as T
 from cribado.functions.fixed import SCORING_BATCH
 
 FEATURES = "features"
-NUM_FEATURES = 1 << 10
+NUM_FEATURES = 1 << 14
 
 
 def text_stages(text_col: str, num_features: int = NUM_FEATURES, min_doc_freq: int = 1) -> list:
     """Hashed TF-IDF of the whole text, scaled to unit length: no external model, no Python.
 
-    `num_features` fixes the memory of model and fit. Up to about 1024 one pass over the data gives
-    the exact least-squares solution. Above 4096 the fit passes over the data once per iteration;
-    in between, solving the equations on the driver takes longest.
+    `num_features` fixes the memory of model and fit, and how often different words share a place. Up
+    to 4096 one pass over the data gives the exact least-squares solution; above, the fit passes over
+    the stored features once per iteration.
     """
     words = RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"[^\p{L}\p{N}_]+")
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=num_features)

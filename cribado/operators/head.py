@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +19,12 @@ from cribado.operators.features import FEATURES, apply_stages
 
 @dataclass(frozen=True)
 class Candidate:
-    """Settings of one head."""
+    """Settings of one head. A fit that needs iterations ends after `max_iter` or within `tolerance`."""
 
     reg_param: float = 0.0
     elastic_net: float = 0.0
-    max_iter: int = 30
+    max_iter: int = 100
+    tolerance: float = 1e-6
 
 
 @dataclass(frozen=True)
@@ -44,13 +46,33 @@ def head(candidate: Candidate, label_col: str = "label") -> LinearRegression:
         regParam=candidate.reg_param,
         elasticNetParam=candidate.elastic_net,
         maxIter=candidate.max_iter,
-        tol=1e-4,
+        tol=candidate.tolerance,
     )
 
 
 def fit_head(train: DataFrame, candidate: Candidate = Candidate(), label_col: str = "label") -> LinearRegressionModel:
-    """Fit on rows that already have features."""
-    return head(candidate, label_col).fit(train)
+    """Fit on rows that already have features; warns if the iterations end before the tolerance is met."""
+    model = head(candidate, label_col).fit(train)
+    if model.hasSummary and model.summary.totalIterations >= candidate.max_iter:
+        warnings.warn(f"not converged after {candidate.max_iter} iterations: {candidate}", RuntimeWarning, stacklevel=2)
+    return model
+
+
+def fit_stages(stages: Sequence[Estimator | Transformer], train: DataFrame) -> tuple[list[Transformer], DataFrame, list[DataFrame]]:
+    """Fit stages in turn: the fitted ones, the transformed rows, and what is stored meanwhile.
+
+    Rows are stored before a stage that has to be fitted, so what comes before it (here splitting and
+    hashing the texts) runs once, not once per pass.
+    """
+    fitted, stored = [], []
+    for stage in stages:
+        if isinstance(stage, Estimator):
+            train = train.persist(StorageLevel.MEMORY_AND_DISK)
+            stored.append(train)
+            stage = stage.fit(train)
+        fitted.append(stage)
+        train = stage.transform(train)
+    return fitted, train, stored
 
 
 def select_head(
@@ -66,12 +88,13 @@ def select_head(
     the fits; `test` is read once, for all candidates together. What reaches the driver is one
     row of metrics per candidate. The first of equal candidates wins.
     """
-    stages = Pipeline(stages=list(feature_stages)).fit(train).stages if feature_stages else []
-    prepared = apply_stages(stages, train).select(label_col, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    stages, prepared, stored = fit_stages(feature_stages, train)
+    prepared = prepared.select(label_col, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         models = [fit_head(prepared, candidate, label_col) for candidate in grid]
     finally:
-        prepared.unpersist()
+        for rows in (prepared, *stored):
+            rows.unpersist()
 
     scored = apply_stages(stages, test).select(label_col, FEATURES)
     for index, model in enumerate(models):

@@ -94,9 +94,11 @@ def tag_counts(
     counts = tags.groupBy("dataset", "_in_all", "kind", "tag").agg(
         F.count("*").alias("n"), F.min(place).alias("_place")
     )
+    if not combined:  # a dataset with paths on both sides of the exclusion is still one dataset
+        counts = counts.groupBy("dataset", "kind", "tag").agg(F.sum("n").alias("n"), F.min("_place").alias("_place"))
     counts = counts.withColumn("first_seen", F.struct("dataset", "_place")).drop("_place")
     if not combined:
-        return counts.drop("_in_all")
+        return counts
     if per_dataset:
         group = _groups(F.col("dataset"), F.col("_in_all"))
     else:
@@ -121,7 +123,7 @@ def top_tags(counts: DataFrame, top_domains: int = TOP_DOMAINS, top_use_cases: i
     rows = rows.groupBy(
         "dataset", "kind", "_total", F.when(~F.col("_total"), F.col("tag")).alias("tag")
     ).agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"))
-    order = Window.partitionBy("dataset", "kind").orderBy(F.desc("_total"), F.desc("n"), "first_seen")
+    order = Window.partitionBy("dataset", "kind").orderBy(F.desc("_total"), F.desc("n"), "first_seen", "tag")
     rank = F.col("rank")
     limit = F.when(F.col("kind") == DOMAIN, F.lit(top_domains)).otherwise(F.lit(top_use_cases))
     ranked = (
@@ -134,6 +136,24 @@ def top_tags(counts: DataFrame, top_domains: int = TOP_DOMAINS, top_use_cases: i
     return shares.select("dataset", "kind", "tag", "n", "pct", (rank - 1).alias("rank"))
 
 
+def taxonomy_gaps(counts: DataFrame, taxonomy: DataFrame, min_count: int = 1) -> DataFrame:
+    """Entries of the caller's taxonomy `(kind, tag)` that a dataset has fewer than `min_count` times.
+
+    One row `(dataset, kind, tag, n)` per gap; `n` is 0 for entries never met.
+    """
+    datasets = counts.select("dataset").distinct()
+    entries = F.collect_set(F.struct("kind", "tag")).alias("entries")
+    wanted = datasets.crossJoin(taxonomy.agg(entries)).select("dataset", F.inline("entries"))
+    met = wanted.join(counts.select("dataset", "kind", "tag", "n"), ["dataset", "kind", "tag"], "left")
+    return met.withColumn("n", F.coalesce("n", F.lit(0)).cast("long")).filter(F.col("n") < min_count)
+
+
+def unknown_tags(counts: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """Tags that the caller's taxonomy `(kind, tag)` does not have: `(dataset, kind, tag, n)`."""
+    known = taxonomy.select("kind", "tag").distinct()
+    return counts.select("dataset", "kind", "tag", "n").join(known, ["kind", "tag"], "left_anti").select("dataset", "kind", "tag", "n")
+
+
 def all_tags(counts: DataFrame) -> DataFrame:
     """All tags with their shares, most frequent first: `(dataset, kind, tag, n, pct)`.
 
@@ -142,4 +162,4 @@ def all_tags(counts: DataFrame) -> DataFrame:
     """
     totals = counts.groupBy("dataset", "kind").agg(F.sum("n").alias("_total"))
     shares = counts.join(totals, ["dataset", "kind"]).withColumn("pct", F.col("n") * 100.0 / F.col("_total"))
-    return shares.orderBy("dataset", "kind", F.desc("n"), "first_seen").select("dataset", "kind", "tag", "n", "pct")
+    return shares.orderBy("dataset", "kind", F.desc("n"), "first_seen", "tag").select("dataset", "kind", "tag", "n", "pct")

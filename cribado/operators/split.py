@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def _quotas(classes: DataFrame, y_col: str, train_permille: int) -> DataFrame:
 
 def stratified_split(
     df: DataFrame,
-    id_col: str,
+    id_col: str | Sequence[str],
     y_col: str = "y",
     train_permille: int = TRAIN_PERMILLE,
     seed: int = SPLIT_SEED,
@@ -46,15 +48,20 @@ def stratified_split(
     A plain ranking would sort each class in one task. Instead, counts per hash prefix find the
     prefix in which a class reaches its quota; only the rows with that prefix are sorted, and
     give the last hash that is still training. The rows themselves are then marked by comparing
-    hashes, without a shuffle. Ids must be unique. Classes are the six of the scale; a row
-    without a class gets no split. Ids and classes are read three times, so store `df` first if
-    they are costly to compute.
+    hashes, without a shuffle. An id may be several columns together, as `(dataset, id)`; rows that
+    share one are an error, as no split could tell them apart. Classes are the six of the scale; a
+    row without a class gets no split. Ids and classes are read several times, so store them first
+    if they are costly to compute.
     """
-    hashed = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
+    columns = [id_col] if isinstance(id_col, str) else list(id_col)
+    hashed = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in columns), F.lit(str(seed))))
     in_class = F.col(y_col).between(MIN_SCORE, MAX_SCORE)
     keys = df.filter(in_class).select(y_col, hashed.alias("_hash"))
     keys = keys.withColumn("_bucket", F.left("_hash", F.lit(_BUCKET_DIGITS)))
 
+    if not keys.groupBy("_hash").count().filter("count > 1").isEmpty():
+        raise ValueError(f"ids in {columns} are repeated")
+
     counts = keys.groupBy(y_col, "_bucket").agg(F.count("*").alias("n"))
     # Broadcasts here hold one row per class of the scale: six rows at most.
     quotas = F.broadcast(_quotas(counts.groupBy(y_col).agg(F.sum("n").alias("n")), y_col, train_permille))

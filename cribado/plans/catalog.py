@@ -15,12 +15,13 @@ from cribado.functions.scores import linear_score
 from cribado.operators import evaluation, labels, ratings, selection
 from cribado.operators.features import FEATURES, apply_stages, encoder_features, text_stages, vector_features
 from cribado.operators.head import Candidate, fit_head, select_head
+from cribado.operators.sample import sample_for_rating as draw_sample
 from cribado.operators.scoring import quantize, score_documents
 from cribado.operators.shards import pending_shards
 from cribado.operators.split import TEST, TRAIN, stratified_split
 from cribado.plans import curation, stand_ins
 from cribado.plans.curation import ask, train_on_responses
-from cribado.session import fresh_path, materialize, spread
+from cribado.session import fresh_path, materialize
 from cribado.sources import tables
 from cribado.streaming.incremental import process_new_files
 
@@ -94,7 +95,7 @@ def truncate_text(spark, sf_dir):
 
 def stub_generate(spark, sf_dir):
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    return ask(docs, "text", stand_ins.RATING_TEMPLATE, stand_ins.stub_judge).drop("text")
+    return ask(docs, "text", stand_ins.RATING_TEMPLATE, stand_ins.stub_judge, keep=["doc_id"])
 
 
 def _rating_responses(spark, sf_dir) -> DataFrame:
@@ -243,6 +244,38 @@ def label_distribution_all(spark, sf_dir):
     return _distribution(labels.tag_counts(normalize_labels(spark, sf_dir), "doc_id"))
 
 
+def _exploded_over_paths(spark, sf_dir) -> DataFrame:
+    """Labels of datasets with paths on both sides of the exclusion."""
+    docs = _documents(spark, sf_dir)
+    paths = docs.selectExpr("doc_id", f"{stand_ins.MIXED_PATH} AS path")
+    return normalize_labels(spark, sf_dir).join(paths, "doc_id")
+
+
+def label_distribution_full(spark, sf_dir):
+    counts = labels.tag_counts(_exploded_over_paths(spark, sf_dir), "doc_id", path_col="path", combined=False)
+    return labels.all_tags(materialize(counts)).withColumn("pct", F.round("pct", 6))
+
+
+def _taxonomy(spark, sf_dir) -> DataFrame:
+    """The caller's taxonomy; here the languages of the corpus and a few tags the responses use."""
+    known = _documents(spark, sf_dir).select(F.lit(labels.DOMAIN).alias("kind"), F.col("lang").alias("tag")).distinct()
+    return known.union(spark.createDataFrame(stand_ins.TAXONOMY, "kind string, tag string"))
+
+
+def taxonomy_gaps(spark, sf_dir):
+    counts = labels.tag_counts(normalize_labels(spark, sf_dir), "doc_id", combined=False)
+    return labels.taxonomy_gaps(counts, _taxonomy(spark, sf_dir), min_count=5)
+
+
+def unknown_tags(spark, sf_dir):
+    counts = labels.tag_counts(normalize_labels(spark, sf_dir), "doc_id", combined=False)
+    return labels.unknown_tags(counts, _taxonomy(spark, sf_dir))
+
+
+def sample_for_rating(spark, sf_dir):
+    return draw_sample(_corpus(spark, sf_dir), "doc_id", "source", 20)
+
+
 # Training and evaluation
 
 
@@ -279,7 +312,7 @@ def macro_metrics(spark, sf_dir):
 
 def text_features(spark, sf_dir):
     """TF-IDF of every document, folded to 64 dimensions to keep the listing readable."""
-    docs = spread(_documents(spark, sf_dir).select("doc_id", "text"))
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
     stages = text_stages("text", num_features=64)
     for index, stage in enumerate(stages):
         stages[index] = stage.fit(apply_stages(stages[:index], docs)) if hasattr(stage, "fit") else stage
@@ -357,6 +390,10 @@ QUERIES: dict[str, Query] = {
         label_distribution_domains,
         label_distribution_usecases,
         label_distribution_all,
+        label_distribution_full,
+        taxonomy_gaps,
+        unknown_tags,
+        sample_for_rating,
         confusion_matrix,
         classification_report,
         macro_metrics,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Estimator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cribado.functions.text import render_prompt
@@ -16,18 +16,54 @@ from cribado.operators.ratings import clean_ratings, parse_ratings, training_row
 from cribado.operators.scoring import score_documents
 from cribado.operators.selection import keep_by_score
 from cribado.operators.split import TEST, TRAIN, stratified_split
-from cribado.session import materialize, spread
+from cribado.session import materialize
 
 Encode = Callable[[DataFrame], DataFrame]
 
 
+#: A resumable run stores its answers in so many parts, one after the other.
+PARTS = 16
+
+
 def ask(
-    docs: DataFrame, text_col: str, template: str, factory: PredictorFactory, num_partitions: int | None = None
+    docs: DataFrame,
+    text_col: str,
+    template: str,
+    factory: PredictorFactory,
+    num_partitions: int | None = None,
+    keep: Sequence[str] | None = None,
+    output: str | None = None,
+    parts: int = PARTS,
 ) -> DataFrame:
-    """Render the prompts, ask the model, store rows with `response` and `error`."""
-    prompts = docs.withColumn("_prompt", render_prompt(template, F.col(text_col)))
-    answers = generate(prompts, "_prompt", factory, num_partitions=num_partitions).drop("_prompt")
-    return materialize(answers)
+    """Render the prompts, ask the model, store rows with `response` and `error`.
+
+    Only the columns `keep` (by default all but the text) are stored with the answers. The prompts are
+    dealt out over `num_partitions` tasks, by default as many as the cluster has cores, however few
+    the rows came in. With `output` the answers are stored there part by part, and a part that is complete
+    is not asked again when the call is repeated; `keep` must then hold the key and stay the same.
+    """
+    spark = docs.sparkSession
+    kept = list(keep) if keep is not None else [c for c in docs.columns if c != text_col]
+    tasks = num_partitions or spark.sparkContext.defaultParallelism
+    prompts = docs.select(*kept, render_prompt(template, F.col(text_col)).alias("_prompt"))
+
+    def answers(rows: DataFrame) -> DataFrame:
+        return generate(rows, "_prompt", factory, num_partitions=tasks).select(*kept, "response", "error")
+
+    if output is None:
+        return materialize(answers(prompts))
+    part = F.pmod(F.xxhash64(*kept), F.lit(parts))
+    for number in range(parts):
+        path = f"{output}/part={number}"
+        if not _stored(spark, path):
+            answers(prompts.filter(part == number)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(*(f"{output}/part={number}" for number in range(parts)))
+
+
+def _stored(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
 def train_on_responses(
@@ -36,22 +72,30 @@ def train_on_responses(
     feature_stages: Sequence[Estimator] = (),
     grid: Sequence[Candidate] = DEFAULT_GRID,
     encode: Encode | None = None,
+    docs: DataFrame | None = None,
 ) -> Selection:
     """Parse and clean stored ratings, split them by class and select a head.
 
     Features come from `feature_stages` or from `encode`, which adds them to a DataFrame
-    (`encoder_features`, `vector_features`).
+    (`encoder_features`, `vector_features`). Responses are parsed once; the split reads only the stored
+    ids and classes. `docs` has the texts if `responses` has none.
     """
-    rows = spread(materialize(stratified_split(training_rows(clean_ratings(parse_ratings(responses))), id_col)))
-    train, test = (rows.filter(F.col("split") == name) for name in (TRAIN, TEST))
+    rated = training_rows(clean_ratings(parse_ratings(responses)))
+    texts = docs if docs is not None else rated.drop("y", "label", "score_raw")
+    keys = materialize(rated.select(id_col, "y", "label"))
+    divided = stratified_split(keys, id_col).select(id_col, "y", "label", "split")
+    rows = materialize(texts.join(divided, id_col))
     if encode:
-        train, test = encode(train), encode(test)
+        rows = encode(rows)
+    train, test = (rows.filter(F.col("split") == name) for name in (TRAIN, TEST))
     return select_head(train, test, feature_stages, grid)
 
 
-def score_corpus(docs: DataFrame, chosen: Selection, encode: Encode | None = None) -> DataFrame:
-    """All documents with `score` and `int_score`."""
-    rows = spread(docs)
+def score_corpus(
+    docs: DataFrame, chosen: Selection, encode: Encode | None = None, num_partitions: int | None = None
+) -> DataFrame:
+    """All documents with `score` and `int_score`; `num_partitions` deals out few large files over more tasks."""
+    rows = docs.repartition(num_partitions) if num_partitions else docs
     scored = score_documents(chosen.model, encode(rows) if encode else rows)
     return scored.select(*docs.columns, "score", "int_score")
 
@@ -67,17 +111,30 @@ def curate(
     threshold: int = 3,
     grid: Sequence[Candidate] = DEFAULT_GRID,
     encode: Encode | None = None,
+    num_partitions: int | None = None,
+    output: str | None = None,
 ) -> DataFrame:
-    """Rate a sample, train a head on the ratings, score all documents, keep the good ones."""
-    responses = ask(sample.select(id_col, text_col), text_col, template, factory)
-    chosen = train_on_responses(responses, id_col, feature_stages, grid, encode)
+    """Rate a sample, train a head on the ratings, score all documents, keep the good ones.
+
+    `num_partitions` and `output` are those of `ask`.
+    """
+    rows = sample.select(id_col, text_col)
+    responses = ask(rows, text_col, template, factory, num_partitions, [id_col], output)
+    chosen = train_on_responses(responses, id_col, feature_stages, grid, encode, docs=rows)
     return keep_by_score(score_corpus(docs, chosen, encode), threshold)
 
 
 def label_report(
-    docs: DataFrame, id_col: str, text_col: str, template: str, factory: PredictorFactory
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    template: str,
+    factory: PredictorFactory,
+    num_partitions: int | None = None,
+    output: str | None = None,
 ) -> DataFrame:
     """Label documents that carry a `dataset` column and report the top tags per dataset and combined."""
-    answers = ask(docs.select("dataset", id_col, text_col), text_col, template, factory)
-    labels = normalize_labels(parse_labels(answers.drop(text_col)))
+    rows = docs.select("dataset", id_col, text_col)
+    answers = ask(rows, text_col, template, factory, num_partitions, ["dataset", id_col], output)
+    labels = normalize_labels(parse_labels(answers))
     return top_tags(tag_counts(labels, id_col))

@@ -182,7 +182,24 @@ _JUDGED = f"least(length({_PROMPT}) // 600, 5)"
 _JUDGED_RATINGS = f"""rated AS (SELECT doc_id, {_JUDGED} AS y FROM documents
   WHERE doc_id IN (SELECT doc_id FROM labels))"""
 
+_COUNTS = f"""{_TAGS},
+counted AS (SELECT dataset, kind, tag, count(*) AS n FROM tags WHERE tag <> '{fixed.CUT_TAG}' GROUP BY dataset, kind, tag),
+taxonomy AS (SELECT DISTINCT 'domain' AS kind, lang AS tag FROM documents
+  UNION SELECT * FROM (VALUES {", ".join(str(entry) for entry in stand_ins.TAXONOMY)}))"""
+
 ORACLE: dict[str, str] = {
+    "label_distribution_full": f"""WITH {_COUNTS}
+SELECT dataset, kind, tag, n, round(cast(n * 100.0 / sum(n) OVER (PARTITION BY dataset, kind) AS double), 6) AS pct
+FROM counted""",
+    "taxonomy_gaps": f"""WITH {_COUNTS}
+SELECT d.dataset, t.kind, t.tag, coalesce(c.n, 0) AS n
+FROM (SELECT DISTINCT dataset FROM counted) d CROSS JOIN taxonomy t LEFT JOIN counted c
+  ON c.dataset = d.dataset AND c.kind = t.kind AND c.tag = t.tag WHERE coalesce(c.n, 0) < 5""",
+    "unknown_tags": f"""WITH {_COUNTS}
+SELECT dataset, kind, tag, n FROM counted c
+WHERE NOT EXISTS (SELECT 1 FROM taxonomy t WHERE t.kind = c.kind AND t.tag = c.tag)""",
+    "sample_for_rating": """SELECT doc_id, source, text FROM (SELECT *, row_number() OVER (PARTITION BY source
+  ORDER BY md5(concat_ws('|', cast(doc_id AS string), '42')), doc_id) AS place FROM documents) WHERE place <= 20""",
     "read_documents": "SELECT * FROM documents",
     "scan_with_provenance": "SELECT doc_id, source, 'documents.parquet' AS file_name, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM documents",
     "resume_pending_shards": """SELECT source, count(*) AS n_docs FROM documents

@@ -7,6 +7,8 @@ in DuckDB.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 RATING_TEMPLATE = (
@@ -45,6 +47,16 @@ LABEL_RESPONSE = """CASE doc_id % 9
   WHEN 7 THEN concat('DOMINIO: Agricultura', chr(10), 'CASOS DE USO: Precios de Mercado')
   ELSE 'texto libre' END"""
 
+MIXED_PATH = "concat(source, CASE WHEN doc_id % 2 = 0 THEN '-toxicity' ELSE '' END)"
+TAXONOMY = [
+    ("domain", "Salud"),
+    ("domain", "Legal"),
+    ("domain", "Jardinería"),
+    ("use_case", "Telemedicina"),
+    ("use_case", "Tutoría STEM"),
+    ("use_case", "Calendario de riego"),
+]
+
 SHARD_PATH = "concat('/corpora/', replace(source, 'src', 'src_'), '_', lang, '/data-', cast(doc_id % 4 AS string), '.arrow')"
 MODEL_PATH = "models/Demo-70B_v1.5-Instruct"
 
@@ -53,9 +65,8 @@ HEAD_WEIGHTS = [((i * 7) % 11 - 5) / 10 for i in range(64)]
 HEAD_INTERCEPT = 2.5
 
 # Stand-in for an encoder: length and letter shares, in SQL and in numpy.
-LENGTH_CAP = 3000
 LETTERS = "aeosntw"
-TEXT_FEATURES = [f"least(length(text), {LENGTH_CAP}) / cast({LENGTH_CAP} AS double)"] + [
+TEXT_FEATURES = ["ln(1 + length(text)) / 8"] + [
     f"(length(text) - length(replace(text, '{c}', ''))) / cast(greatest(length(text), 1) AS double)" for c in LETTERS
 ]
 
@@ -70,7 +81,7 @@ def stub_encoder():
     """`make_predict_fn` with the features above as 32-bit numbers. A stub, not a trained encoder."""
 
     def predict(texts):
-        rows = [[min(len(t), LENGTH_CAP) / LENGTH_CAP] + [t.count(c) / max(len(t), 1) for c in LETTERS] for t in texts]
+        rows = [[math.log(1 + len(t)) / 8] + [t.count(c) / max(len(t), 1) for c in LETTERS] for t in texts]
         return np.array(rows, dtype="float32")
 
     return predict

@@ -48,16 +48,6 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Rows of a scan over all cores, if its files give fewer tasks than that.
-
-    For costly work per row on few large files. A large corpus has more tasks than cores and is
-    left alone, without a shuffle. Meant for scans: counting the tasks of a shuffled plan runs it.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +67,14 @@ def read_template(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first().value
 
 
+def _refuse_truncated(chunks: DataFrame, is_end: Column) -> None:
+    """Every results file must end where its object ends: a file cut at a record's end parses, but has lost rows."""
+    files = chunks.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count_if(is_end).alias("ends"))
+    cut = files.filter("ends <> 1").select("path").take(3)
+    if cut:
+        raise ValueError(f"truncated results file: {', '.join(row.path for row in cut)}")
+
+
 def read_results(
     spark: SparkSession, path: str, record: T.StructType, indented: bool = True, pattern: str = "*.json"
 ) -> DataFrame:
@@ -80,6 +88,7 @@ def read_results(
     if indented:
         chunks = reader.text(path, lineSep=_RECORD_END)
         body = F.rtrim(F.col("value"), F.lit(" \t\r\n"))
+        _refuse_truncated(chunks, body.endswith(_FILE_END) | F.regexp_replace(body, r"\s", "").isin("", "{}"))
         # Only the last chunk of a file still has its closing brackets.
         body = F.when(body.endswith(_FILE_END), F.left(body, F.length(body) - len(_FILE_END))).otherwise(body)
         body = F.when(body.startswith("{"), F.substr(body, F.lit(2))).otherwise(body)
