@@ -6,11 +6,12 @@ least hash among those inside it. So:
 1. Chunks ask which anchors other documents hold too.
 2. For each occurrence of a shared anchor, the bytes around it that a window with this anchor can reach go, once
    per distinct content and with the least document id, to the range of the anchor's hash.
-3. There the suffixes that begin at the same distance before the same anchor are sorted: a mergesort whose
-   comparisons find the common extension of two suffixes by binary search over prefix polynomial hashes, in
-   logarithmic steps. Neighbours in this order whose extension reaches LENGTH hold equal strings; their bytes are
-   compared as well, so a hash collision changes nothing. The least document of each run of equal strings
-   decides for all others.
+3. There the suffixes that begin with the same anchor are sorted: a mergesort whose comparisons find the common
+   extension of two suffixes by binary search over prefix polynomial hashes, in logarithmic steps. The order of the
+   suffixes that begin one byte earlier follows from it by that byte, and so on as far as windows reach.
+   Neighbours in an order whose hashes agree over LENGTH bytes hold equal strings; the bytes are compared as
+   well, so a hash collision changes nothing. The least document of each run of equal strings decides for
+   all others.
 4. Chunks mark the windows found and join them to spans.
 
 An anchor in very many documents would bring all their surroundings to one range. Its windows are sent one by one
@@ -202,18 +203,17 @@ class Suffixes:
             members, width = moved, 2 * width
         return members
 
-    def least_ids(self, members: np.ndarray, sizes: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
-        """The sorted members, and the least id among those with the same LENGTH bytes from this column."""
-        ordered = self.sort(members, sizes, column)
+    def least_ids(self, ordered: np.ndarray, group: np.ndarray, column: int) -> np.ndarray:
+        """For suffixes in order, the least id among those of a group with the same LENGTH bytes from this column."""
         new = np.ones(len(ordered), bool)
         a, b = ordered[1:], ordered[:-1]
-        new[1:] = self.extension(a, b, column) < LENGTH
-        new[np.cumsum(sizes)[:-1]] = True
+        whole = self.prefix[:, column + LENGTH] - self.prefix[:, column]
+        new[1:] = (group[a] != group[b]) | (whole[a] != whole[b])
         same = np.flatnonzero(~new[1:])
         window = self.rows.data[:, column : column + LENGTH]
         new[same + 1] = (window[a[same]] != window[b[same]]).any(axis=1)
         least = np.minimum.reduceat(self.rows.ids[ordered], np.flatnonzero(new)) if len(ordered) else ordered
-        return ordered, least[np.cumsum(new) - 1]
+        return least[np.cumsum(new) - 1]
 
 
 def _ask(chunk: Chunk, ranges: int):
@@ -291,11 +291,14 @@ def _least_per_window(rows: Rows) -> np.ndarray:
         part = rows.take(members)
         suffixes = Suffixes(part)
         group = np.repeat(np.arange(len(own)), sizes[own])
+        ordered = suffixes.sort(np.arange(len(members)), sizes[own], REACH)
         for distance in range(REACH + 1):
-            valid = np.flatnonzero((part.before >= distance) & (part.after.astype(int) + distance >= LENGTH))
-            counts = np.bincount(group[valid], minlength=len(own))
-            ordered, ids = suffixes.least_ids(valid, counts[counts > 0], REACH - distance)
-            least[members[ordered], distance] = ids
+            if distance:  # the order of suffixes one byte longer: by this byte, then by the order so far
+                ordered = ordered[part.before[ordered] >= distance]
+                byte = part.data[ordered, REACH - distance]
+                ordered = ordered[np.argsort(group[ordered] << 8 | byte, kind="stable")]
+            valid = ordered[part.after[ordered].astype(int) + distance >= LENGTH]
+            least[members[valid], distance] = suffixes.least_ids(valid, group, REACH - distance)
     return least
 
 
