@@ -165,3 +165,15 @@ def test_linear_score(spark):
     df = spark.createDataFrame([([1.0, 2.0],), (None,)], "v array<float>")
     rows = df.select(scores.linear_score(F.col("v"), [0.5, -1.0], 3.0).alias("s")).collect()
     assert [row.s for row in rows] == [1.5, None]
+
+
+def test_digits_of_other_scripts_are_ratings(spark):
+    rows = spark.createDataFrame([("٣",), ("४.५",), ("4",), (".5",)], "raw string")
+    assert [r[0] for r in rows.select(scores.rating_class(F.col("raw"))).collect()] == [3, 4, 4, None]
+
+
+def test_weights_of_another_length_are_an_error(spark):
+    rows = spark.createDataFrame([([1.0, 2.0],), (None,)], "v array<double>")
+    assert [r[0] for r in rows.select(scores.linear_score(F.col("v"), [1.0, 1.0])).collect()] == [3.0, None]
+    with pytest.raises(Exception, match="another length"):
+        rows.select(scores.linear_score(F.col("v"), [1.0])).collect()

@@ -125,3 +125,13 @@ def test_plan_cuts_groups_before_the_shuffle_and_hashes_the_tags(spark):
     plan = labels.top_tags(counts)._jdf.queryExecution().executedPlan().toString()
     partial = plan.index("row_number(), 21, Partial")
     assert plan.index("row_number(), 21, Final") < partial
+
+
+def test_a_dataset_on_both_sides_of_the_exclusion_is_one_dataset(spark):
+    rows = [("d", "d/a", 1), ("d", "d/a-toxicity", 2), ("d", "d/a", 3)]
+    rows = [(*r, "DOMINIO: Salud\nCASOS DE USO: x") for r in rows]
+    df = labels.parse_labels(spark.createDataFrame(rows, "dataset string, path string, id bigint, response string"))
+    shares = labels.all_tags(labels.tag_counts(df, "id", "path", combined=False))
+    assert sorted((r.kind, r.tag, r.n, r.pct) for r in shares.collect()) == [("domain", "Salud", 3, 100.0), ("use_case", "x", 3, 100.0)]
+    both = labels.top_tags(labels.tag_counts(df, "id", "path")).filter("kind = 'domain'")
+    assert {r.dataset: r.n for r in both.collect()} == {"d": 3, "All-Datasets": 2}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -243,9 +246,52 @@ def test_shared_folder_comes_from_the_session(spark):
     assert len(paths) == 3 and all(p.startswith(root) for p in paths)
 
 
-def test_spread_only_when_tasks_are_few(spark, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "few"))
-    few = spark.read.parquet(str(tmp_path / "few"))
-    assert session.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 1000, numPartitions=50)
-    assert session.spread(many) is many
+def test_a_sample_from_a_join_is_answered_in_several_tasks(spark):
+    """Adaptive execution puts a small joined sample into one partition; the prompts are dealt out again."""
+
+    def where():
+        from pyspark import TaskContext
+
+        return lambda prompts: [str(TaskContext.get().partitionId())] * len(prompts)
+
+    docs = spark.range(400).selectExpr("id", "concat('texto ', id) AS texto")
+    sample = docs.join(spark.range(0, 400, 2), "id")
+    answers = ask(sample, "texto", "<EJEMPLO>", where, num_partitions=5)
+    assert answers.columns == ["id", "response", "error"]  # the text is not stored again
+    assert answers.select("response").distinct().count() == 5
+    assert ask(sample, "texto", "<EJEMPLO>", where, keep=["id", "texto"]).columns[:2] == ["id", "texto"]
+
+
+def test_a_repeated_run_asks_only_what_is_missing(spark, tmp_path):
+    log, broken = str(tmp_path / "calls.txt"), str(tmp_path / "broken")
+
+    def counting():
+        def predict(prompts):
+            if os.path.exists(broken) and os.path.exists(log) and len(open(log).read().split()) > 20:
+                return []  # fails the task
+            with open(log, "a") as out:
+                out.writelines(f"{p}\n" for p in prompts)
+            return ["PUNTUACIÓN EDUCATIVA: 3"] * len(prompts)
+
+        return predict
+
+    docs = spark.createDataFrame([(i, f"d{i}") for i in range(60)], "id bigint, texto string")
+    run = lambda: ask(docs, "texto", "<EJEMPLO>", counting, 1, ["id"], str(tmp_path / "out"), parts=6)
+    open(broken, "w").close()
+    with pytest.raises(Exception, match="0 responses"):
+        run()
+    finished = set(open(log).read().split())
+    os.remove(broken)
+    assert run().count() == run().count() == 60
+    calls = Counter(open(log).read().split())
+    assert set(calls) == {f"d{i}" for i in range(60)}
+    done = [p.name for p in (tmp_path / "out").glob("part=*")]
+    assert len(done) == 6 and finished and max(calls.values()) <= 2
+
+
+def test_a_fit_that_does_not_converge_warns(spark):
+    rng = np.random.default_rng(0)
+    rows = [(float(v @ [1, 2, 3]), v.tolist()) for v in rng.normal(size=(80, 3))]
+    df = spark.createDataFrame(rows, "label double, v array<double>")
+    with pytest.warns(RuntimeWarning, match="not converged"):
+        head.fit_head(vector_features(df, "v"), head.Candidate(0.1, elastic_net=0.5, max_iter=1))

@@ -201,3 +201,14 @@ def test_results_are_appended(spark, tmp_path):
         assert spark.read.format(fmt).load(str(tmp_path / fmt)).count() == 6
     with pytest.raises(ValueError):
         sinks.write_results(spark.range(3), str(tmp_path / "x"), "csv")
+
+
+def test_a_truncated_results_file_is_refused(spark, tmp_path):
+    records = {str(i): {"Score": "3", "Prompt": f"t{i}"} for i in range(5)}
+    text = json.dumps(records, indent=4)
+    (tmp_path / "whole.json").write_text(text)
+    assert tables.read_ratings(spark, str(tmp_path)).count() == 5
+    end = text.index("\n    },\n", text.index('"2"')) + len("\n    },\n")
+    (tmp_path / "cut.json").write_text(text[:end])
+    with pytest.raises(ValueError, match="cut.json"):
+        tables.read_ratings(spark, str(tmp_path))

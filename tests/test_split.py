@@ -72,3 +72,13 @@ def test_rows_are_not_shuffled(spark):
     shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange Single" in line]
     assert shuffles and not any("text" in line for line in shuffles)
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_ids_of_several_columns(spark):
+    """Ids that are unique only within a dataset need the dataset as well."""
+    rows = [(d, i, i % 3) for d in ("a", "b", "c") for i in range(40)]
+    df = spark.createDataFrame(rows, "dataset string, id bigint, y int")
+    with pytest.raises(ValueError, match="repeated"):
+        stratified_split(df, "id")
+    counts = dict(stratified_split(df, ["dataset", "id"]).groupBy("split").count().collect())
+    assert counts == {"train": 114, "test": 6}
