@@ -21,6 +21,7 @@ instead, each to the range of its own hash, where equal ones meet.
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -71,22 +72,36 @@ class Anchors:
 
     def __init__(self, chunk: Chunk):
         self.chunk = chunk
-        hashes = rolling(chunk.bytes, ANCHOR)
-        self.least = sliding_least(hashes, REACH + 1) if len(hashes) > REACH else hashes[:0]
-        step = np.zeros(len(self.least) + 1, np.int32)
+        step = np.zeros(max(0, len(chunk.bytes) - LENGTH + 1) + 1, np.int8)
         long = chunk.ends - chunk.begins >= LENGTH
         np.add.at(step, chunk.begins[long], 1)
         np.add.at(step, chunk.ends[long] - LENGTH + 1, -1)
-        self.fits = np.cumsum(step[:-1]) > 0  # a whole window begins here
-        marks = np.zeros(len(hashes), bool)
-        for shift in range(REACH + 1 if len(self.least) else 0):
-            # All places of the least hash are anchors, so equal strings have the same ones.
-            marks[shift : shift + len(self.least)] |= self.fits & (hashes[shift : shift + len(self.least)] == self.least)
-        self.places = np.flatnonzero(marks)
-        self.hashes = hashes[self.places]
+        self.fits = np.cumsum(step[:-1], dtype=np.int8) > 0  # a whole window begins here
+        places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for at, hashes, least in self._blocks():
+            marks = np.zeros(len(hashes), bool)
+            for shift in range(REACH + 1):
+                # All places of the least hash are anchors, so equal strings have the same ones.
+                part = hashes[shift : shift + len(least)] == least
+                marks[shift : shift + len(least)] |= self.fits[at : at + len(least)] & part
+            places.append(np.flatnonzero(marks) + at)
+            found.append(hashes[marks])
+        self.places, first = np.unique(np.concatenate(places), return_index=True)  # blocks overlap by REACH
+        self.hashes = np.concatenate(found)[first]
         self.docs = np.searchsorted(chunk.ends, self.places)
         self.ids = chunk.order_ids()[self.docs]
 
+    def _blocks(self):
+        """For blocks of window places: the first, the hashes of all anchors they reach, the least of each window."""
+        for at in range(0, len(self.fits), chunks.BLOCK):
+            end = min(at + chunks.BLOCK, len(self.fits))
+            hashes = rolling(self.chunk.bytes[at : end + LENGTH - 1], ANCHOR)
+            yield at, hashes, sliding_least(hashes, REACH + 1)
+
+    def least(self) -> np.ndarray:
+        """The least hash inside each window."""
+        return np.concatenate([np.zeros(0, np.uint64), *(least for _, _, least in self._blocks())])
+
     def keys(self) -> np.ndarray:
         return self.hashes >> np.uint64(64 - _KEY_BITS)
 
@@ -106,11 +121,17 @@ class Rows:
     @classmethod
     def around(cls, chunk: Chunk, places, before, after, ids):
         padded = np.concatenate([np.zeros(REACH, np.uint8), chunk.bytes, np.zeros(LENGTH, np.uint8)])
-        data = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[places].copy()
+        data = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[places]
         columns = np.arange(WIDTH)
-        data[(columns < REACH - before[:, None]) | (columns >= REACH + after[:, None])] = 0
+        for at in range(0, len(data), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            data[part][(columns < REACH - before[part, None]) | (columns >= REACH + after[part, None])] = 0
         return cls(data, before, after, ids)
 
+    @classmethod
+    def joined(cls, parts: list[Rows]):
+        return cls(*(np.concatenate([getattr(r, name) for r in parts]) for name in ("data", "before", "after", "ids")))
+
     def take(self, which) -> Rows:
         return Rows(self.data[which], self.before[which], self.after[which], self.ids[which])
 
@@ -244,33 +265,44 @@ def _reply_shared(hot: int):
     return reply
 
 
-def _shared_rows(chunk: Chunk, kinds: np.ndarray, a: Anchors):
-    """Rows to send with their place, window distance and route; `kinds` has 0, 1 or 2 for each anchor."""
+class Occurrences(NamedTuple):
+    """Where rows stand in a chunk: place, bytes before and after, document id, number of the row."""
+
+    places: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    ids: np.ndarray
+    row: np.ndarray
+
+
+def _shared_rows(chunk: Chunk, kinds: np.ndarray, a: Anchors) -> tuple[Rows, np.ndarray, Occurrences]:
+    """Rows to send, their routes, and their occurrences; `kinds` has 0, 1 or 2 for each anchor.
+
+    Rows of a frequent anchor are made distinct for one distance of windows at a time, so a chunk never holds the bytes
+    of all its windows.
+    """
+    parts, routes, occurrences, count = [], [], [], 0
+
+    def add(places, before, after, ids, anchors=None):
+        nonlocal count
+        rows = Rows.around(chunk, places, before, after, ids)
+        heads, inverse = rows.distinct()
+        parts.append(rows.take(heads))
+        routes.append(parts[-1].hashes(seed=9) if anchors is None else anchors[heads])
+        occurrences.append((places, before, after, ids, inverse + count))
+        count += len(heads)
+
     plain = np.flatnonzero(kinds == 1)
-    before, after = a.reach(plain)
-    places, ids, route = [a.places[plain]], [a.ids[plain]], [a.hashes[plain]]
-    befores, afters = [before], [after]
+    add(a.places[plain], *a.reach(plain), a.ids[plain], a.hashes[plain])
     hot = np.flatnonzero(kinds == 2)
+    least = a.least() if len(hot) else None
     for distance in range(REACH + 1 if len(hot) else 0):
         starts = a.places[hot] - distance
-        own = np.flatnonzero(starts >= 0)
-        own = own[starts[own] < len(a.least)]
-        own = own[a.fits[starts[own]] & (a.least[starts[own]] == a.hashes[hot][own])]
-        starts, docs = starts[own], a.docs[hot][own]
-        own = own[chunk.begins[docs] <= starts]
-        starts = a.places[hot][own] - distance
-        places.append(starts)
-        ids.append(a.ids[hot][own])
-        befores.append(np.zeros(len(own), np.uint8))
-        afters.append(np.full(len(own), LENGTH, np.uint8))
-        route.append(np.zeros(len(own), np.uint64))
-    places = np.concatenate(places)
-    rows = Rows.around(chunk, places, np.concatenate(befores), np.concatenate(afters), np.concatenate(ids))
-    route = np.concatenate(route)
-    windows = np.arange(len(route)) >= len(plain)
-    if windows.any():
-        route[windows] = rows.take(windows).hashes(seed=9)
-    return places, rows, chunks.mix64(route)
+        own = np.flatnonzero((starts >= chunk.begins[a.docs[hot]]) & (starts < len(least)))
+        own = own[a.fits[starts[own]] & (least[starts[own]] == a.hashes[hot][own])]
+        add(starts[own], np.zeros(len(own), np.uint8), np.full(len(own), LENGTH, np.uint8), a.ids[hot][own])
+    joined = Occurrences(*(np.concatenate(column) for column in zip(*occurrences)))
+    return Rows.joined(parts), chunks.mix64(np.concatenate(routes)), joined
 
 
 def _least_per_window(rows: Rows) -> np.ndarray:
@@ -305,14 +337,16 @@ def _least_per_window(rows: Rows) -> np.ndarray:
 def _reply_windows(payloads: list[bytes]) -> list[bytes]:
     """For each row one bit per distance: whether a smaller document has this window."""
     sent = [Rows.unpack(p) for p in payloads]
-    rows = Rows(*(np.concatenate([getattr(r, name) for r in sent]) for name in ("data", "before", "after", "ids")))
+    sizes = [len(r.ids) for r in sent]
+    rows = Rows.joined(sent)
+    del sent
     heads, inverse = rows.distinct()
     least = _least_per_window(rows.take(heads))
     masks = np.zeros(len(rows.ids), np.uint32)
     for distance in range(REACH + 1):
         valid = (rows.before >= distance) & (rows.after.astype(int) + distance >= LENGTH)
         masks |= (valid & (least[inverse, distance] < rows.ids)).astype(np.uint32) << np.uint32(distance)
-    return [chunks.pack(m) for m in np.split(masks, np.cumsum([len(r.ids) for r in sent])[:-1])]
+    return [chunks.pack(m) for m in np.split(masks, np.cumsum(sizes)[:-1])]
 
 
 def _dealt(rows: Rows, route: np.ndarray, ranges: int):
@@ -325,18 +359,18 @@ def _dealt(rows: Rows, route: np.ndarray, ranges: int):
     return heads[order], target[order].astype(np.int64), rank[inverse]
 
 
-def _removed(chunk: Chunk, places: np.ndarray, rows: Rows, heads: np.ndarray, inverse: np.ndarray, masks: np.ndarray):
+def _removed(chunk: Chunk, found: Occurrences, least: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Bytes to remove, from the least id in the chunk and the answer for each occurrence."""
     starts = np.zeros(len(chunk.bytes) + 1, bool)
-    first = rows.ids == rows.ids[heads][inverse]
-    mask = np.where(first, masks[inverse], np.uint32(0xFFFFFFFF))
+    mask = np.where(found.ids == least, masks, np.uint32(0xFFFFFFFF))
     for distance in range(REACH + 1):
-        valid = (rows.before >= distance) & (rows.after.astype(int) + distance >= LENGTH)
-        starts[places[valid & ((mask >> np.uint32(distance)) & 1).astype(bool)] - distance] = True
+        valid = (found.before >= distance) & (found.after >= LENGTH - distance)
+        starts[found.places[valid & ((mask >> np.uint32(distance)) & 1).astype(bool)] - distance] = True
     begin = np.flatnonzero(starts)
-    step = np.zeros(len(chunk.bytes) + 1, np.int32)
+    step = np.zeros(len(chunk.bytes) + 1, np.int16)
     step[begin] += 1
     step[begin + LENGTH] -= 1
-    return np.cumsum(step[:-1]) > 0
+    return np.cumsum(step[:-1], dtype=np.int16) > 0
 
 
 def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True, hot: int = HOT_DOCUMENTS) -> DataFrame:
@@ -359,7 +393,7 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         a = Anchors(chunk)
         kinds = kinds_of(a, answers)
         yield 0, chunk.number, None, chunks.pack(kinds) if len(kinds) else None
-        _, rows, route = _shared_rows(chunk, kinds, a)
+        rows, route, _ = _shared_rows(chunk, kinds, a)
         heads, target, _ = _dealt(rows, route, ranges)
         bounds = np.searchsorted(target, np.arange(ranges + 1))
         for r in np.flatnonzero(np.diff(bounds)).tolist():
@@ -368,10 +402,11 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def mark(chunk: Chunk, answers, state):
         gone = np.zeros(len(chunk.bytes), bool)
         if state is not None and answers:
-            places, rows, route = _shared_rows(chunk, chunks.unpack(state, np.uint8), Anchors(chunk))
+            rows, route, found = _shared_rows(chunk, chunks.unpack(state, np.uint8), Anchors(chunk))
             heads, _, inverse = _dealt(rows, route, ranges)
             masks = np.concatenate([chunks.unpack(x, np.uint32) for x in answers])
-            gone = _removed(chunk, places, rows, heads, inverse, masks)
+            row = inverse[found.row]
+            gone = _removed(chunk, found, rows.ids[heads][row], masks[row])
         for number, begin, end in zip(chunk.ids, chunk.begins.tolist(), chunk.ends.tolist()):
             mine = gone[begin:end]
             kept = chunk.bytes[begin:end][~mine].tobytes()
