@@ -204,6 +204,15 @@ def test_personal_data_of_odd_rows(odd):
     assert personal.detect(empty(odd)).count() == 0
 
 
+def test_addresses_with_zero_parts(spark):
+    texts = ["from 10.0.0.1 on", "0.0.0.0", "000.1.1.1", "127.0.0.1 00.00.0.0", "256.1.1.1", "1.1.1.0256", "0300.0.0.0", "0010.0255.1.000"]
+    rows = list(enumerate(texts))
+    found = personal.detect(spark.createDataFrame(rows, "doc_id long, text string"))
+    spans = {r.doc_id: [(s.start, s.kind, personal.KINDS[s.kind], s.stop) for s in r.base] for r in found.collect()}
+    assert spans == {i: brute.personal_spans(t) for i, t in rows}
+    assert sum(map(len, spans.values())) == 6
+
+
 def test_classifier_adds_what_patterns_miss(spark):
     rows = [(i, f"call +1 (988) 555-24{i:02d} or write a{i}@b.com, card 4524132264652876.") for i in range(40)]
     rows += [(50, "+1 (269) 555-3296 4524132264652876 and x"), (51, "token abc071129071368dd"), (52, "é\U0001f600 a@b.com")]
