@@ -1,8 +1,9 @@
 """Exact top-k search by inner product over vectors of whole numbers.
 
 Queries and candidates are dealt out by hash over a grid whose cells hold a bounded number of either. Each cell
-multiplies tiles of its queries with shards of its candidates and keeps the best k per query and tile by
-partial selection; the lists of the cells are merged as a tree. Nothing is broadcast, and no pair of rows
+multiplies tiles of its queries with shards of its candidates and keeps the best k ids per query and tile by
+partial selection; the lists of the cells are merged as a tree. Repeated rows are folded before they are dealt
+out, several vectors of an id before each cut. Nothing is broadcast, and no pair of rows
 leaves a cell unless it is among the best k there.
 """
 
@@ -56,6 +57,14 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return row[keep], np.stack([value[keep], found[keep]])
 
 
+def _once(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of equal ids, which stand side by side, as one with the best score of each row."""
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    if len(first) == len(ids):
+        return scores, ids
+    return np.maximum.reduceat(scores, first, axis=1), ids[first]
+
+
 def _search_cell(k: int):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         found = []
@@ -63,12 +72,14 @@ def _search_cell(k: int):
             dim = len(queries.column("vector")[0])
             left, right = _matrix(queries, dim), _matrix(candidates, dim)
             left_ids, right_ids = (np.asarray(t.column("vec_id")) for t in (queries, candidates))
+            by_id = np.argsort(right_ids, kind="stable")
+            right, right_ids = right[by_id], right_ids[by_id]
             for q in range(0, len(left), TILE_QUERIES):
                 own = left_ids[q : q + TILE_QUERIES]
                 lists = []
                 for c in range(0, len(right), TILE_CANDIDATES):
-                    ids = right_ids[c : c + TILE_CANDIDATES]
                     scores = _scores(left[q : q + TILE_QUERIES], right[c : c + TILE_CANDIDATES])
+                    scores, ids = _once(scores, right_ids[c : c + TILE_CANDIDATES])
                     same = own[:, None] == ids[None, :]
                     if same.any():  # a query is no candidate of its own: k + its own rows, less these
                         row, best = _best(np.where(same, LONG.min, scores), ids, k + int(same.sum(axis=1).max()))
@@ -78,6 +89,11 @@ def _search_cell(k: int):
                         row, best = _best(scores, ids, k)
                     lists.append(np.vstack([row, best]))
                 row, value, ids = np.hstack(lists)
+                order = np.lexsort((-np.maximum(value, LONG.min + 1), ids, row))
+                row, value, ids = row[order], value[order], ids[order]
+                again = (row[1:] == row[:-1]) & (ids[1:] == ids[:-1])  # an id with vectors in two tiles
+                first = np.concatenate([[True], ~again])[: len(row)]
+                row, value, ids = row[first], value[first], ids[first]
                 order = np.lexsort((ids, -np.maximum(value, LONG.min + 1), row))
                 row, value, ids = row[order], value[order], ids[order]
                 keep = np.arange(len(row)) - np.searchsorted(row, row) < k
@@ -112,7 +128,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec
 
     def dealt(df: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
         mine = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-        spread = df.withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        spread = df.distinct().withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
         return spread.withColumn("dim", F.size("vector"))
 
     cell = ["dim", "row", "column"]

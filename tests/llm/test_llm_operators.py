@@ -152,6 +152,20 @@ def test_topk_with_gaps_and_ties(spark):
     assert topk.search(empty(df), df, 3).count() == topk.search(df, empty(df), 3).count() == 0
 
 
+@pytest.mark.parametrize("tile", [4096, 3])
+def test_topk_with_repeated_ids(spark, monkeypatch, tile):
+    monkeypatch.setattr(topk, "TILE_CANDIDATES", tile)
+    rows = [(0, [1.0, 0.0])] * 3 + [(1, [9.0, 1.0])] * 20 + [(i, [float(10 - i), 1.0]) for i in range(2, 9)]
+    rows += [(2, [float(-v), 2.0]) for v in range(12)] + [(3, [float(v) / 2 // 1, 3.0]) for v in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(3)
+    best: dict = {}
+    for i, v in rows[3:]:
+        best[i] = max(best.get(i, -100), int(v[0]))
+    expected = sorted((-score, i) for i, score in best.items())[:4]
+    found = topk.search(df.filter("vec_id = 0"), df, 4).orderBy("rank").collect()
+    assert [tuple(r) for r in found] == [(0, n, i, -score) for n, (score, i) in enumerate(expected, 1)]
+
+
 def test_topk_over_many_cells(spark, monkeypatch):
     for name, size in {"CELL_QUERIES": 20, "CELL_CANDIDATES": 8, "TILE_QUERIES": 7, "TILE_CANDIDATES": 5, "FAN_IN": 3}.items():
         monkeypatch.setattr(topk, name, size)
