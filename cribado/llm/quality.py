@@ -2,9 +2,11 @@
 
 Cross-document line frequency: lines are normalised and hashed, the distinct documents that hold a line are
 counted per host, lines above the limit are removed, and documents that lose too much are rejected. Exact
-copies of a text count as one document here, else the copies of a clean text would reject each other.
+copies of a text count as one document here, else the copies of a clean text would reject each other. For the
+same reason `keep_good` counts each family of near copies once, as linked by `shingles.jaccard_components`, and
+lets the limit grow with the host; `judge` leaves both out by default, since the SQL of op10 fixes its counts.
 
-Built-in functions only. Counting is by (host, line, text), so neither a frequent line nor a large host meets
+Built-in functions only, but for the families. Counting is by (host, line, text), so neither a frequent line nor a large host meets
 in one task. The lines above the limit are sent to all tasks only if their counted number allows it; beyond
 that, the lines of all documents are joined with them.
 """
@@ -15,11 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cribado.functions.plan import with_column_once
+from cribado.llm import shingles
 from cribado.llm.common import WORD, words
 from cribado.session import materialize
 
 #: A line in more distinct texts of one host than this is removed.
 MAX_TEXTS = 100
+#: For `keep_good` the limit is this share of the host's distinct texts, and MAX_TEXTS at least.
+HOST_SHARE = 0.001
 #: A document is depleted if less than this share of its words is left.
 MIN_LEFT = 0.3
 #: Up to so many frequent lines (8 bytes each) are broadcast.
@@ -93,15 +98,39 @@ def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return measured.withColumn("base_failed", failed).drop("_words", "_windows")
 
 
-def frequent_lines(docs: DataFrame, text_col: str, host_col: str, max_texts: int) -> DataFrame:
-    """`(host, line)` of the lines that stand in more than `max_texts` distinct texts of a host."""
-    lines = docs.select(
-        F.col(host_col).cast("string").alias("host"),
-        F.xxhash64(F.col(text_col)).alias("text_hash"),
-        F.explode(F.array_distinct(normal_lines(F.col(text_col)))).alias("line"),
+def frequent_lines(docs: DataFrame, text_col: str, host_col: str, max_texts: int, host_share: float = 0.0) -> DataFrame:
+    """`(host, line)` of the lines that stand in more than `max_texts` distinct texts of a host, and `limit`.
+
+    The limit is `host_share` of the host's distinct texts where that is more than `max_texts`.
+    """
+    texts = docs.select(F.col(host_col).cast("string").alias("host"), F.xxhash64(F.col(text_col)).alias("text_hash"), text_col)
+    lines = texts.select("host", "text_hash", F.explode(F.array_distinct(normal_lines(F.col(text_col)))).alias("line"))
+    counted = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("texts")).filter(F.col("texts") > max_texts)
+    if not host_share:
+        return counted.select("host", "line", F.lit(float(max_texts)).alias("limit"))
+    sizes = texts.select(F.col("host").alias("_host"), "text_hash").distinct().groupBy("_host").agg(F.count("*").alias("all"))
+    limited = counted.join(sizes, F.col("host").eqNullSafe(F.col("_host")))
+    limited = limited.withColumn("limit", F.greatest(F.lit(float(max_texts)), F.lit(host_share) * F.col("all")))
+    return limited.filter(F.col("texts") > F.col("limit")).select("host", "line", "limit")
+
+
+def frequent_over_families(docs: DataFrame, frequent: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """Those of the `frequent` lines that are above their limit when a family of near copies counts once.
+
+    Only texts with a frequent line are compared, each distinct one once: links through other texts do not count.
+    """
+    rows = _hits_of(docs, frequent, id_col, text_col, host_col).filter(F.size("_hits") > 0)
+    held = materialize(
+        rows.select(F.col(host_col).cast("string").alias("host"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"), "_hits")
     )
-    counted = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("texts"))
-    return counted.filter(F.col("texts") > max_texts).select("host", "line")
+    texts = materialize(held.groupBy("text_hash").agg(F.first("text").alias("text")))
+    family = shingles.jaccard_components(texts, "text_hash", "text")
+    family = family.select(F.col("doc_id").alias("text_hash"), F.col("component_id").alias("family"))
+    lines = held.select("host", "text_hash", "_hits").join(family, "text_hash")
+    lines = lines.select("host", "family", F.explode("_hits").alias("line")).distinct()
+    counted = lines.groupBy(F.col("host").alias("_host"), F.col("line").alias("_line")).agg(F.count("*").alias("families"))
+    same = F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line"))
+    return frequent.join(counted, same).filter(F.col("families") > F.col("limit")).select("host", "line", "limit")
 
 
 def _left_share(text: Column, hits: Column) -> Column:
@@ -119,10 +148,18 @@ def without_lines(text: Column, hits: Column) -> Column:
     return F.array_join(left, "\n")
 
 
-def with_hits(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_texts: int) -> DataFrame:
+def with_hits(
+    docs: DataFrame, id_col: str, text_col: str, host_col: str, max_texts: int, host_share: float = 0.0, families_once: bool = False
+) -> DataFrame:
     """Add `_hits`: the hashes of a document's lines above the limit, NULL or empty if it has none."""
+    frequent = materialize(frequent_lines(docs, text_col, host_col, max_texts, host_share))
+    if families_once and not frequent.isEmpty():
+        frequent = materialize(frequent_over_families(docs, frequent, id_col, text_col, host_col))
+    return _hits_of(docs, frequent, id_col, text_col, host_col)
+
+
+def _hits_of(docs: DataFrame, frequent: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     host = F.col(host_col).cast("string")
-    frequent = materialize(frequent_lines(docs, text_col, host_col, max_texts))
     if frequent.count() <= BROADCAST_LINES:
         per_host = frequent.groupBy("host").agg(F.collect_list("line").alias("_frequent"))
         per_host = per_host.withColumnRenamed("host", "_host")
@@ -146,14 +183,17 @@ def judge(
     host_col: str = "source",
     max_texts: int = MAX_TEXTS,
     min_left: float = MIN_LEFT,
+    host_share: float = 0.0,
+    families_once: bool = False,
 ) -> DataFrame:
     """All columns of `docs` plus the base measures, `left_share`, `kept` and `cleaned` (text without frequent lines).
 
     NULL and empty texts have no words and fail the base rules; a NULL host is a host of its own; repeated rows
     are judged each; an empty table stays empty. Input columns named like an output column are replaced.
+    `host_share` raises the limit of large hosts; with `families_once` near copies count as one text.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "left_share", "kept", "cleaned"]
-    rows = with_hits(docs.drop(*made), id_col, text_col, host_col, max_texts)
+    rows = with_hits(docs.drop(*made), id_col, text_col, host_col, max_texts, host_share, families_once)
     text, hits = F.col(text_col), F.col("_hits")
     any_hit = F.coalesce(F.size(hits) > 0, F.lit(False))
     measured = base_measures(rows, text_col)
@@ -166,7 +206,11 @@ def judge(
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """Documents that pass, without their frequent lines; columns as they were."""
+    """Documents that pass, without their frequent lines; columns as they were.
+
+    Near copies count once, and the limit is HOST_SHARE of a host's distinct texts where that is above `max_texts`.
+    """
+    options = {"host_share": HOST_SHARE, "families_once": True, **options}
     text_col = options.get("text_col", "text")
     judged = judge(docs, **options).filter("kept").withColumn(text_col, F.col("cleaned"))
     if "n_chars" in docs.columns:

@@ -280,6 +280,22 @@ def test_frequent_lines_go(spark, monkeypatch):
     assert quality.keep_good(docs, max_texts=10).columns == docs.columns
 
 
+def test_near_copies_do_not_reject_each_other(spark):
+    lines = [" ".join(f"word{n}x{k}" for k in range(12)) for n in range(20)]
+    rows = [(i, "\n".join([*lines[: i % 20], f"{lines[i % 20]} edit{i}", *lines[i % 20 + 1 :]]), "near") for i in range(150)]
+    rows += [(1000 + i, "Subscribe now\n" + " ".join(f"w{i}x{k}" for k in range(80)), "near") for i in range(110)]
+    rows += [(2000, "subscribe now\n" * 20 + " ".join(f"v{k}" for k in range(60)), None), (2001, None, "near")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    text = {i: t for i, t, _ in rows}
+    kept = {r.doc_id: r.text for r in quality.keep_good(docs).collect()}
+    assert {i: kept.get(i) for i in range(150)} == {i: text[i] for i in range(150)}
+    assert all(kept[1000 + i] == text[1000 + i].split("\n")[1] for i in range(110))
+    assert kept[2000] == text[2000] and 2001 not in kept
+    assert not quality.judge(docs).filter("doc_id < 150 AND kept").count()  # as the SQL of op10 has it
+    large = {r.doc_id: r.text for r in quality.keep_good(docs, host_share=0.5).collect()}
+    assert large[1000] == text[1000]  # 110 of 260 distinct texts are below half
+
+
 def test_quality_of_odd_rows(spark, odd):
     rows = {r.doc_id: r for r in quality.judge(odd).collect()}
     assert rows[2].n_words == rows[3].n_words == rows[4].n_words == 0 and rows[2].base_failed
