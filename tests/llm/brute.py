@@ -164,3 +164,106 @@ def personal_data(rows) -> dict[int, tuple]:
         listed = ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in spans)
         out[d] = (*(sum(s[2] == k for s in spans) for k in KINDS), _sha(listed.encode()))
     return out
+
+
+def spoiled_words(rows) -> list[str]:
+    """Every lower-cased run of letters, some with a letter less by their checksum; nulls as empty."""
+    out = []
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = _lower(run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            out.append(run[: h % len(run)] + run[h % len(run) + 1 :] if h % 31 == 0 else run)
+    return out
+
+
+def _one_apart(a: str, b: str) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a != b and (a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else len(b) == len(a) + 1 and a[i:] == b[i + 1 :])
+
+
+def word_forms(counts: dict[str, int], ratio: int = 10) -> dict[str, tuple]:
+    """word -> (form, root, n, n_near, form_n), by comparing all pairs."""
+    near = {w: sorted((-counts[v], v) for v in counts if _one_apart(w, v)) for w in counts}
+    form = {w: vs[0][1] if vs and -vs[0][0] >= ratio * counts[w] else None for w, vs in near.items()}
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return {w: (form[w], root(w), counts[w], len(near[w]), counts.get(form[w])) for w in counts}
+
+
+_NEXT = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+
+
+def cheapest_edits(codes: list[int]) -> tuple[str, int]:
+    """The first of the cheapest sequences of edits, letter by letter, from exact costs of what is left."""
+    n, far = len(codes), 10**9
+    left = {}
+    for k in range(n, -1, -1):
+        for state in ("", "s", "u", "a"):
+            left[k, state] = {"": 0, "a": 0, "u": 3, "s": 6}[state] if k == n else far
+        if k < n:
+            for _ in range(3):
+                for state in ("", "s", "u", "a"):
+                    left[k, state] = min((c + left[q] for _, c, q in _edits_at(codes, k, state, left)), default=far)
+    out, k, state = "", 0, ""
+    while k < n or left[k, state]:
+        if k == n:
+            out, state = out + "I", {"s": "u", "u": "a"}[state]
+            continue
+        cost = left[k, state]
+        letter, _, (k, state) = min(e for e in _edits_at(codes, k, state, left) if e[1] + left[e[2]] == cost)
+        out += letter
+    return out, left[0, ""]
+
+
+def _edits_at(codes, k, state, left):
+    """(letter, cost, where it leads) of every edit that may come next."""
+    initial, gone, cut = "sua?"[codes[k] & 3], codes[k] & 4, 3 * bool(codes[k] & 8)
+    onward = {"": "u", "s": "u", "u": "a", "a": "u"}[state]
+    yield "D", 4, (k + 1, state)
+    yield "I", 3, (k, onward)
+    if not gone:
+        yield "R", 3 + cut, (k + 1, onward)
+        if initial in _NEXT[state]:
+            yield "K", cut, (k + 1, _NEXT[state][initial])
+
+
+def repaired_conversations(rows) -> dict:
+    """conv -> (gaps, blank, duplicate, truncated, illegal, cost, audit, hash, turns) of rows (conv, turn, role, text)."""
+    groups = defaultdict(list)
+    for conv, turn, role, text in rows:
+        groups[conv].append((turn is not None, turn or 0, " " if role is None else role, " " if text is None else text))
+    out = {}
+    for conv, members in groups.items():
+        members.sort()
+        blank = duplicate = truncated = illegal = 0
+        seen, codes = set(), []
+        for _, _, role, text in members:
+            bare = text.strip("\x20\x09\x0a\x0b\x0c\x0d")
+            is_blank, is_seen = not bare, (role, text) in seen
+            cut = not is_blank and not is_seen and bare[-1] not in ".!?"
+            blank, duplicate, truncated = blank + is_blank, duplicate + (is_seen and not is_blank), truncated + cut
+            codes.append({"s": 0, "u": 1, "a": 2}.get(role[:1], 3) | 4 * (is_blank or is_seen) | 8 * cut)
+            seen.add((role, text))
+        illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(members, members[1:]))
+        turns = {m[1] for m in members if m[0]}
+        audit, cost = cheapest_edits(codes)
+        repaired, k = [], 0
+        for letter in audit:
+            after = "assistant" if repaired and repaired[-1][0][:1] == "u" else "user"
+            if letter == "I":
+                repaired.append((after, ""))
+                continue
+            if letter != "D":
+                repaired.append((members[k][2] if letter == "K" else after, members[k][3]))
+            k += 1
+        text = "\n".join(f"{role}:{text}" for role, text in repaired)
+        gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+        out[conv] = (gaps, blank, duplicate, truncated, illegal, cost, audit, _sha(text.encode()), repaired)
+    return out
