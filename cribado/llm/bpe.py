@@ -10,10 +10,12 @@ a piece.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import struct
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import public_tokenizers
@@ -22,10 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens whose ids a task remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+#: Pre-tokens, and parts of texts, whose ids a task remembers; beyond it the memory starts anew.
+REMEMBERED = 300_000
 #: Ids or text bytes of one batch sent back to Spark.
-BATCH = 4_000_000
+BATCH = 2_000_000
 
 BYTE_CHARS = {b: chr(0x100 + b) for b in range(256)}
 CHAR_BYTES = {0x100 + b: b for b in range(256)}
@@ -104,8 +106,18 @@ def latin_pattern(pattern: str) -> str | None:
     return "".join(out)
 
 
+#: Fixed value: the pattern for which texts may be taken apart at single spaces, see `Encoder`.
+SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Encoder:
-    """Encodes texts; keeps the ids of frequent pre-tokens."""
+    """Encodes texts; keeps the ids of what it has met.
+
+    With SPACED_PATTERN no match runs over a space between two characters that are none, a space can only stand first in a
+    match that has others, and no match looks back. So the parts between such spaces, each with the space before it, are
+    encoded by themselves, and remembered parts need no splitting. Texts where a space has another next to
+    it, and other patterns, are split as a whole.
+    """
 
     def __init__(self, model: bytes, pattern: str):
         import regex
@@ -115,18 +127,48 @@ class Encoder:
         latin = latin_pattern(pattern)
         self.split_latin = re.compile(latin).findall if latin else self.split_any
         self.beyond_latin = re.compile(f"[^\\x00-{chr(LATIN_END - 1)}]").search
+        self.by_part = pattern == SPACED_PATTERN
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.whole = {self.pieces.id_to_piece(i): i for i in range(self.pieces.get_piece_size() - 1)}
         self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
-        for text in texts:
-            tokens = (self.split_any if self.beyond_latin(text) else self.split_latin)(text)
-            if fresh := set(tokens).difference(self.known):
-                if len(self.known) + len(fresh) > REMEMBERED:
-                    self.known, fresh = {}, set(tokens)
-                self._learn(list(fresh))
-            yield list(chain.from_iterable(map(self.known.__getitem__, tokens)))
+        self.parts: dict[str, tuple[int, ...]] = {}
+
+    def split(self, text: str) -> list[str]:
+        return (self.split_any if self.beyond_latin(text) else self.split_latin)(text)
+
+    def encode_all(self, texts: list[str]) -> Iterator[Iterable[int]]:
+        """The ids of each text; what is new in any of them is looked up first, all at once."""
+        cut = [text.split(" ") if self.by_part else [text] for text in texts]
+        self._learn_parts(set().union(*(parts[1:] for parts in cut)))
+        plans = []
+        for text, (first, *rest) in zip(texts, cut):
+            found = list(map(self.parts.__getitem__, rest))
+            as_whole = () in found or rest and first != first.rstrip()
+            plans.append((self.split(text), ()) if as_whole else (self.split(first), found))
+        self._meet(chain.from_iterable(tokens for tokens, _ in plans))
+        for tokens, found in plans:
+            yield chain.from_iterable(chain(map(self.known.__getitem__, tokens), found))
+
+    def _learn_parts(self, wanted: set[str]) -> None:
+        """Ids of parts that follow a space; no ids mark one that begins or ends with a space or is empty."""
+        fresh = wanted.difference(self.parts)
+        if len(self.parts) + len(fresh) > REMEMBERED:
+            self.parts.clear()
+            fresh = wanted
+        clean = [p for p in fresh if p and p.strip() == p]  # str.strip takes off all that \s matches
+        tokens = [self.split(f" {p}") for p in clean]
+        self._meet(chain.from_iterable(tokens))
+        ids = (tuple(chain.from_iterable(map(self.known.__getitem__, t))) for t in tokens)
+        self.parts.update(dict.fromkeys(fresh, ()))
+        self.parts.update(zip(clean, ids))
+
+    def _meet(self, tokens: Iterable[str]) -> None:
+        wanted = set(tokens)
+        if fresh := wanted.difference(self.known):
+            if len(self.known) + len(fresh) > REMEMBERED:
+                self.known.clear()
+                fresh = wanted
+            self._learn(list(fresh))
 
     def _learn(self, tokens: list[str]) -> None:
         mapped = [t.encode().decode("latin-1").translate(BYTE_CHARS) for t in tokens]
@@ -153,6 +195,29 @@ def _in_parts(sizes: list[int]) -> Iterator[slice]:
     yield slice(start, len(sizes))
 
 
+def _encoded(encoder: Encoder, texts: pa.StringArray) -> pa.ListArray:
+    ids, ends = array("i"), array("i", [0])
+    for some in encoder.encode_all(texts.to_pylist()):
+        ids.extend(some)
+        ends.append(len(ids))
+    return pa.ListArray.from_arrays(_ints(ends), _ints(ids))
+
+
+def _ints(values: array) -> pa.Int32Array:
+    return pa.Array.from_buffers(pa.int32(), len(values), [None, pa.py_buffer(values)])
+
+
+def _strung(table: pa.BinaryArray, ids: pa.ListArray) -> Iterator[memoryview]:
+    """For each list, the entries of its ids one after the other: they lie so in the taken array."""
+    taken = table.take(ids.values)
+    _, ends, data = taken.buffers()
+    ends = memoryview(ends).cast("b").cast("i")[: len(taken) + 1]
+    data = memoryview(data) if data else memoryview(b"")
+    places = memoryview(ids.buffers()[1]).cast("b").cast("i")
+    for i in range(len(ids)):
+        yield data[ends[places[i]] : ends[places[i + 1]]]
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col` and `ids` array<int>, one row per input row.
 
@@ -168,8 +233,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             lengths = pc.binary_length(batch.column("text")).to_pylist()
             for part in _in_parts(lengths) if lengths else ():
                 rows = batch.slice(part.start, part.stop - part.start)
-                ids = pa.array(list(encoder.encode_all(rows.column("text").to_pylist())), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([rows.column(0), ids], names=[id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), _encoded(encoder, rows.column("text"))], names=[id_col, "ids"])
 
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>")
 
@@ -193,18 +257,38 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id",
     return rows.mapInArrow(run, f"`{id_col}` {kind}, decoded binary" + ", ids array<int>" * keep_ids)
 
 
-def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PATTERN, keep_ids: bool = False) -> DataFrame:
-    """Encode, decode again, and report both as digests; with `keep_ids` the ids too."""
+def encode_and_decode(
+    docs: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PATTERN, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """`id_col`, `n_tokens`, `ids_sha256`, `decoded_sha256`, with `keep_ids` also `ids`: encode, decode the ids, digest both.
+
+    NULL and empty texts have no ids and the digests of nothing; NULL ids and repeated rows stay; an empty table gives
+    none. Other columns are not read. Texts of any length are encoded whole, in one pass of a task over its rows.
+    """
     ranks = read_ranks(vocabulary)
-    both = decode(encode(docs, ranks, pattern), ranks, keep_ids=True)
-    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        *(["ids"] if keep_ids else []),
-    )
+    model = sentencepiece_model(ranks)
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
+
+    def digests(parts: Iterator[memoryview]) -> pa.StringArray:
+        return pa.array([hashlib.sha256(part).hexdigest() for part in parts], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(model, pattern)
+        decoded = pa.array(decoding_table(model), pa.binary())
+        decimal = pa.array([b" %d" % i for i in range(len(decoded))], pa.binary())
+        for batch in batches:
+            lengths = pc.binary_length(batch.column("text")).to_pylist()
+            for part in _in_parts(lengths) if lengths else ():
+                rows = batch.slice(part.start, part.stop - part.start)
+                ids = _encoded(encoder, rows.column("text"))
+                count = pc.list_value_length(ids).cast(pa.int64())
+                columns = [rows.column(0), count, digests(p[1:] for p in _strung(decimal, ids)), digests(_strung(decoded, ids))]
+                yield pa.RecordBatch.from_arrays([*columns, *([ids] if keep_ids else [])], names=names)
+
+    kind = rows.schema[0].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return rows.mapInArrow(run, schema + ", ids array<int>" * keep_ids)
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -136,13 +136,49 @@ def test_tokens_equal_the_library(odd, small):
     encoder = bpe.Encoder(bpe.sentencepiece_model(ranks), public_tokenizers.PATTERN)
     odd_texts = ["\x1c \x85a\xa0b", "<|endoftext|> <unk>", "it's 12 ½² '' ''ll", " 　x", "a" * 3000, " " * 999 + "x"]
     texts = [t or "" for _, t in [*ODD, *small]] + odd_texts
-    assert list(encoder.encode_all(texts)) == [library.encode_ordinary(t) for t in texts]
+    assert [list(ids) for ids in encoder.encode_all(texts)] == [library.encode_ordinary(t) for t in texts]
     encoded = bpe.encode(odd, ranks, public_tokenizers.PATTERN)
     decoded = {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(encoded, ranks).collect()}
     assert decoded == {i: t or "" for i, t in ODD}
     assert bpe.encode(empty(odd), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_token_query_equals_the_library(spark, small, odd):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def plain(rows):
+        ids = {i: library.encode_ordinary(t or "") for i, t in rows}
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        return {i: (len(ids[i]), sha(" ".join(map(str, ids[i])).encode()), sha((t or "").encode())) for i, t in rows}
+
+    columns = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    assert by_id(registry.queries()["op3_byte_bpe"](spark, SF), *columns) == plain(small)
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = bpe.encode_and_decode(odd.union(odd.filter("doc_id > 9")), vocabulary, keep_ids=True)
+    assert by_id(found, *columns) == plain(ODD) and found.count() == len(ODD) + 5
+    assert all(list(r.ids) == library.encode_ordinary(dict(ODD)[r.doc_id] or "") for r in found.collect())
+    assert bpe.encode_and_decode(empty(odd), vocabulary).count() == 0
+    nulls = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in bpe.encode_and_decode(nulls, vocabulary).collect()) == [0, 2]
+
+
+def test_tokens_at_spaces_of_all_kinds(monkeypatch):
+    """Parts between spaces encode as the whole does; also when the memory starts anew, and for another pattern."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    model = bpe.sentencepiece_model(ranks)
+    rng = np.random.default_rng(8)
+    signs = [" ", " ", " ", "a", "é", "12", "'", "s", "'ll", "\n", "\t", "\r", "\x1c", "\xa0", "\u2003", "!", "日", "the"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 14))) for _ in range(20_000)]
+    cautious = r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+    for pattern, memory in ((public_tokenizers.PATTERN, 300_000), (public_tokenizers.PATTERN, 40), (cautious, 300_000)):
+        monkeypatch.setattr(bpe, "REMEMBERED", memory)
+        library = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encoder = bpe.Encoder(model, pattern)
+        found = [list(ids) for i in range(0, len(texts), 500) for ids in encoder.encode_all(texts[i : i + 500])]
+        assert found == [library.encode_ordinary(t) for t in texts]
+
+
 def test_topk_with_gaps_and_ties(spark):
     rows = [(i, [float(i % 3), 1.0]) for i in range(40)]
     rows += [(40, None), (41, [None, 1.0]), (42, [float("nan"), 1.0]), (43, [1.0]), (None, [1.0, 1.0]), (44, [1e200, 1e200])]
@@ -269,6 +305,7 @@ def test_frequent_lines_go(spark, monkeypatch):
     rows = [(i, f"Shared   LINE here {'' if i % 2 else ' '}\n" + " ".join(f"w{i}x{k}" for k in range(80)), "h") for i in range(12)]
     rows += [(20, "shared line here\n" * 30, "h"), (21, "shared line here\n" + " ".join(f"v{k}" for k in range(60)), "other"), (22, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clash = docs.selectExpr("*", "1 AS host", "2 AS row", "3 AS hits", "4 AS kept", "5 AS line", "6 AS judged", "7 AS found_words")
     results = []
     for limit in (1000, -1):
         monkeypatch.setattr(quality, "BROADCAST_LINES", limit)
@@ -277,7 +314,12 @@ def test_frequent_lines_go(spark, monkeypatch):
     kept = {i: (k, t) for i, k, t in results[0]}
     assert [i for i, (k, _) in kept.items() if not k] == [20, 22]
     assert kept[0][1].startswith("w0x0 ") and kept[21][1].startswith("shared line")
-    assert quality.keep_good(docs, max_texts=10).columns == docs.columns
+    good = {r.doc_id: tuple(r)[1:] for r in quality.keep_good(clash, max_texts=10).collect()}
+    assert good == {i: (t, *r[2:], 1, 2, 3, 4, 5, 6, 7) for i, (k, t) in kept.items() if k for r in rows if r[0] == i}
+    nulls = docs.selectExpr("CAST(NULL AS long) AS doc_id", "text", "source")
+    nulls = nulls.union(nulls)  # exact copies and rows without ids
+    assert quality.keep_good(nulls, max_texts=10).count() == 2 * len(good)
+    assert quality.keep_good(empty(docs)).columns == docs.columns and quality.keep_good(empty(docs)).count() == 0
 
 
 def test_near_copies_do_not_reject_each_other(spark):
@@ -291,7 +333,7 @@ def test_near_copies_do_not_reject_each_other(spark):
     assert {i: kept.get(i) for i in range(150)} == {i: text[i] for i in range(150)}
     assert all(kept[1000 + i] == text[1000 + i].split("\n")[1] for i in range(110))
     assert kept[2000] == text[2000] and 2001 not in kept
-    assert not quality.judge(docs).filter("doc_id < 150 AND kept").count()  # as the SQL of op10 has it
+    assert quality.judge(docs).filter("doc_id < 150 AND kept").count() == 150
     large = {r.doc_id: r.text for r in quality.keep_good(docs, host_share=0.5).collect()}
     assert large[1000] == text[1000]  # 110 of 260 distinct texts are below half
 
