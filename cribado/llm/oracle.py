@@ -54,8 +54,26 @@ WITH d AS (
     SELECT doc_id, source, t, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
            lower(array_to_string(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), ' ')) AS y
     FROM (SELECT doc_id, source, t, unnest(l) AS x FROM d)
+), limits AS (
+    SELECT source, greatest(100, 0.001 * count(DISTINCT t)) AS most FROM d GROUP BY source
+), often AS (
+    SELECT source, y, most
+    FROM (SELECT source, y, count(DISTINCT t) AS n FROM lines GROUP BY source, y) c
+    JOIN limits m USING (source) WHERE n > most
+    UNION ALL
+    SELECT NULL, y, most
+    FROM (SELECT y, count(DISTINCT t) AS n FROM lines WHERE source IS NULL GROUP BY y) c
+    JOIN limits m ON m.source IS NULL WHERE n > most
+), own AS (
+    SELECT a.source, a.t
+    FROM lines a LEFT JOIN often f ON f.y = a.y AND f.source IS NOT DISTINCT FROM a.source
+    GROUP BY a.doc_id, a.source, a.t
+    HAVING 100 * sum(CASE WHEN f.y IS NULL THEN a.n ELSE 0 END) >= 75 * sum(a.n)
 ), frequent AS (
-    SELECT source, y FROM lines GROUP BY source, y HAVING count(DISTINCT t) > 100
+    SELECT f.source, f.y
+    FROM often f JOIN lines a ON f.y = a.y AND f.source IS NOT DISTINCT FROM a.source
+    JOIN (SELECT DISTINCT source, t FROM own) o ON o.t = a.t AND o.source IS NOT DISTINCT FROM a.source
+    GROUP BY f.source, f.y, f.most HAVING count(DISTINCT a.t) > f.most
 ), left_over AS (
     SELECT a.doc_id, sum(CASE WHEN f.y IS NULL THEN a.n ELSE 0 END) / sum(a.n) AS share
     FROM lines a LEFT JOIN frequent f ON f.y = a.y AND f.source IS NOT DISTINCT FROM a.source

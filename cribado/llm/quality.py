@@ -1,12 +1,12 @@
 """Quality rules: what a text says about itself, and how often its lines occur in other documents of its host.
 
 Cross-document line frequency: lines are normalised and hashed, the distinct documents that hold a line are
-counted per host, lines above the limit are removed, and documents that lose too much are rejected. Exact
-copies of a text count as one document here, else the copies of a clean text would reject each other. For the
-same reason `keep_good` counts each family of near copies once, as linked by `shingles.jaccard_components`, and
-lets the limit grow with the host; `judge` leaves both out by default, since the SQL of op10 fixes its counts.
+counted per host, lines above the limit are removed, and documents that lose too much are rejected. The limit grows
+with the host. Copies of a clean text must not reject each other: exact copies of a text count as one document,
+and a document counts for a line only if most of its words stand outside such lines. So a family of near copies,
+whose members share nearly all they have, makes none of its lines frequent, however large it is.
 
-Built-in functions only, but for the families. Counting is by (host, line, text), so neither a frequent line nor a large host meets
+Built-in functions only. Counting is by (host, line, text), so neither a frequent line nor a large host meets
 in one task. The lines above the limit are sent to all tasks only if their counted number allows it; beyond
 that, the lines of all documents are joined with them.
 """
@@ -17,18 +17,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cribado.functions.plan import with_column_once
-from cribado.llm import shingles
 from cribado.llm.common import WORD, words
 from cribado.session import materialize
 
-#: A line in more distinct texts of one host than this is removed.
+#: A line in more distinct texts of one host than this, and than this share of the host's texts, is removed.
 MAX_TEXTS = 100
-#: For `keep_good` the limit is this share of the host's distinct texts, and MAX_TEXTS at least.
 HOST_SHARE = 0.001
+#: A text counts if at least this percentage of its words stands outside lines that are above the limit.
+OWN_PERCENT = 75
 #: A document is depleted if less than this share of its words is left.
 MIN_LEFT = 0.3
-#: Up to so many frequent lines (8 bytes each) are broadcast.
-BROADCAST_LINES = 1_000_000
+#: Up to so many frequent lines (8 bytes each) are broadcast, as one list per host that every document is held against.
+BROADCAST_LINES = 20_000
 #: Fixed values of the base rules.
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
@@ -81,64 +81,82 @@ def _windows(found: Column) -> Column:
 
 
 def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add `n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed` in one pass, without a shuffle."""
+    """Add to `docs`, which must not have them, `n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed` in one pass, without a shuffle."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    filled = docs.withColumn("_words", words(F.col(text_col))).withColumn("_windows", _windows(F.col("_words")))
+    filled = docs.withColumn("found_words", words(F.col(text_col))).withColumn("found_windows", _windows(F.col("found_words")))
     lines = _text_lines(text)
     measured = filled.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_words": F.size("found_words").cast("long"),
+            "word_chars": F.length(F.array_join("found_words", "")).cast("long"),
             "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_words"), F.col("_windows")),
+            "n_repeat_words": repeated_words(F.col("found_words"), F.col("found_windows")),
         }
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    return measured.withColumn("base_failed", failed).drop("_words", "_windows")
+    return measured.withColumn("base_failed", failed).drop("found_words", "found_windows")
 
 
-def frequent_lines(docs: DataFrame, text_col: str, host_col: str, max_texts: int, host_share: float = 0.0) -> DataFrame:
-    """`(host, line)` of the lines that stand in more than `max_texts` distinct texts of a host, and `limit`.
+def _keyed(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
+    """`host`, `text_hash` and `row`, a struct of all columns: what is added beside them cannot clash."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(host_col).cast("string").alias("host"), F.xxhash64(text).alias("text_hash"), row.alias("row"))
 
-    The limit is `host_share` of the host's distinct texts where that is more than `max_texts`.
-    """
-    texts = docs.select(F.col(host_col).cast("string").alias("host"), F.xxhash64(F.col(text_col)).alias("text_hash"), text_col)
-    lines = texts.select("host", "text_hash", F.explode(F.array_distinct(normal_lines(F.col(text_col)))).alias("line"))
-    counted = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("texts")).filter(F.col("texts") > max_texts)
-    if not host_share:
-        return counted.select("host", "line", F.lit(float(max_texts)).alias("limit"))
-    sizes = texts.select(F.col("host").alias("_host"), "text_hash").distinct().groupBy("_host").agg(F.count("*").alias("all"))
-    limited = counted.join(sizes, F.col("host").eqNullSafe(F.col("_host")))
-    limited = limited.withColumn("limit", F.greatest(F.lit(float(max_texts)), F.lit(host_share) * F.col("all")))
-    return limited.filter(F.col("texts") > F.col("limit")).select("host", "line", "limit")
 
+def _above(lines: DataFrame, limits: DataFrame) -> DataFrame:
+    """`host`, `line`, `limit` of those of the distinct `(host, line, text_hash)` that are above the limit of their host."""
+    counted = lines.groupBy("host", "line").agg(F.count("*").alias("texts"))
+    limits = limits.select(F.col("host").alias("limited"), "limit")
+    joined = counted.join(limits, F.col("host").eqNullSafe(F.col("limited")))
+    return joined.filter(F.col("texts") > F.col("limit")).select("host", "line", "limit")
 
-def frequent_over_families(docs: DataFrame, frequent: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """Those of the `frequent` lines that are above their limit when a family of near copies counts once.
 
-    Only texts with a frequent line are compared, each distinct one once: links through other texts do not count.
+def frequent_lines(
+    keyed: DataFrame, text_col: str, max_texts: int = MAX_TEXTS, host_share: float = HOST_SHARE, own_percent: int = OWN_PERCENT
+) -> DataFrame:
+    """`host`, `line` (a hash) of the lines that are above the limit in texts that are otherwise of their own.
+
+    First all distinct texts of a host count. Then only those do that have at least `own_percent` of their words
+    outside the lines found so.
     """
-    rows = _hits_of(docs, frequent, id_col, text_col, host_col).filter(F.size("_hits") > 0)
-    held = materialize(
-        rows.select(F.col(host_col).cast("string").alias("host"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"), "_hits")
-    )
-    texts = materialize(held.groupBy("text_hash").agg(F.first("text").alias("text")))
-    family = shingles.jaccard_components(texts, "text_hash", "text")
-    family = family.select(F.col("doc_id").alias("text_hash"), F.col("component_id").alias("family"))
-    lines = held.select("host", "text_hash", "_hits").join(family, "text_hash")
-    lines = lines.select("host", "family", F.explode("_hits").alias("line")).distinct()
-    counted = lines.groupBy(F.col("host").alias("_host"), F.col("line").alias("_line")).agg(F.count("*").alias("families"))
-    same = F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line"))
-    return frequent.join(counted, same).filter(F.col("families") > F.col("limit")).select("host", "line", "limit")
-
-
-def _left_share(text: Column, hits: Column) -> Column:
-    """Share of a text's words outside the lines whose hash is in `hits`."""
+    text = F.col("row")[text_col]
+    sizes = keyed.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("all"))
+    limits = materialize(sizes.select("host", F.greatest(F.lit(float(max_texts)), F.lit(host_share) * F.col("all")).alias("limit")))
+    lines = keyed.select("host", "text_hash", F.explode(F.array_distinct(normal_lines(text))).alias("line")).distinct()
+    often = materialize(_above(lines, limits))
+    if often.isEmpty():
+        return often.select("host", "line")
+    hit = with_hits(keyed, often, text_col).filter(F.size("hits") > 0)
+    outside, total = _outside(text, F.col("hits"))
+    own = hit.filter(100 * outside >= own_percent * total).select("host", "text_hash", F.explode("hits").alias("line"))
+    return materialize(_above(own.distinct(), limits).select("host", "line"))
+
+
+def with_hits(keyed: DataFrame, frequent: DataFrame, text_col: str) -> DataFrame:
+    """Add `hits`: the hashes of a text's lines that are frequent in its host, NULL or empty if it has none."""
+    found = normal_lines(F.col("row")[text_col])
+    if frequent.count() <= BROADCAST_LINES:
+        listed = frequent.groupBy(F.col("host").alias("listed_host")).agg(F.collect_list("line").alias("listed"))
+        joined = keyed.join(F.broadcast(listed), F.col("host").eqNullSafe(F.col("listed_host")), "left")
+        # Computed once: later expressions mention it within each line.
+        return with_column_once(joined, "hits", F.array_intersect(found, F.col("listed"))).select(*keyed.columns, "hits")
+    lines = keyed.select("host", "text_hash", F.explode(F.array_distinct(found)).alias("line")).distinct()
+    frequent = frequent.select(F.col("host").alias("frequent_host"), F.col("line").alias("frequent_line"))
+    same = F.col("host").eqNullSafe(F.col("frequent_host")) & (F.col("line") == F.col("frequent_line"))
+    hits = lines.join(frequent, same).groupBy(F.col("host").alias("hit_host"), F.col("text_hash").alias("hit_text"))
+    hits = hits.agg(F.collect_list("line").alias("hits"))
+    same = F.col("host").eqNullSafe(F.col("hit_host")) & (F.col("text_hash") == F.col("hit_text"))
+    return keyed.join(hits, same, "left").select(*keyed.columns, "hits")
+
+
+def _outside(text: Column, hits: Column) -> tuple[Column, Column]:
+    """A text's words outside the lines whose hash is in `hits`, and all its words."""
     sizes = F.transform(_text_lines(text), lambda line: F.size(words(line)))
-    outside = F.zip_with(normal_lines(text), sizes, lambda h, n: F.when(F.array_contains(hits, h), 0).otherwise(n))
-    total = F.aggregate(sizes, F.lit(0), lambda a, b: a + b)
-    return F.aggregate(outside, F.lit(0), lambda a, b: a + b) / total
+    left = F.zip_with(normal_lines(text), sizes, lambda h, n: F.when(F.array_contains(hits, h), 0).otherwise(n))
+    add = lambda values: F.aggregate(values, F.lit(0), lambda a, b: a + b)
+    return add(left), add(sizes)
 
 
 def without_lines(text: Column, hits: Column) -> Column:
@@ -148,74 +166,48 @@ def without_lines(text: Column, hits: Column) -> Column:
     return F.array_join(left, "\n")
 
 
-def with_hits(
-    docs: DataFrame, id_col: str, text_col: str, host_col: str, max_texts: int, host_share: float = 0.0, families_once: bool = False
-) -> DataFrame:
-    """Add `_hits`: the hashes of a document's lines above the limit, NULL or empty if it has none."""
-    frequent = materialize(frequent_lines(docs, text_col, host_col, max_texts, host_share))
-    if families_once and not frequent.isEmpty():
-        frequent = materialize(frequent_over_families(docs, frequent, id_col, text_col, host_col))
-    return _hits_of(docs, frequent, id_col, text_col, host_col)
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+JUDGED = [*MEASURES, "left_share", "kept", "cleaned"]
 
 
-def _hits_of(docs: DataFrame, frequent: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    host = F.col(host_col).cast("string")
-    if frequent.count() <= BROADCAST_LINES:
-        per_host = frequent.groupBy("host").agg(F.collect_list("line").alias("_frequent"))
-        per_host = per_host.withColumnRenamed("host", "_host")
-        joined = docs.join(F.broadcast(per_host), host.eqNullSafe(F.col("_host")), "left")
-        hits = F.array_intersect(normal_lines(F.col(text_col)), F.col("_frequent"))
-        return joined.withColumn("_hits", hits).drop("_host", "_frequent")
-    lines = docs.select(
-        F.col(id_col).alias("_id"), host.alias("_host"), F.explode(F.array_distinct(normal_lines(F.col(text_col)))).alias("line")
-    )
-    found = lines.join(frequent, F.col("_host").eqNullSafe(F.col("host")) & (lines["line"] == frequent["line"]))
-    found = found.groupBy("_id", "_host").agg(F.collect_set(lines["line"]).alias("_hits"))
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & host.eqNullSafe(F.col("_host")), "left").drop(
-        "_id", "_host"
-    )
+def _judged(docs: DataFrame, text_col: str, host_col: str, min_left: float, **limits) -> DataFrame:
+    """`row` with the columns as they were, and `judged`."""
+    keyed = _keyed(docs, text_col, host_col)
+    rows = with_hits(keyed, frequent_lines(keyed, text_col, **limits), text_col)
+    text, hits = F.col("row")[text_col], F.col("hits")
+    any_hit = F.coalesce(F.size(hits) > 0, F.lit(False))
+    outside, total = _outside(text, hits)
+    measured = base_measures(rows.select("row", "hits", text.alias("text")), "text")
+    left = F.when(any_hit, outside / total).otherwise(F.lit(1.0))
+    kept = ~F.col("base_failed") & (F.col("left_share") >= min_left)
+    cleaned = F.when(any_hit, without_lines(text, hits)).otherwise(text)
+    judged = measured.withColumn("left_share", left).withColumn("kept", kept).withColumn("cleaned", cleaned)
+    once = with_column_once(judged, "judged", F.struct(*JUDGED))  # a later filter must not repeat all this
+    return once.select("row", "judged")
 
 
-def judge(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    max_texts: int = MAX_TEXTS,
-    min_left: float = MIN_LEFT,
-    host_share: float = 0.0,
-    families_once: bool = False,
-) -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_left: float = MIN_LEFT, **limits) -> DataFrame:
     """All columns of `docs` plus the base measures, `left_share`, `kept` and `cleaned` (text without frequent lines).
 
     NULL and empty texts have no words and fail the base rules; a NULL host is a host of its own; repeated rows
-    are judged each; an empty table stays empty. Input columns named like an output column are replaced.
-    `host_share` raises the limit of large hosts; with `families_once` near copies count as one text.
+    are judged each; an empty table stays empty. Ids play no part. Input columns named like an output column are replaced,
+    all others stay, whatever their names. `limits` are those of `frequent_lines`.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "left_share", "kept", "cleaned"]
-    rows = with_hits(docs.drop(*made), id_col, text_col, host_col, max_texts, host_share, families_once)
-    text, hits = F.col(text_col), F.col("_hits")
-    any_hit = F.coalesce(F.size(hits) > 0, F.lit(False))
-    measured = base_measures(rows, text_col)
-    left = F.when(any_hit, _left_share(text, hits)).otherwise(F.lit(1.0))
-    kept = ~F.col("base_failed") & (F.col("left_share") >= min_left)
-    cleaned = F.when(any_hit, without_lines(text, hits)).otherwise(text)
-    judged = measured.withColumn("left_share", left).withColumn("kept", kept).withColumn("cleaned", cleaned)
-    once = with_column_once(judged, "_judged", F.struct(*made))  # a later filter must not repeat all this
-    return once.select(*(c for c in docs.columns if c not in made), *(f"_judged.{c}" for c in made))
+    found = _judged(docs, text_col, host_col, min_left, **limits)
+    return found.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in JUDGED), *(f"judged.{c}" for c in JUDGED))
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """Documents that pass, without their frequent lines; columns as they were.
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_left: float = MIN_LEFT, **limits) -> DataFrame:
+    """Documents that pass, without their frequent lines; columns as they were, whatever their names.
 
-    Near copies count once, and the limit is HOST_SHARE of a host's distinct texts where that is above `max_texts`.
+    A column `n_chars` follows the text. NULL and empty texts do not pass; repeated rows and NULL ids stay as often as
+    they pass; an empty table stays empty.
     """
-    options = {"host_share": HOST_SHARE, "families_once": True, **options}
-    text_col = options.get("text_col", "text")
-    judged = judge(docs, **options).filter("kept").withColumn(text_col, F.col("cleaned"))
+    found = _judged(docs, text_col, host_col, min_left, **limits).filter("judged.kept")
+    made = {text_col: F.col("judged.cleaned")}
     if "n_chars" in docs.columns:
-        judged = judged.withColumn("n_chars", F.length(text_col).cast("long"))
-    return judged.select(*docs.columns)
+        made["n_chars"] = F.length("judged.cleaned").cast(docs.schema["n_chars"].dataType)
+    return found.select(*(made.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
