@@ -11,6 +11,7 @@ Tasks hold one chunk, or one range of key space; the number of ranges follows th
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -75,6 +76,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0].upto(n)
 
 
+#: Words longer than this are hashed one by one.
+LONG_WORD = 256
+#: Bytes with A-Z folded, and masks of the first n bytes of eight.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def byte_codes(seed: int) -> np.ndarray:
     """A 64-bit number for every byte."""
     return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))
@@ -107,23 +116,33 @@ class Chunk:
         return starts, ends, np.append(np.searchsorted(starts, self.begins), len(starts))
 
     def word_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 1) -> np.ndarray:
-        """A 64-bit hash of the bytes of each word; `lower` folds A-Z."""
-        codes = byte_codes(seed)
-        if lower:
-            codes[65:91] = codes[97:123]
-        out = np.empty(len(starts), np.uint64)
-        i = 0
-        while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, side="right")))
-            base = starts[i]
-            up, down = powers(int(ends[j - 1] - base))
-            part = codes[self.bytes[base : ends[j - 1]]]
-            part *= up[: len(part)]
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part)])
-            first, last = starts[i:j] - base, ends[i:j] - base
-            out[i:j] = (total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)
-            i = j
-        return mix64(out)
+        """A 64-bit hash of the bytes of each word; `lower` folds A-Z. Hashes of different seeds are independent.
+
+        Eight bytes at a time go through a mixing step that is not linear, so words of regular structure collide no
+        more than others. Very long words are hashed one by one.
+        """
+        data = FOLDED[self.bytes] if lower else self.bytes
+        lanes = np.zeros(len(data) // 8 + 2, "<u8")
+        lanes.view(np.uint8)[: len(data)] = data
+        sizes = ends - starts
+        out = mix64(sizes.astype(np.uint64) * _MULTIPLIER + np.uint64(seed) * np.uint64(0xD1342543DE82EF95))
+        for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+            word = data[starts[i] : ends[i]].tobytes()
+            digest = hashlib.blake2b(word, digest_size=8, key=seed.to_bytes(8, "little")).digest()
+            out[i] = np.uint64(int.from_bytes(digest, "little"))
+        for first in range(0, len(starts), BLOCK):
+            part = np.arange(first, min(first + BLOCK, len(starts)))
+            part = part[sizes[part] <= LONG_WORD]
+            done = 0
+            while len(part):
+                at, left = starts[part] + done, sizes[part] - done
+                lane, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+                value = lanes[lane] >> shift
+                value |= np.where(shift > 0, lanes[lane + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+                value &= _MASKS[np.minimum(left, 8)]
+                out[part] = mix64((out[part] ^ value) * _MULTIPLIER)
+                part, done = part[left > 8], done + 8
+        return out
 
 
 def windows(hashes: np.ndarray, length: int) -> np.ndarray:

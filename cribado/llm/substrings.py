@@ -6,7 +6,8 @@ the wanted length every repeated window learns whether it is the first of its ki
 (document id, place). Words under a window that is not the first are removed.
 
 Between levels a chunk keeps one bit per word. The hashes of the shorter windows (48 bits) only choose
-candidates; at the last level 96 bits stand for the words.
+candidates; at the last level two independent hashes of the words stand for them, 64 bits for the place of a window
+and 64 to check it.
 """
 
 from __future__ import annotations
@@ -87,8 +88,7 @@ def _alive(windows_: Windows, places: np.ndarray, ranges: int, answers: list[byt
 def _final_keys(chunk: Chunk, windows_: Windows, places: np.ndarray):
     """Windows in the order of (hash, check, document, place), and which begin a kind of their own."""
     keys = windows_.hashes[places]
-    seconds = chunks.windows(chunks.mix64(windows_.words ^ np.uint64(0x5851F42D4C957F2D)), windows_.length)
-    checks = (seconds[places] >> np.uint64(32)).astype(np.uint32)
+    checks = chunks.windows(chunk.word_hashes(windows_.starts, windows_.ends, seed=3), windows_.length)[places]
     doc = np.searchsorted(windows_.firsts, places, side="right") - 1
     ids, local = chunk.order_ids()[doc], places - windows_.firsts[doc]
     order = np.lexsort((local, ids, checks, keys))
@@ -113,7 +113,7 @@ def _reply_first(payloads: list[bytes]) -> list[bytes]:
     parts = [chunks.unpack_parts(p, 4) for p in payloads]
     keys = [chunks.unpack_sorted(p[0]) for p in parts]
     every = np.concatenate(keys)
-    checks = np.concatenate([chunks.unpack(p[1], np.uint32) for p in parts])
+    checks = np.concatenate([chunks.unpack(p[1], np.uint64) for p in parts])
     ids, local = (np.concatenate([chunks.unpack(p[i], np.int64) for p in parts]) for i in (2, 3))
     order = np.lexsort((local, ids, checks, every))
     new = np.ones(len(order), bool)

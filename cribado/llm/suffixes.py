@@ -9,9 +9,9 @@ least hash among those inside it. So:
 3. There the suffixes that begin with the same anchor are sorted: a mergesort whose comparisons find the common
    extension of two suffixes by binary search over prefix polynomial hashes, in logarithmic steps. The order of the
    suffixes that begin one byte earlier follows from it by that byte, and so on as far as windows reach.
-   Neighbours in an order whose hashes agree over LENGTH bytes hold equal strings; the bytes are compared as
-   well, so a hash collision changes nothing. The least document of each run of equal strings decides for
-   all others.
+   The order is held against the bytes, and a group that a collision of hashes has put out of order is sorted
+   anew; so equal strings are neighbours, which their bytes tell as well. The least document of each run of equal
+   strings decides for all others.
 4. Chunks mark the windows found and join them to spans.
 
 An anchor in very many documents would bring all their surroundings to one range. Its windows are sent one by one
@@ -222,6 +222,23 @@ class Suffixes:
             moved = np.empty_like(members)
             moved[begins + (run >> 1) * 2 * width + places - run * width + low - first] = members
             members, width = moved, 2 * width
+        return self._verified(members, sizes, column)
+
+    def _verified(self, members: np.ndarray, sizes: np.ndarray, column: int) -> np.ndarray:
+        """The order found by hashes, held against the bytes: a group that a collision has put out of order is sorted anew."""
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        pairs = np.flatnonzero(group[1:] == group[:-1])
+        wrong = set()
+        for at in range(0, len(pairs), 1 << 16):
+            part = pairs[at : at + (1 << 16)]
+            a, b = members[part], members[part + 1]
+            differ = self.rows.data[a, column : column + LENGTH] != self.rows.data[b, column : column + LENGTH]
+            first = column + differ.argmax(axis=1)
+            after = self.rows.data[a, first] > self.rows.data[b, first]
+            wrong.update(group[part[differ.any(axis=1) & after]].tolist())
+        for number in wrong:
+            own = np.flatnonzero(group == number)
+            members[own] = sorted(members[own].tolist(), key=lambda row: self.rows.data[row, column : column + LENGTH].tobytes())
         return members
 
     def least_ids(self, ordered: np.ndarray, group: np.ndarray, column: int) -> np.ndarray:
