@@ -28,7 +28,7 @@ LONG = np.iinfo(np.int64)
 
 def _matrix(rows: pa.Table, dim: int) -> np.ndarray:
     values = rows.column("vector").combine_chunks()
-    return np.asarray(values.flatten()).reshape(-1, dim)
+    return np.asarray(values.flatten()).reshape(rows.num_rows, dim)
 
 
 def _scores(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
