@@ -17,12 +17,13 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cribado.llm.common import parallelism
 from cribado.session import fresh_path, materialize
+from cribado.sources.files import replace, resolve
 
 #: Smaller payloads are never replaced by a reference.
 MIN_SHARED_BYTES = 1000
@@ -96,7 +97,7 @@ class Bundle:
     """One archive being written."""
 
     def __init__(self, root: str, name: str):
-        self.files, folder = fs.FileSystem.from_uri(root)
+        self.files, folder = resolve(root)
         self.path = f"{folder}/{name}"
         self.files.create_dir(folder)
         self.partial = f"{folder}/.{name}.{TaskContext.get().taskAttemptId()}"
@@ -126,7 +127,7 @@ class Bundle:
         table = b"".join(struct.pack("<II", *s) for s in self.sizes) + struct.pack("<IBI", len(self.sizes), 0, SEEKABLE)
         self.out.write(struct.pack("<II", SKIPPABLE, len(table)) + table)
         self.out.close()
-        self.files.move(self.partial, self.path)
+        replace(self.files, self.partial, self.path)
 
 
 def frame_table(file) -> list[tuple[int, int]]:
@@ -162,8 +163,8 @@ def _with_references(pages: DataFrame, min_bytes: int) -> DataFrame:
         found = pages.withColumn("key", key).join(F.broadcast(repeated), "key", "left")
     else:
         members = pages.select("page_id", key.alias("key")).join(repeated, "key").select("page_id", "key", "keeper")
-        members = members.distinct().select(F.col("page_id").alias("_id"), F.col("key").alias("_key"), "keeper")
-        same = F.col("page_id").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+        members = members.distinct().select(F.col("page_id").alias("member_id"), F.col("key").alias("member_key"), "keeper")
+        same = F.col("page_id").eqNullSafe(F.col("member_id")) & (key == F.col("member_key"))
         found = pages.join(members, same, "left")
     other = ~F.col("keeper").eqNullSafe(F.col("page_id"))
     return found.select("page_id", "url", "payload", F.when(other, F.col("keeper")).alias("refers_to"))
@@ -174,7 +175,7 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
 
     NULL payloads are empty, NULL urls are left out, a NULL id is written as an empty name. Of equal payloads the row
     with the largest id is the response; rows with that same id are responses too, and so are all rows
-    of a group that has no id. An empty table writes no archive.
+    of a group that has no id. An empty table writes no archive. Other columns are not read.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
@@ -223,38 +224,78 @@ def _record_batches(rows: Iterator[tuple], payloads: bool) -> Iterator[pa.Record
         yield batch()
 
 
+#: Tasks that read archives, at most.
+READERS = 20_000
+
+
+def _one_by_one(archives: DataFrame) -> DataFrame:
+    """The names dealt out evenly: one archive a task, as long as there are not too many tasks."""
+    names = materialize(archives.select("archive").distinct())
+    readers = min(max(names.count(), 1), READERS)
+    return names.repartitionByRange(readers, "archive")
+
+
+class Reader:
+    """One open archive and its last frame at a time."""
+
+    def __init__(self):
+        self.archive, self.file, self.frame = None, None, (None, b"")
+
+    def open(self, archive: str) -> None:
+        if archive != self.archive:
+            self.close()
+            files, path = resolve(archive)
+            self.archive, self.file = archive, files.open_input_file(path)
+            self.places, self.frame = frame_table(self.file), (None, b"")
+
+    def read(self, number: int) -> bytes:
+        if self.frame[0] != number:
+            at, size = self.places[number]
+            self.file.seek(at)
+            self.frame = number, zstandard.decompress(self.file.read(size))
+        return self.frame[1]
+
+    def close(self) -> None:
+        if self.file:
+            self.file.close()
+
+
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """All records of the archives named in the column `archive`, frame by frame."""
+    """All records of the archives named in the column `archive`, each name once, frame by frame.
+
+    Every archive is a task of its own. Other columns are not read; no names give no records.
+    """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        reader = Reader()
         for batch in batches:
             for archive in batch.column("archive").to_pylist():
-                files, path = fs.FileSystem.from_uri(archive)
-                with files.open_input_file(path) as file:
-                    for at, size in frame_table(file):
-                        file.seek(at)
-                        yield from parse_records(zstandard.decompress(file.read(size)))
+                reader.open(archive)
+                for number in range(len(reader.places)):
+                    yield from parse_records(reader.read(number))
+        reader.close()
 
-    return archives.select("archive").mapInArrow(lambda batches: _record_batches(records(batches), payloads), _RECORD)
+    return _one_by_one(archives).mapInArrow(lambda batches: _record_batches(records(batches), payloads), _RECORD)
 
 
 def fetch(index: DataFrame) -> DataFrame:
-    """The records of some rows of an index; each costs the decompression of its frame."""
+    """The records of some rows of an index. An archive is opened and its seek table read once per task, a frame is
+    decompressed once for all records in it; a row that is there twice is fetched twice."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        reader = Reader()
         for batch in batches:
-            for row in batch.to_pylist():
-                files, path = fs.FileSystem.from_uri(row["archive"])
-                with files.open_input_file(path) as file:
-                    at, size = frame_table(file)[row["frame"]]
-                    file.seek(at)
-                    data = zstandard.decompress(file.read(size))
-                yield from parse_records(data[row["offset"] : row["offset"] + row["length"]])
+            for archive, frame, offset, length in zip(*(batch.column(c).to_pylist() for c in ("archive", "frame", "offset", "length"))):
+                reader.open(archive)
+                yield from parse_records(reader.read(frame)[offset : offset + length])
+        reader.close()
 
-    return index.mapInArrow(lambda batches: _record_batches(records(batches), True), _RECORD)
+    places = index.select("archive", "frame", "offset", "length")
+    dealt = places.repartitionByRange(parallelism(index), "archive", "frame").sortWithinPartitions("archive", "frame", "offset")
+    return dealt.mapInArrow(lambda batches: _record_batches(records(batches), True), _RECORD)
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     index = write_archives(pages, fresh_path(spark, "warc"))
-    return read_archives(index.select("archive").distinct(), payloads=False).drop("payload")
+    return read_archives(index, payloads=False).drop("payload")
