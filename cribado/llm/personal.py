@@ -1,17 +1,20 @@
 """Personal data: fixed patterns, and a span classifier trained by weak supervision.
 
 Base spans come from fixed patterns and always stay. Wider patterns yield further candidates, for instance a card
-number right behind a telephone number, which the fixed patterns take for one. On each candidate, base
-spans included, labelers vote for or against or abstain: a regex labeler (shape), gazetteer labelers
-(top-level domains, calling codes, card issuers, checksums) and context labelers (words before it). Expectation
-maximisation over the counted vote patterns of all documents estimates how reliable each labeler is; the
-posteriors train a logistic span classifier, which decides on the candidates that touch no base span.
+number right behind a telephone number, which the fixed patterns take for one, or keys and passwords, which no base
+pattern covers. On each candidate, base spans included, labelers vote for or against or abstain: regex labelers (the
+base pattern, the form as a whole), gazetteer labelers (top-level domains, calling codes, card issuers and checksums,
+prefixes of keys) and context labelers (the words before it, what touches it on either side). Expectation
+maximisation over the counted vote patterns of all documents estimates how reliable each labeler is. The
+posteriors train a logistic span classifier, which sees the votes, the appearance of the span and the last word before
+it, and decides on the candidates that touch no base span.
 
-Only built-in functions see the documents. What reaches the driver is one count per (kind, votes, shape): at most
-4 x 27 x 8 rows by construction. The trained weights go back as literals of an expression.
+Only built-in functions see the documents. What reaches the driver is one count per (kind, votes, appearance, word
+class): BOUND rows at most, by construction. The trained weights go back as literals of an expression.
 
 Patterns are written so that the engine neither recurses nor goes over a run of characters again: possessive, and
-starting only where a run starts or the last match ended.
+starting only where a run starts or the last match ended. Places and overlaps are running values over the matches in
+order, so a text with very many matches takes little more than its share of time.
 """
 
 from __future__ import annotations
@@ -27,10 +30,16 @@ from cribado.functions.plan import with_column_once
 from cribado.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters before a candidate that context labelers see.
+#: Kinds that only the method adds; they are no personal data as such and are reported by themselves.
+SECRET = len(KINDS)
+ALL_KINDS = (*KINDS, "secret")
+#: Characters before and after a candidate that context labelers see.
 CONTEXT = 40
-ROUNDS, STEPS, RATE = 50, 3000, 0.5
-LABELERS = ("pattern", "gazetteer", "context")
+ROUNDS, STEPS, RATE = 50, 1500, 0.5
+LABELERS = ("pattern", "form", "gazetteer", "context", "edge")
+SHAPES, WORDS = 8, 7
+#: (kind, votes, shape, word class) that there can be.
+BOUND = len(ALL_KINDS) * 3 ** len(LABELERS) * SHAPES * WORDS
 
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _SHORT_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -43,27 +52,51 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Texts without this cannot hold the kind.
-NEEDED = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]|\)[\x20.-]?[0-9]"}
-#: Wider patterns.
+#: Wider patterns. The local part of a spelled-out address has 64 characters at most, as mail allows no more.
 WIDER = {
     "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+ ?{_AT} ?[A-Za-z0-9-]++(?: ?{_DOT} ?[A-Za-z0-9-]++)++",
     "ip": rf"(?<![0-9]){_SHORT_OCTET}(?:\.{_SHORT_OCTET}){{3}}(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{12,19}+|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4})(?![0-9])",
     "phone": r"(?<![0-9+(])(?:\+[0-9]{1,3}[\x20.-]?)?+\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_+/-]{0,40}[0-9])(?=[0-9_+/-]{0,40}[A-Za-z])[A-Za-z0-9_/+-]{16,}+={0,2}",
 }
-#: Gazetteers.
-DOMAINS = "com org net edu gov info biz io dev app eu uk de fr es it nl be at ch pl pt se no fi dk us ca au nz jp cn in br mx".split()
-CALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91".split()
-ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|36|38|6011|65|35)"
+#: What every match of a pattern holds: texts without it need no search. Each guard follows from its own pattern alone.
+BASE_GUARD = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+WIDER_GUARD = {
+    "email": r"[\[(]at[\])]",
+    "ip": r"[0-9]\.[0-9]",
+    "card": r"[0-9]{4}",
+    "phone": r"[0-9]{3}[\x20.-]?[0-9]{3}",
+    "secret": r"[A-Za-z0-9_/+-]{16}",
+}
+#: Gazetteers: generic and country domains, calling codes, first digits of card issuers, prefixes of keys.
+DOMAINS = (
+    "com org net edu gov mil int info biz name pro museum coop aero jobs mobi travel tel cat post asia "
+    "io dev app web site online shop store blog cloud tech xyz club live news email agency digital media group world space "
+    "ac ad ae af ag ai al am ao ar at au az ba bb bd be bf bg bh bi bj bn bo br bs bt bw by bz ca cd cf cg ch ci ck cl cm cn co cr cu cv cy cz "
+    "de dj dk dm do dz ec ee eg es et eu fi fj fm fo fr ga gb gd ge gg gh gi gl gm gn gp gq gr gt gy hk hn hr ht hu id ie il im in iq ir is it "
+    "je jm jo jp ke kg kh km kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mk ml mm mn mo mq mr ms mt mu mv mw mx my mz na nc ne "
+    "ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st sv sy sz "
+    "tc td tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
+).split()
+CALLING_CODES = (
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 "
+    "21[12368] 22[0-9] 23[0-9] 24[0-9] 25[0-8] 26[0-9] 29[0178] 35[0-9] 37[0-9] 38[0-9] 42[013] 50[0-9] 59[0-9] 67[0-9] 68[0-9] 69[0-2] "
+    "85[0235-6] 88[06] 96[0-8] 97[0-7] 99[2-8]"
+).split()
+ISSUERS = r"^(?:4|5[0-8]|2[2-7]|3[0-9]|60|62|63|64|65|67|81)"
+KEY_PREFIXES = r"^(?:AKIA|ASIA|AIza|gh[pousr]_|glpat-|sk-|pk_|rk_|sk_|xox[abprs]-|eyJ|ya29|SG|npm_|hf_)"
 #: Words that speak for a kind, and words that speak against all.
 FOR = {
-    "email": "mail|e-mail|email|correo|courriel|contact|kontakt",
-    "ip": "ip|host|server|address|adresse|dirección",
-    "card": "card|visa|mastercard|amex|karte|carte|tarjeta",
-    "phone": "tel|phone|call|fax|mobile|telefon|téléphone|teléfono|móvil",
+    "email": "mail|e-mail|email|emails|mailto|correo|courriel|contact|contacto|kontakt|write|reach|to|from|cc",
+    "ip": "ip|ipv4|host|server|address|addr|adresse|dirección|gateway|subnet|dns|client|peer|from|ping|servidor",
+    "card": "card|credit|debit|visa|mastercard|amex|discover|karte|kreditkarte|carte|tarjeta|pan|cc",
+    "phone": "tel|telf|phone|call|fax|mobile|mobil|cell|whatsapp|telefon|telefonnummer|téléphone|teléfono|móvil|celular|appelez|llame|ring",
+    "secret": "token|key|secret|password|passwd|pwd|pass|bearer|apikey|api_key|auth|credential|credentials|clave|contraseña|passwort|jeton",
 }
-AGAINST = "version|isbn|issn|order|invoice|ticket|serial|doi|part"
+AGAINST = "version|release|isbn|issn|order|invoice|ticket|serial|doi|part|item|model|sku|page|figure|commit|sha|md5|checksum|hash|uuid|ref"
+#: Classes of the last word before a candidate: none, each kind's words, words against.
+NO_WORD, WORD_AGAINST = 0, WORDS - 1
 
 
 def _digits(value: Column) -> Column:
@@ -78,55 +111,119 @@ def base_valid(kind: str, value: Column) -> Column:
     digits = _digits(value)
     size = F.length(digits)
     return {
-        "email": F.lit(True),
-        "ip": value.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"),
-        "card": size.between(12, 19) & _luhn(F.when(size.between(12, 19), digits).otherwise(F.lit("1"))),
-        "phone": size.between(9, 15),
-    }[kind]
+        "email": lambda: F.lit(True),
+        "ip": lambda: value.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"),
+        "card": lambda: size.between(12, 19) & _luhn(F.when(size.between(12, 19), digits).otherwise(F.lit("1"))),
+        "phone": lambda: size.between(9, 15),
+    }[kind]()
 
 
-_FOUND = "array<struct<start:int,stop:int,value:string,before:string>>"
+def _once(value: Column, use) -> Column:
+    """`use(value)` with the value computed a single time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def located(text: Column, pattern: str) -> Column:
-    """All matches with their places in code points: the running sum of what lies between matches and of these."""
-    gaps = F.zip_with(
-        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, v: F.struct(g.alias("g"), v.alias("v"))
-    )
+def scan(items: Column, state: str, first: Column, out: str, step) -> Column:
+    """`(state, out)`: `step(state, item)` gives the next state and a result of type `out` for each item in turn.
+
+    Appending copies what is there, so the items go in blocks of the root of their number, and the blocks' results are
+    put together at the end. Only single results are cast, never what has been gathered.
+    """
+
+    def held(state_: Column, results: Column) -> Column:
+        return F.struct(state_.cast(state).alias("state"), results.alias("out"))
+
+    def block(start: Column, part: Column) -> Column:
+        def add(so_far: Column, item: Column) -> Column:
+            after, result = step(so_far["state"], item)
+            return held(after, F.array_append(so_far["out"], result.cast(out)))
+
+        return F.aggregate(part, held(start, F.array().cast(f"array<{out}>")), add)
+
+    def blocks(items: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(items))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(items), size)
+
+        def add(so_far: Column, start: Column) -> Column:
+            done = block(so_far["state"], F.slice(items, start, size))
+            return _once(done, lambda d: held(d["state"], F.array_append(so_far["out"], d["out"])))
+
+        empty = held(first, F.array().cast(f"array<array<{out}>>"))
+        return F.aggregate(starts, empty, add, lambda so_far: held(so_far["state"], F.flatten(so_far["out"])))
 
-    def add(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["g"])
-        stop = (start + F.coalesce(F.length(pair["v"]), F.lit(0))).alias("at")
-        match = F.struct(
-            start.alias("start"), stop.alias("stop"), pair["v"].alias("value"), F.right(pair["g"], F.lit(CONTEXT)).alias("before")
+    nothing = held(first, F.array().cast(f"array<{out}>"))
+    return _once(items, lambda items: F.when(F.size(items) > 0, blocks(items)).otherwise(nothing))
+
+
+_MATCH = "struct<start:int,stop:int,value:string,before:string,after:string>"
+
+
+def located(text: Column, pattern: str, guard: str) -> Column:
+    """All matches with their places in code points, and what stands before and after each: a running sum of lengths."""
+    shown = F.when(text.rlike(guard), text).otherwise(F.lit(""))
+
+    def matches(shown: Column) -> Column:
+        gaps = F.split(shown, pattern, -1)
+        values = F.regexp_extract_all(shown, F.lit(pattern), F.lit(0))
+        return _once(gaps, lambda gaps: _once(values, lambda values: placed(gaps, values)))
+
+    def placed(gaps: Column, values: Column) -> Column:
+        found = F.transform(
+            values,
+            lambda v, i: F.struct(
+                F.length(F.get(gaps, i)).alias("gap"),
+                F.length(v).alias("long"),
+                v.alias("value"),
+                F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"),
+                F.left(F.get(gaps, i + 1), F.lit(1)).alias("after"),
+            ),
         )
-        return F.struct(stop, F.when(pair["v"].isNull(), state["out"]).otherwise(F.array_append(state["out"], match)).alias("out"))
 
-    empty = F.array().cast(_FOUND)
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(gaps, start, add, lambda s: s["out"])).otherwise(empty)
+        def place(at: Column, m: Column) -> tuple[Column, Column]:
+            start = at + m["gap"]
+            stop = start + m["long"]
+            return stop, F.struct(start, stop, m["value"], m["before"], m["after"]).cast(_MATCH)
+
+        return scan(found, "int", F.lit(0), _MATCH, place)["out"]
+
+    return F.when(shown.rlike(pattern), _once(shown, matches)).otherwise(F.array().cast(f"array<{_MATCH}>"))
 
 
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, F.lit(1)).when(no, F.lit(-1)).otherwise(F.lit(0))
 
 
+def _words_before(words: str) -> str:
+    return rf"(?:^|[^\p{{L}}_])(?:{words})[^\p{{L}}]*$"
+
+
 def _votes(kind: str, found: Column) -> list[Column]:
     value, before, digits = found["value"], F.lower(found["before"]), _digits(found["value"])
-    luhn = _luhn(F.when(F.length(digits) > 0, digits).otherwise(F.lit("1")))
-    issuer = digits.rlike(ISSUERS)
-    code = value.rlike(rf"^\+(?:{'|'.join(CALLING_CODES)})")
+    size = F.length(digits)
+    luhn = _luhn(F.when(size > 0, digits).otherwise(F.lit("1")))
+    first = rf"^\+(?:{'|'.join(CALLING_CODES)})"
     domain = F.lower(value).rlike(rf"(?:\.|\[dot\]|\(dot\)) ?(?:{'|'.join(DOMAINS)})$")
     own_local = F.lower(value).rlike(r"(?:^|[._%+-])(?:example|test|noreply|no-reply)(?:$|[@._%+-])")
+    hexadecimal = value.rlike(r"^(?:[0-9a-f]{20,}|[0-9A-F]{20,})$")
+    mixed = value.rlike(r"[a-z]") & value.rlike(r"[A-Z]") & value.rlike(r"[0-9]")
+    pattern = base_valid(kind, value) if kind in KINDS else hexadecimal | mixed
+    form = {
+        "email": lambda: _vote(value.rlike(r"^[A-Za-z0-9]"), value.rlike(r"\.\.|^[.-]")),
+        "ip": lambda: _vote(value.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), value.rlike(r"^[01]\.[0-9]\.[0-9]\.[0-9]$")),
+        "card": lambda: _vote(value.rlike(r"^[0-9]{15,16}$|^[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}$"), size < 13),
+        "phone": lambda: _vote(value.rlike(r"^\+|[()]|^[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}$"), value.rlike(r"^[0-9.]+$")),
+        "secret": lambda: _vote(F.length(value) >= 24, value.rlike(r"[/+_-].*[/+_-].*[/+_-]|^[a-z]+[0-9]+$")),
+    }[kind]()
     gazetteer = {
-        "email": _vote(domain, own_local),
-        "ip": _vote(value.rlike(r"^(?:[1-9][0-9]?|1[0-9][0-9]|2[01][0-9]|22[0-3])\."), value.rlike(r"^(?:0|22[4-9]|2[3-5][0-9])\.")),
-        "card": _vote(luhn & issuer, ~luhn),
-        "phone": _vote(code, ~value.rlike(r"^\+|^\(")),
-    }[kind]
-    words = rf"(?:^|[^\p{{L}}])(?:{FOR[kind]})[^\p{{L}}]*$"
-    context = _vote(before.rlike(words), before.rlike(rf"(?:^|[^\p{{L}}])(?:{AGAINST})[^\p{{L}}]*$|[\p{{L}}_]$"))
-    return [_vote(base_valid(kind, value), ~base_valid(kind, value)), gazetteer, context]
+        "email": lambda: _vote(domain, own_local),
+        "ip": lambda: _vote(value.rlike(r"^(?:[1-9][0-9]?|1[0-9][0-9]|2[01][0-9]|22[0-3])\."), value.rlike(r"^(?:0|22[4-9]|2[3-5][0-9])\.")),
+        "card": lambda: _vote(luhn & digits.rlike(ISSUERS), ~luhn),
+        "phone": lambda: _vote(value.rlike(first), ~value.rlike(r"^\+|^\(")),
+        "secret": lambda: _vote(value.rlike(KEY_PREFIXES), value.rlike(r"^(?:https?|www|[a-z-]+$)")),
+    }[kind]()
+    context = _vote(before.rlike(_words_before(FOR[kind])), before.rlike(_words_before(AGAINST)))
+    edge = _vote(before.rlike(r"[:=]\s*[\"'(]?$"), before.rlike(r"[\p{L}_.]$|[0-9][.-]$") | found["after"].rlike(r"[\p{L}_]"))
+    return [_vote(pattern, ~pattern), form, gazetteer, context, edge]
 
 
 def _shape(found: Column) -> Column:
@@ -136,30 +233,66 @@ def _shape(found: Column) -> Column:
     return bit(r"[\x20.-]", 1) + bit(r"[+@]", 2) + bit(r"[()\[\]]", 4)
 
 
+def _word(found: Column) -> Column:
+    """The class of the last word before a candidate."""
+    before, number = F.lower(found["before"]), F.lit(NO_WORD)
+    for i, kind in enumerate(ALL_KINDS, 1):
+        number = F.when(before.rlike(_words_before(FOR[kind])), i).otherwise(number)
+    return F.when(before.rlike(_words_before(AGAINST)), WORD_AGAINST).otherwise(number)
+
+
+FEATURES = ("kind", *LABELERS, "shape", "word")
+_SPAN = f"struct<start:int,kind:int,stop:int,{','.join(f'{name}:int' for name in FEATURES[1:])}>"
+
+
 def _of_kind(text: Column, number: int, kind: str) -> tuple[Column, Column]:
     """Base spans and candidates of one kind."""
 
     def described(found: Column) -> Column:
-        votes = [v.alias(name) for name, v in zip(LABELERS, _votes(kind, found))]
-        return F.struct(
-            found["start"].alias("start"), F.lit(number).alias("kind"), found["stop"].alias("stop"), *votes, _shape(found).alias("shape")
-        )
+        return F.struct(found["start"], F.lit(number), found["stop"], *_votes(kind, found), _shape(found), _word(found)).cast(_SPAN)
+
+    more = F.transform(located(text, WIDER[kind], WIDER_GUARD[kind]), described)
+    if kind not in BASE:
+        return F.array().cast(f"array<{_SPAN}>"), more
+    valid = F.filter(located(text, BASE[kind], BASE_GUARD[kind]), lambda f: base_valid(kind, f["value"]))
+    return F.transform(valid, described), more
+
+
+def _free(base: Column, more: Column) -> Column:
+    """The candidates in `more` that touch no span in `base`; both in order.
+
+    In the common order, a span before a candidate touches it if the furthest end so far lies behind its start, and a
+    span after it if the nearest start from the other end lies before its stop.
+    """
+    item = "struct<start:int,first:int,span:" + _SPAN + ">"
+    tag = lambda first: lambda s: F.struct(s["start"], F.lit(first), s).cast(item)
+
+    def forward(reached: Column, m: Column) -> tuple[Column, Column]:
+        is_base = m["first"] == 0
+        touched = ~is_base & (reached > m["start"])
+        return F.when(is_base, F.greatest(reached, m["span"]["stop"])).otherwise(reached), F.when(touched, F.lit(None)).otherwise(m)
+
+    def backward(reached: Column, m: Column) -> tuple[Column, Column]:
+        is_base = m["first"] == 0
+        touched = ~is_base & (reached < m["span"]["stop"])
+        return F.when(is_base, F.least(reached, m["start"])).otherwise(reached), F.when(touched, F.lit(None)).otherwise(m)
 
-    shown = F.when(text.rlike(NEEDED[kind]), text).otherwise(F.lit(""))
-    valid = F.filter(located(shown, BASE[kind]), lambda f: base_valid(kind, f["value"]))
-    return F.transform(valid, described), F.transform(located(shown, WIDER[kind]), described)
+    together = F.array_sort(F.concat(F.transform(base, tag(0)), F.transform(more, tag(1))))
+    there = lambda items: F.filter(items, lambda m: m.isNotNull())
+    once = there(scan(together, "int", F.lit(-1), item, forward)["out"])
+    twice = there(scan(F.reverse(once), "int", F.lit((1 << 31) - 1), item, backward)["out"])
+    left = F.filter(F.reverse(twice), lambda m: m["first"] == 1)
+    return F.when((F.size(base) > 0) & (F.size(more) > 0), F.transform(left, lambda m: m["span"])).otherwise(more)
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add `_base` and `_more`: base spans, and candidates with their votes; both with votes for training."""
+    """`row` (a struct of the columns of `docs`), `base` and `more`: spans, and candidates that touch none, with votes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base, more = zip(*(_of_kind(text, number, kind) for number, kind in enumerate(KINDS)))
+    base, more = zip(*(_of_kind(text, number, kind) for number, kind in enumerate(ALL_KINDS)))
     spans = F.struct(F.array_sort(F.concat(*base)).alias("base"), F.array_sort(F.concat(*more)).alias("more"))
-    found = with_column_once(docs, "_found", spans)
-    free = F.filter(
-        "_found.more", lambda c: ~F.exists("_found.base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    )
-    return found.withColumn("_base", F.col("_found.base")).withColumn("_more", free).drop("_found")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    found = with_column_once(docs.select(row, spans.alias("spans")), "spans", F.col("spans"))
+    return found.select("row", F.col("spans.base").alias("base"), _free(F.col("spans.base"), F.col("spans.more")).alias("more"))
 
 
 @dataclass
@@ -172,7 +305,7 @@ class Model:
 
     def probability(self, candidate: Column) -> Column:
         total = F.lit(0.0)
-        for name in ("kind", *LABELERS, "shape"):
+        for name in FEATURES:
             values = {v: w for (n, v), w in self.weights.items() if n == name}
             chosen = F.lit(0.0)
             for value, weight in values.items():
@@ -181,16 +314,16 @@ class Model:
         return 1 / (1 + F.exp(-total))
 
 
-def estimate(counts: list[tuple[tuple[int, int, int, int, int], int]]) -> Model:
-    """EM over `((kind, *votes, shape), count)`, then a logistic regression on the posteriors.
+def estimate(counts: list[tuple[tuple[int, ...], int]]) -> Model:
+    """EM over `((kind, *votes, shape, word), count)`, then a logistic regression on the posteriors.
 
     Starts from the majority of votes. A candidate without any vote starts undecided.
     """
     n = len(LABELERS)
     truth = {key: 1 / (1 + math.exp(-2.0 * sum(key[1 : 1 + n]))) for key, _ in counts}
-    prior, votes = [0.5] * len(KINDS), {}
+    prior, votes = [0.5] * len(ALL_KINDS), {}
     for _ in range(ROUNDS):
-        for kind in range(len(KINDS)):
+        for kind in range(len(ALL_KINDS)):
             yes = sum(c * truth[k] for k, c in counts if k[0] == kind)
             prior[kind] = (1 + yes) / (2 + sum(c for k, c in counts if k[0] == kind))
         for i, name in enumerate(LABELERS):
@@ -211,9 +344,8 @@ def estimate(counts: list[tuple[tuple[int, int, int, int, int], int]]) -> Model:
 
 def _fit(counts, truth) -> dict[tuple[str, int], float]:
     """Logistic regression by gradient steps over the distinct patterns, weighted by the root of their counts."""
-    names = ("kind", *LABELERS, "shape")
     weights: dict[tuple[str, int], float] = {}
-    rows = [([(name, v) for name, v in zip(names, key)], math.sqrt(c), truth[key]) for key, c in counts]
+    rows = [([(name, v) for name, v in zip(FEATURES, key)], math.sqrt(c), truth[key]) for key, c in counts]
     whole = sum(w for _, w, _ in rows) or 1.0
     for _ in range(STEPS):
         slope: dict[tuple[str, int], float] = {}
@@ -229,77 +361,89 @@ def _fit(counts, truth) -> dict[tuple[str, int], float]:
 
 def train(found: DataFrame) -> Model:
     """Train on the base spans and candidates of all rows of `find`."""
-    names = ["kind", *LABELERS, "shape"]
-    spans = found.select(F.inline(F.concat("_base", "_more"))).groupBy(*names).count()
-    bound = len(KINDS) * 3 ** len(LABELERS) * 8
-    rows = spans.limit(bound).collect()  # by construction there are no more
-    return estimate(sorted((tuple(r[n] for n in names), r["count"]) for r in rows))
+    spans = found.select(F.inline(F.concat("base", "more"))).groupBy(*FEATURES).count()
+    rows = spans.limit(BOUND).collect()  # by construction there are no more
+    return estimate(sorted((tuple(r[n] for n in FEATURES), r["count"]) for r in rows))
 
 
 def all_spans(model: Model) -> Column:
     """Base spans and the candidates the classifier accepts, by (start, kind), as structs."""
-    added = F.filter("_more", lambda c: model.probability(c) > 0.5)
+    added = F.filter("more", lambda c: model.probability(c) > 0.5)
     plain = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["stop"]))
-    return F.array_sort(F.array_distinct(F.concat(plain(F.col("_base")), plain(added))))
+    return F.array_sort(F.array_distinct(F.concat(plain(F.col("base")), plain(added))))
 
 
 def listed(spans: Column) -> Column:
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, ALL_KINDS))
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ","
     )
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id_col`, `base` and `spans` (arrays of start, kind, stop; places in code points, end exclusive), one row per row.
+    """`id_col`, `base`, `spans` and `secrets` (arrays of start, kind, stop; places in code points, end exclusive).
 
-    NULL and empty texts hold no spans; NULL ids and repeated rows stay; other columns are not read; an empty table
+    One row per row. `spans` has the base spans and those added of the four kinds, `secrets` what looks like a key. NULL and
+    empty texts hold no spans; NULL ids and repeated rows stay; other columns are not read; an empty table
     gives an empty result (and an untrained classifier, which accepts nothing). Texts are searched whole.
     """
-    found = materialize(find(docs.select(id_col, text_col), text_col).drop(text_col))
+    found = find(docs.select(F.col(id_col), F.col(text_col).alias("searched")), "searched")
+    found = materialize(found.select(F.col("row")[id_col].alias(id_col), F.col("base").alias("found_base"), F.col("more").alias("found_more")))
+    found = found.withColumnRenamed("found_base", "base").withColumnRenamed("found_more", "more")
     model = train(found)
-    base = F.transform("_base", lambda s: F.struct(s["start"], s["kind"], s["stop"]))
-    return found.select(id_col, base.alias("base"), all_spans(model).alias("spans"))
+    base = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["stop"]))
+    both = with_column_once(found.select(id_col, base.alias("base"), all_spans(model).alias("spans")), "spans", F.col("spans"))
+    return both.select(id_col, "base", F.filter("spans", lambda s: s["kind"] < SECRET).alias("spans"), _kind_is("spans", SECRET).alias("secrets"))
 
 
-def _united(spans: Column) -> Column:
-    """Spans in order, those that overlap put together under the kind of the first."""
-    one = "struct<start:int,kind:int,stop:int>"
-    kind = f"array<{one}>"
+#: Code points of a piece that a long text is cut into, so that places are found without going over all of it.
+PIECE = 1000
 
-    def add(out: Column, span: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        wider = F.struct(last["start"], last["kind"], F.greatest(last["stop"], span["stop"])).cast(one)
-        apart = (F.size(out) == 0) | (last["stop"] <= span["start"])
-        front = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
-        return F.when(apart, F.array_append(out, span)).otherwise(F.array_append(front, wider))
 
-    return F.aggregate(spans.cast(kind), F.array().cast(kind), lambda out, span: add(out, span).cast(kind))
+def _between(pieces: Column, start: Column, stop: Column) -> Column:
+    """The text from one place to another, from its pieces of PIECE code points."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor(stop / PIECE).cast("int")
+    piece = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+    within = F.substring(piece(first), start - first * PIECE + 1, stop - start)
+    middle = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    across = F.concat(F.substring(piece(first), start - first * PIECE + 1, F.lit(PIECE)), middle, F.substring(piece(last), F.lit(1), stop - last * PIECE))
+    return F.when(first == last, within).otherwise(across)
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets."""
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    """The text with every span replaced by its kind in brackets; spans that overlap give one, the kind of the first."""
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in ALL_KINDS))
+    out = "struct<from:int,start:int,kind:int>"
+
+    def step(reached: Column, s: Column) -> tuple[Column, Column]:
+        head = F.when(s["start"] >= reached, F.struct(reached, s["start"], s["kind"]).cast(out))
+        return F.greatest(reached, s["stop"]), head
 
-    def add(state: Column, span: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        parts = F.concat(state["parts"], F.array(gap, F.get(names, span["kind"])))
-        return F.struct(span["stop"].alias("at"), parts.alias("parts"))
+    def replaced(done: Column, pieces: Column) -> Column:
+        heads = F.filter(done["out"], lambda h: h.isNotNull())
+        parts = F.transform(heads, lambda h: F.concat(_between(pieces, h["from"], h["start"]), F.get(names, h["kind"])))
+        return F.concat(F.array_join(parts, ""), _between(pieces, done["state"], F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    rest = lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(_united(spans), start, add, rest)).otherwise(text)
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+    whole = _once(scan(spans, "int", F.lit(0), out, step), lambda done: _once(pieces, lambda pieces: replaced(done, pieces)))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All documents with their personal data replaced; columns as they were, `n_chars` counted anew."""
-    counts = materialize(find(docs.select(text_col), text_col).select("_base", "_more").filter(F.size(F.concat("_base", "_more")) > 0))
-    model = train(counts)
-    found = with_column_once(find(docs, text_col), "_spans", all_spans(model))
-    cleaned = with_column_once(found, text_col, redacted(F.col(text_col), F.col("_spans")))
+    """All documents with their personal data and keys replaced; columns as they were, whatever their names.
+
+    The classifier is trained on all rows. A column `n_chars` is counted anew. NULL and empty texts, repeated rows and NULL ids
+    stay as they are; an empty table stays empty.
+    """
+    found = materialize(find(docs, text_col))
+    model = train(found)
+    cleaned = with_column_once(
+        found.select("row", redacted(F.col("row")[text_col], all_spans(model)).alias("cleaned")), "cleaned", F.col("cleaned")
+    )
+    made = {text_col: F.col("cleaned")}
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length(text_col).cast("long"))
-    return cleaned.select(*docs.columns)
+        made["n_chars"] = F.length("cleaned").cast(docs.schema["n_chars"].dataType)
+    return cleaned.select(*(made.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def _kind_is(spans: str, number: int) -> Column:
@@ -309,7 +453,12 @@ def _kind_is(spans: str, number: int) -> Column:
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = detect(docs)
-    counts = [
-        F.size(_kind_is("base", i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)
-    ]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    counts = [F.size(_kind_is("base", i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        (F.size("spans") + F.size("secrets")).cast("long").alias("n_spans"),
+        listed(F.col("secrets")).alias("secrets"),
+    )
