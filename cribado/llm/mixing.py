@@ -81,30 +81,21 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "part", "place"])
 
 
-def mix(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights=WEIGHTS,
-    share: float = SHARE,
-    most: float = MOST,
-    seed: int = 42,
+def _taken(
+    docs: DataFrame, carried: list[str], id_col: str, text_col: str, source_col: str, weights, share: float, most: float, seed: int
 ) -> DataFrame:
-    """How often each document is taken: `id_col`, `source`, `size`, `source_size`, `target`, `copies`.
-
-    Size is the number of words. NULL texts have size 0 and take nothing; NULL sources are one source, the
-    last; repeated rows are documents of their own. An empty table gives an empty result. Other columns are
-    not read. Copies never exceed `most` rounded up, and reruns agree: only the seed is random.
-    """
+    """`row`, a struct of the columns `carried`, with `id`, `source`, `size`, `source_size`, `target`, `copies`."""
     sized = materialize(
         docs.select(
-            F.col(id_col).alias(id_col), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")
+            F.col(id_col).alias("id"),
+            F.col(source_col).cast("string").alias("source"),
+            n_words(F.col(text_col)).alias("size"),
+            *([F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row")] if carried else []),
         )
     )  # the range partition reads its input twice; so the texts are read once
     ordered = sized.repartitionByRange(
-        max(2, parallelism(docs)), F.col("source"), F.col("size"), F.xxhash64(id_col), F.col(id_col)
-    ).sortWithinPartitions("source", "size", F.xxhash64(id_col), id_col)
+        max(2, parallelism(docs)), F.col("source"), F.col("size"), F.xxhash64("id"), F.col("id")
+    ).sortWithinPartitions("source", "size", F.xxhash64("id"), "id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
     placed = materialize(ordered.mapInArrow(_numbered, f"{schema}, part int, place long"))
     parts = placed.groupBy("source", "part").agg(F.count("*").alias("rows"), F.sum("size").alias("words"))
@@ -113,28 +104,53 @@ def mix(
     starts = parts.withColumn("start", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
     same = starts["source"].eqNullSafe(goals["source"])
     starts = starts.join(goals, same).select(
-        starts["source"].alias("_source"), starts["part"].alias("_part"), "start", "source_size", "target"
+        starts["source"].alias("start_source"), starts["part"].alias("start_part"), "start", "source_size", "target"
     )
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     place = F.col("start") + F.col("place")
     copies = F.floor((place + 1) * each + offset) - F.floor(place * each + offset)
-    return placed.join(
-        starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part"))
-    ).select(id_col, "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    kept = ["id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), *(["row"] if carried else [])]
+    same = F.col("source").eqNullSafe(F.col("start_source")) & (F.col("part") == F.col("start_part"))
+    return placed.join(starts, same).select(*kept)
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights=WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    seed: int = 42,
+) -> DataFrame:
+    """How often each document is taken: `id_col`, `source`, `size`, `source_size`, `target`, `copies`.
 
+    Size is the number of words. NULL texts have size 0 and take nothing; NULL sources are one source, the
+    last; repeated rows are documents of their own. An empty table gives an empty result. Other columns are
+    not read. Copies never exceed `most` rounded up, and reruns agree: only the seed is random.
+    """
+    return _taken(docs, [], id_col, text_col, source_col, weights, share, most, seed).withColumnRenamed("id", id_col)
 
-def repeat_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mixed corpus: each document as often as `mix` takes it, columns unchanged.
 
-    Documents are told apart by `id_col`; of rows that share an id, each is emitted as often as the rows
-    with this id are taken on average, rounded.
+def repeat_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights=WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    seed: int = 42,
+) -> DataFrame:
+    """The mixed corpus: each row as often as `mix` takes it, columns as they were, whatever their names.
+
+    The rows travel with their sizes, so rows that share an id or have none are taken each by its own number. NULL texts
+    take nothing and are left out; an empty table gives an empty result.
     """
-    taken = mix(docs, id_col, **options).groupBy(id_col).agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
-    taken = taken.filter(F.col("_copies") > 0).withColumnRenamed(id_col, "_id")
-    rows = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_id")))
-    repeated = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*docs.columns)
+    taken = _taken(docs, docs.columns, id_col, text_col, source_col, weights, share, most, seed).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cribado.llm import chunks
@@ -223,6 +223,23 @@ def least_shared_column(size: str, percent: int):
     return F.floor((percent * F.col(size) + 99) / 100).cast("int")
 
 
+def _linked(sets: DataFrame, percent: int, fragments: int) -> DataFrame:
+    """Add `component_id`, and `least`, the set that stands for the component, to the rows of `shingle_sets`."""
+    candidates = sets.filter("shared IS NOT NULL")
+    nodes = materialize(
+        candidates.groupBy(F.col("set_low").alias("node"), "set_high", F.col("n_shingles").cast("int").alias("size")).agg(
+            F.min("doc_id").alias("least_id"), F.first("shared").alias("shared")
+        )
+    )
+    component = _components(nodes.select("node", "size", "shared"), percent, fragments)
+    placed = nodes.select("node", "least_id").join(component, "node", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "node"))
+    names = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = placed.join(names, "component").select("node", "component", "component_id")
+    found = sets.join(named, (F.col("set_low") == F.col("node")) & F.col("shared").isNotNull(), "left")
+    return found.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
 def jaccard_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -238,33 +255,29 @@ def jaccard_components(
     Rows that share an id are documents of their own. Texts are taken whole, whatever their length; other columns
     are not read; an empty table gives an empty result.
     """
-    sets = shingle_sets(docs, id_col, text_col, percent)
-    candidates = sets.filter("shared IS NOT NULL")
-    nodes = materialize(
-        candidates.groupBy(F.col("set_low").alias("node"), "set_high", F.col("n_shingles").cast("int").alias("size")).agg(
-            F.min("doc_id").alias("least_id"), F.first("shared").alias("shared")
-        )
-    )
-    component = _components(nodes.select("node", "size", "shared"), percent, fragments)
-    placed = nodes.select("node", "least_id").join(component, "node", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "node"))
-    names = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = placed.join(names, "component").select("node", "component_id")
-    found = sets.join(named, (F.col("set_low") == F.col("node")) & F.col("shared").isNotNull(), "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _linked(shingle_sets(docs, id_col, text_col, percent), percent, fragments).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Documents whose id is that of their component: one of each group stays. Columns as they were.
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, fragments: int = FRAGMENTS
+) -> DataFrame:
+    """One row of each group of linked documents stays: that of the smallest id. Columns as they were, whatever their names.
 
-    Rows with a NULL id stay; repeated rows of one id stay once.
+    Rows are numbered before they are compared, so of rows that share an id, or have none, each is judged by its own
+    text; among equal ids, and where a group has no id, the row numbered first stays. Rows without words are linked
+    with nothing and stay, NULL and empty texts and their repeats too. An empty table stays empty.
     """
-    found = jaccard_components(docs, id_col, text_col, **options)
-    stays = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    once = docs.filter(F.col(id_col).isNotNull()).withColumn("_place", place).filter("_place = 1").drop("_place")
-    kept = once.join(stays, F.col(id_col) == F.col("_stays"), "left_semi")
-    return kept.union(docs.filter(F.col(id_col).isNull()))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    # Stored with its number: what a task would number anew after a loss could not be joined back.
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("number"), row))
+    text, own_id = F.col("row")[text_col], F.col("row")[id_col]
+    sets = shingle_sets(numbered.select("number", text.alias("text")), "number", "text", percent)
+    linked = _linked(sets, percent, fragments).filter("component IS NOT NULL")
+    members = linked.select(F.col("doc_id").alias("number"), "component")
+    named = members.join(numbered.select("number", own_id.alias("id")), "number")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "number")).alias("first"))
+    goes = members.join(first, "component").filter(F.col("number") != F.col("first.number")).select("number")
+    return numbered.join(goes, "number", "left_anti").select("row.*")
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
