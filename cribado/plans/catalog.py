@@ -11,18 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cribado.functions import text as text_functions
+from cribado.functions.fixed import SHARD_SUFFIX
 from cribado.functions.scores import linear_score
 from cribado.operators import evaluation, labels, ratings, selection
 from cribado.operators.features import FEATURES, apply_stages, encoder_features, text_stages, vector_features
 from cribado.operators.head import Candidate, fit_head, select_head
 from cribado.operators.sample import sample_for_rating as draw_sample
 from cribado.operators.scoring import quantize, score_documents
-from cribado.operators.shards import pending_shards
+from cribado.operators.shards import completed_shards, pending_shards
 from cribado.operators.split import TEST, TRAIN, stratified_split
 from cribado.plans import curation, stand_ins
 from cribado.plans.curation import ask, train_on_responses
 from cribado.session import fresh_path, materialize
-from cribado.sources import tables
+from cribado.sources import sinks, tables
+from cribado.sources.files import resolve
 from cribado.streaming.incremental import process_new_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +78,51 @@ def union_shards(spark, sf_dir):
     )
 
 
+def _write_shards(docs: DataFrame, **options: str) -> str:
+    """The documents as Arrow shards, one per source."""
+    path = fresh_path(docs.sparkSession, "shards")
+    sinks.write_shards(docs.withColumn("shard", F.concat(F.coalesce("source", F.lit("unnamed")), F.lit(SHARD_SUFFIX))), path, order_by="doc_id", **options)
+    return path
+
+
+def arrow_round_trip(spark, sf_dir):
+    """Documents to Arrow shards and back, by several byte ranges a shard."""
+    path = _write_shards(_documents(spark, sf_dir), batch_rows="100")
+    return tables.read_arrow(spark, path, split_bytes="262144")
+
+
+def arrow_pushdown(spark, sf_dir):
+    """A range of documents out of shards; batches whose ids lie outside are not read."""
+    path = _write_shards(_documents(spark, sf_dir), layout="file", batch_rows="50")
+    return tables.read_arrow(spark, path, where=[("doc_id", ">=", 200), ("doc_id", "<", 260)], columns="doc_id,lang,text")
+
+
+def score_shards(spark, sf_dir):
+    """Each input shard to a scored shard of the same name, with the rows in their order."""
+    docs = _documents(spark, sf_dir).select("doc_id", "source", F.expr(stand_ins.SCORE).alias("score"))
+    shards = tables.read_arrow(spark, _write_shards(docs), provenance="true")
+    scored = quantize(shards.withColumn("shard", F.element_at(F.split("shard_path", "/"), -1)).drop("shard_path"))
+    path = fresh_path(spark, "scored-shards")
+    sinks.write_shards(scored.withColumnRenamed("row_index", "place"), path, order_by="place", layout="file")
+    written = tables.read_arrow(spark, path, provenance="true")
+    return written.select("doc_id", "score", "int_score", F.element_at(F.split("shard_path", "/"), -1).alias("shard"), "row_index")
+
+
+def resume_cut_shards(spark, sf_dir):
+    """Shards still to be processed, when the first of those written was cut off afterwards."""
+    docs = _documents(spark, sf_dir).select("doc_id", "source")
+    path = _write_shards(docs.filter(F.regexp_extract("source", "[0-9]+", 0).cast("int") < 10))
+    first = docs.agg(F.min("source")).first()[0]
+    filesystem, folder = resolve(path)
+    with filesystem.open_input_file(f"{folder}/{first}{SHARD_SUFFIX}") as shard:
+        half = shard.read(shard.size() // 2)
+    with filesystem.open_output_stream(f"{folder}/{first}{SHARD_SUFFIX}") as shard:
+        shard.write(half)
+    done = completed_shards(tables.list_shards(spark, path, f"*{SHARD_SUFFIX}"), tables.read_commits(spark, path))
+    shards = docs.groupBy("source").agg(F.count("*").alias("n_docs"))
+    return pending_shards(shards, done.select(F.regexp_replace("name", "[.]arrow$", "").alias("source")), "source")
+
+
 # Prompts and responses
 
 
@@ -367,6 +414,10 @@ QUERIES: dict[str, Query] = {
         read_documents,
         scan_with_provenance,
         resume_pending_shards,
+        arrow_round_trip,
+        arrow_pushdown,
+        score_shards,
+        resume_cut_shards,
         dataset_name_from_path,
         union_shards,
         render_prompt,

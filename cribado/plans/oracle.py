@@ -201,6 +201,14 @@ WHERE NOT EXISTS (SELECT 1 FROM taxonomy t WHERE t.kind = c.kind AND t.tag = c.t
     "sample_for_rating": """SELECT doc_id, source, text FROM (SELECT *, row_number() OVER (PARTITION BY source
   ORDER BY md5(concat_ws('|', cast(doc_id AS string), '42')), doc_id) AS place FROM documents) WHERE place <= 20""",
     "read_documents": "SELECT * FROM documents",
+    "arrow_round_trip": "SELECT * FROM documents",
+    "arrow_pushdown": "SELECT doc_id, lang, text FROM documents WHERE doc_id BETWEEN 200 AND 259",
+    "score_shards": f"""WITH {_SCORED}
+SELECT doc_id, score, int_score, coalesce(source, 'unnamed') || '.arrow' AS shard,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row_index FROM scored""",
+    "resume_cut_shards": """SELECT source, count(*) AS n_docs FROM documents
+WHERE NOT coalesce(try_cast(regexp_extract(source, '[0-9]+') AS int) < 10, false)
+  OR source = (SELECT min(source) FROM documents) GROUP BY source""",
     "scan_with_provenance": "SELECT doc_id, source, 'documents.parquet' AS file_name, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM documents",
     "resume_pending_shards": """SELECT source, count(*) AS n_docs FROM documents
 WHERE source NOT IN (SELECT source FROM documents WHERE cast(regexp_extract(source, '[0-9]+') AS int) < 10)

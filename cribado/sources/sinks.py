@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from cribado.sources.arrow_ipc import ArrowShards
+
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append results; earlier files are never rewritten."""
@@ -24,3 +26,14 @@ def write_scored(df: DataFrame, path: str) -> None:
 def write_selected(df: DataFrame, path: str, rows_per_file: int = 0) -> None:
     """Filtered rows to a new folder; `rows_per_file` bounds the size of the files."""
     df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
+def write_shards(df: DataFrame, path: str, name_col: str = "shard", order_by: str | None = None, mode: str = "append", **options: str) -> None:
+    """One Arrow shard per value of `name_col`, under that name, with a log of what was completed; see `arrow_ipc`.
+
+    Rows of one shard meet in one task, as they make up one file, in the order of `order_by`. A failed run leaves nothing.
+    """
+    df.sparkSession.dataSource.register(ArrowShards)
+    order = [name_col] if order_by is None else [name_col, order_by]
+    together = df.repartition(name_col).sortWithinPartitions(*order)
+    together.write.format("arrow_ipc").options(name_col=name_col, **options).mode(mode).save(path)

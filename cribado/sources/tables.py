@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cribado.functions.fixed import RESULT_GLOB
 from cribado.functions.text import dataset_of_result, dataset_of_shard, strip
-from cribado.sources.arrow_ipc import ArrowShards
+from cribado.sources.arrow_ipc import LOG, ArrowShards
 
 RATING_RECORD = T.StructType([T.StructField("Score", T.StringType()), T.StructField("Prompt", T.StringType())])
 LABEL_RECORD = T.StructType([T.StructField("domains", T.StringType()), T.StructField("use_cases", T.StringType())])
@@ -30,10 +33,24 @@ def with_provenance(df: DataFrame) -> DataFrame:
     return df.select("*", *fields)
 
 
-def read_arrow(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
-    """Arrow IPC shards; see `arrow_ipc` for the options."""
+def _holds(column: str, operator: str, value) -> Column:
+    c = F.col(column)
+    compared = {"=": c.__eq__, "<": c.__lt__, "<=": c.__le__, ">": c.__gt__, ">=": c.__ge__, "in": c.isin}
+    return {"null": c.isNull, "not null": c.isNotNull}[operator]() if operator not in compared else compared[operator](value)
+
+
+def read_arrow(
+    spark: SparkSession, paths: str | list[str], where: Sequence[tuple[str, str, object]] = (), **options: str
+) -> DataFrame:
+    """Arrow IPC shards, or the rows for which all conditions `(column, operator, value)` hold; see `arrow_ipc`.
+
+    Batches whose noted values rule a match out are not read.
+    """
     spark.dataSource.register(ArrowShards)
-    return spark.read.format("arrow_ipc").options(**options).load(paths)
+    rows = spark.read.format("arrow_ipc").options(where=json.dumps(list(where)), **options).load(paths)
+    for condition in where:
+        rows = rows.filter(_holds(*condition))
+    return rows
 
 
 def read_datasets(spark: SparkSession, manifest: str, **options: str) -> DataFrame:
@@ -43,9 +60,15 @@ def read_datasets(spark: SparkSession, manifest: str, **options: str) -> DataFra
 
 
 def list_shards(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
-    """`(path, length)` of the files in a folder; no file is opened."""
+    """`(path, length, modified)` of the files in a folder, with the second of the last change; no file is opened."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-    return reader.option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path", "length")
+    files = reader.option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    return files.select("path", "length", F.unix_seconds("modificationTime").alias("modified"))
+
+
+def read_commits(spark: SparkSession, folder: str) -> DataFrame:
+    """The log of the shards `sinks.write_shards` has completed there: `(name, length, modified, n_rows)`."""
+    return spark.read.schema("name string, length long, modified long, n_rows long").json(f"{folder}/{LOG}")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
