@@ -17,8 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from cribado.llm.common import n_words, parallelism
 from cribado.session import materialize
@@ -82,16 +83,12 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _taken(
-    docs: DataFrame, carried: list[str], id_col: str, text_col: str, source_col: str, weights, share: float, most: float, seed: int
+    docs: DataFrame, keys: list[Column], id_col: str, text_col: str, source_col: str, weights, share: float, most: float, seed: int
 ) -> DataFrame:
-    """`row`, a struct of the columns `carried`, with `id`, `source`, `size`, `source_size`, `target`, `copies`."""
+    """`id`, `source`, `size`, `source_size`, `target`, `copies`, and the `keys` as `key0`, `key1`."""
+    named = [key.alias(f"key{i}") for i, key in enumerate(keys)]
     sized = materialize(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).cast("string").alias("source"),
-            n_words(F.col(text_col)).alias("size"),
-            *([F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row")] if carried else []),
-        )
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *named)
     )  # the range partition reads its input twice; so the texts are read once
     ordered = sized.repartitionByRange(
         max(2, parallelism(docs)), F.col("source"), F.col("size"), F.xxhash64("id"), F.col("id")
@@ -110,7 +107,7 @@ def _taken(
     offset = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     place = F.col("start") + F.col("place")
     copies = F.floor((place + 1) * each + offset) - F.floor(place * each + offset)
-    kept = ["id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), *(["row"] if carried else [])]
+    kept = ["id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), *(f"key{i}" for i in range(len(keys)))]
     same = F.col("source").eqNullSafe(F.col("start_source")) & (F.col("part") == F.col("start_part"))
     return placed.join(starts, same).select(*kept)
 
@@ -146,11 +143,20 @@ def repeat_documents(
 ) -> DataFrame:
     """The mixed corpus: each row as often as `mix` takes it, columns as they were, whatever their names.
 
-    The rows travel with their sizes, so rows that share an id or have none are taken each by its own number. NULL texts
-    take nothing and are left out; an empty table gives an empty result.
+    Rows find their number by a hash of 128 bits over all their columns, so rows that share an id, or have none, are taken each by
+    its own number; what equal rows are taken together goes to one of them. NULL texts take nothing and are left out;
+    an empty table gives an empty result.
     """
-    taken = _taken(docs, docs.columns, id_col, text_col, source_col, weights, share, most, seed).filter("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    hashed = [F.array_sort(F.map_entries(f"`{f.name}`")) if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`") for f in docs.schema]
+    keys = [F.xxhash64(*hashed), F.xxhash64(F.lit(seed), *reversed(hashed))]
+    taken = _taken(docs, keys, id_col, text_col, source_col, weights, share, most, seed)
+    taken = taken.groupBy("key0", "key1").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, *(key.alias(f"key{i}") for i, key in enumerate(keys)))
+    found = rows.join(taken.filter("copies > 0"), ["key0", "key1"])
+    alone, equal = found.filter("rows = 1"), found.filter("rows > 1").dropDuplicates(["key0", "key1"])
+    numbered = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+    return alone.union(equal).select("row", numbered).select("row.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

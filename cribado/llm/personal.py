@@ -432,17 +432,18 @@ def redacted(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All documents with their personal data and keys replaced; columns as they were, whatever their names.
 
-    The classifier is trained on all rows. A column `n_chars` is counted anew. NULL and empty texts, repeated rows and NULL ids
+    The classifier is trained on all rows; they are searched once for its counts and once for their spans, as storing
+    what was found would store all texts. A column `n_chars` is counted anew. NULL and empty texts, repeated rows and NULL ids
     stay as they are; an empty table stays empty.
     """
-    found = materialize(find(docs, text_col))
-    model = train(found)
+    model = train(find(docs.select(text_col), text_col))
+    found = find(docs, text_col)
     cleaned = with_column_once(
         found.select("row", redacted(F.col("row")[text_col], all_spans(model)).alias("cleaned")), "cleaned", F.col("cleaned")
     )
     made = {text_col: F.col("cleaned")}
     if "n_chars" in docs.columns:
-        made["n_chars"] = F.length("cleaned").cast(docs.schema["n_chars"].dataType)
+        made["n_chars"] = F.coalesce(F.length("cleaned").cast(docs.schema["n_chars"].dataType), F.col("row")["n_chars"])
     return cleaned.select(*(made.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
