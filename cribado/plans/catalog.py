@@ -261,6 +261,15 @@ def parse_labels(spark, sf_dir):
     return labels.parse_labels(_label_responses(spark, sf_dir))
 
 
+def import_results(spark, sf_dir):
+    """Labels to results files of one line each, and back from them by byte ranges."""
+    parsed = parse_labels(spark, sf_dir)
+    name = F.concat(F.lit("usecasesdomains_"), F.coalesce("dataset", F.lit("unnamed")), F.lit("_Demo.json"))
+    path = fresh_path(spark, "results")
+    sinks.write_result_files(parsed.withColumn("name", name).drop("dataset"), path, "name", "doc_id")
+    return tables.read_labels(spark, path, split_bytes=4096).drop("path")
+
+
 def normalize_labels(spark, sf_dir):
     return labels.normalize_labels(parse_labels(spark, sf_dir))
 
@@ -435,6 +444,7 @@ QUERIES: dict[str, Query] = {
         score_corpus_encoder,
         incremental_score,
         parse_labels,
+        import_results,
         normalize_labels,
         explode_labels,
         label_coverage_counts,

@@ -201,6 +201,8 @@ WHERE NOT EXISTS (SELECT 1 FROM taxonomy t WHERE t.kind = c.kind AND t.tag = c.t
     "sample_for_rating": """SELECT doc_id, source, text FROM (SELECT *, row_number() OVER (PARTITION BY source
   ORDER BY md5(concat_ws('|', cast(doc_id AS string), '42')), doc_id) AS place FROM documents) WHERE place <= 20""",
     "read_documents": "SELECT * FROM documents",
+    "import_results": f"""WITH {_LABELLED}
+SELECT coalesce(dataset, 'unnamed') AS dataset, doc_id AS id, domains, use_cases FROM labelled""",
     "arrow_round_trip": "SELECT * FROM documents",
     "arrow_pushdown": "SELECT doc_id, lang, text FROM documents WHERE doc_id BETWEEN 200 AND 259",
     "score_shards": f"""WITH {_SCORED}

@@ -10,17 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cribado.functions.fixed import RESULT_GLOB
-from cribado.functions.text import dataset_of_result, dataset_of_shard, strip
+from cribado.functions.text import dataset_of_result, dataset_of_shard
 from cribado.sources.arrow_ipc import LOG, ArrowShards
+from cribado.sources.json_results import SPLIT_BYTES, read_records
 
 RATING_RECORD = T.StructType([T.StructField("Score", T.StringType()), T.StructField("Prompt", T.StringType())])
 LABEL_RECORD = T.StructType([T.StructField("domains", T.StringType()), T.StructField("use_cases", T.StringType())])
 
-# A record of an indented results file ends with this line. Line breaks inside strings are
-# escaped and deeper objects are indented further, so it occurs nowhere else.
-_RECORD_END = "\n    },\n"
-_FILE_END = "\n    }\n}"
-
 
 def read_shards(spark: SparkSession, *paths: str, pattern: str = "*.parquet") -> DataFrame:
     """All Parquet shards of the folders as one table."""
@@ -90,50 +86,28 @@ def read_template(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first().value
 
 
-def _refuse_truncated(chunks: DataFrame, is_end: Column) -> None:
-    """Every results file must end where its object ends: a file cut at a record's end parses, but has lost rows."""
-    files = chunks.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count_if(is_end).alias("ends"))
-    cut = files.filter("ends <> 1").select("path").take(3)
-    if cut:
-        raise ValueError(f"truncated results file: {', '.join(row.path for row in cut)}")
-
-
 def read_results(
-    spark: SparkSession, path: str, record: T.StructType, indented: bool = True, pattern: str = "*.json"
+    spark: SparkSession, path: str, record: T.StructType, pattern: str = "*.json", split_bytes: int = SPLIT_BYTES
 ) -> DataFrame:
     """Results files, each one JSON object `{index: record}`, as rows `(path, id, …record)`.
 
-    An indented file is cut at the ends of its records, so that a large file is read by many
-    tasks. For files in any other layout set `indented=False`: then each has to fit one task.
-    A file that does not parse is an error.
+    Files of any layout, on one line too, are read in ranges of `split_bytes`. A file that was cut off or does not parse is
+    an error.
     """
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    if indented:
-        chunks = reader.text(path, lineSep=_RECORD_END)
-        body = F.rtrim(F.col("value"), F.lit(" \t\r\n"))
-        _refuse_truncated(chunks, body.endswith(_FILE_END) | F.regexp_replace(body, r"\s", "").isin("", "{}"))
-        # Only the last chunk of a file still has its closing brackets.
-        body = F.when(body.endswith(_FILE_END), F.left(body, F.length(body) - len(_FILE_END))).otherwise(body)
-        body = F.when(body.startswith("{"), F.substr(body, F.lit(2))).otherwise(body)
-        whole = F.when(strip(body).isin("", "}"), F.lit("{}")).otherwise(F.concat(F.lit("{"), body, F.lit("}}")))
-    else:
-        chunks = reader.text(path, wholetext=True)
-        whole = F.col("value")
-    kind = T.MapType(T.StringType(), record)
-    records = F.from_json(whole, kind, {"mode": "FAILFAST"})
-    rows = chunks.select(F.col("_metadata.file_path").alias("path"), F.explode(records).alias("key", "record"))
-    return rows.select("path", F.col("key").cast("bigint").alias("id"), "record.*")
-
-
-def read_ratings(spark: SparkSession, path: str, indented: bool = True) -> DataFrame:
+    records = read_records(spark, list_shards(spark, path, pattern, recursive=True), split_bytes)
+    parsed = F.from_json("record", record, {"mode": "FAILFAST"})
+    return records.select("path", F.col("key").cast("bigint").alias("id"), parsed.alias("record")).select("path", "id", "record.*")
+
+
+def read_ratings(spark: SparkSession, path: str, **options: int) -> DataFrame:
     """Rating results as `(path, id, score_raw, text)`."""
-    rows = read_results(spark, path, RATING_RECORD, indented)
+    rows = read_results(spark, path, RATING_RECORD, **options)
     return rows.select("path", "id", F.col("Score").alias("score_raw"), F.col("Prompt").alias("text"))
 
 
-def read_labels(spark: SparkSession, path: str, indented: bool = True) -> DataFrame:
+def read_labels(spark: SparkSession, path: str, **options: int) -> DataFrame:
     """Label results found anywhere below `path` as `(path, dataset, id, domains, use_cases)`."""
-    rows = read_results(spark, path, LABEL_RECORD, indented, RESULT_GLOB)
+    rows = read_results(spark, path, LABEL_RECORD, RESULT_GLOB, **options)
     return rows.select("path", dataset_of_result(F.col("path")).alias("dataset"), "id", "domains", "use_cases")
 
 

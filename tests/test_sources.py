@@ -11,7 +11,7 @@ from cribado.operators import labels
 from cribado.operators.scoring import quantize
 from cribado.operators.selection import filter_counts, keep_by_score
 from cribado.operators.shards import pending_shards
-from cribado.sources import sinks, tables
+from cribado.sources import json_results, sinks, tables
 
 
 def write_shard(path, first, rows, fmt="stream", batch=7, text_type=pa.large_string()):
@@ -97,30 +97,58 @@ def test_template(spark, tmp_path):
 TRICKY = ["línea 1\nlínea 2", 'cita "x" }', "    },\n    }\n}", "", "{", "}}", "tab\t\\ñ", "x" * 5000]
 
 
-@pytest.mark.parametrize("indented", [True, False])
+@pytest.mark.parametrize("indent", [4, None, 0])
 @pytest.mark.parametrize("size", [0, 1, 2, 400])
-def test_rating_results(spark, tmp_path, size, indented):
+@pytest.mark.parametrize("split_bytes", [61, 1 << 20])
+def test_rating_results(spark, tmp_path, size, indent, split_bytes):
+    if size == 400 and split_bytes == 61 and indent == 4:
+        size = 40
     records = {str(i): {"Score": f"{i % 6}.", "Prompt": TRICKY[i % len(TRICKY)]} for i in range(size)}
-    text = json.dumps(records, ensure_ascii=False, indent=4 if indented else None)
+    text = json.dumps(records, ensure_ascii=bool(indent), indent=indent)
     (tmp_path / "r.json").write_text(text, encoding="utf-8")
-    rows = tables.read_ratings(spark, str(tmp_path), indented).orderBy("id").collect()
+    rows = tables.read_ratings(spark, str(tmp_path), split_bytes=max(split_bytes, len(text) // 100)).orderBy("id").collect()
     assert [(r.id, r.score_raw, r.text) for r in rows] == [
         (i, f"{i % 6}.", TRICKY[i % len(TRICKY)]) for i in range(size)
     ]
 
 
-def test_a_large_indented_file_is_read_by_several_tasks(spark, tmp_path):
+def test_records_at_every_range(tmp_path):
+    """All ways to cut a file into ranges of one size, states taken from what went before."""
+    text = json.dumps({"0": {"a": '\\"{', "b": {"c": "}\\\\"}}, "x\\\"": {}, "12": {"é": [{"d": "\\\\\""}, "]"]}}, ensure_ascii=False)
+    path = tmp_path / "f.json"
+    path.write_text(text, encoding="utf-8")
+    size = path.stat().st_size
+    expected = [(k, v) for k, v in json.loads(text).items()]
+    for step in range(1, size + 1):
+        found, in_string, depth = [], False, 0
+        for start in range(0, size, step):
+            stop = min(start + step, size)
+            found += json_results._records(str(path), size, start, stop, in_string, depth)
+            quotes, outside, inside = json_results._summary(str(path), start, stop)
+            depth += inside if in_string else outside
+            in_string ^= quotes % 2 == 1
+        assert [(k, json.loads(v)) for k, v in found] == expected
+        assert (in_string, depth) == (False, 0)
+
+
+def test_a_large_file_of_one_line_is_read_by_several_tasks(spark, tmp_path):
     records = {str(i): {"Score": "4", "Prompt": f"texto {i} " * 20} for i in range(3000)}
-    (tmp_path / "r.json").write_text(json.dumps(records, indent=4), encoding="utf-8")
-    key = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "50000")
-    try:
-        df = tables.read_ratings(spark, str(tmp_path))
-        assert df.rdd.getNumPartitions() > 5
-        assert df.agg(F.sum("id"), F.count("*")).first()[:] == (sum(range(3000)), 3000)
-    finally:
-        spark.conf.set(key, before)
+    (tmp_path / "r.json").write_text(json.dumps(records), encoding="utf-8")
+    df = tables.read_ratings(spark, str(tmp_path), split_bytes=50_000)
+    parts = df.select("id", F.spark_partition_id().alias("part")).collect()
+    assert sorted(r.id for r in parts) == list(range(3000)) and len({r.part for r in parts}) > 5
+
+
+def test_result_files_are_written_as_others_read_them(spark, tmp_path):
+    rows = spark.range(50).selectExpr("id", "concat('f', id % 3, '.json') AS name", "if(id % 4 = 0, null, concat('t \"', id)) AS domains", "'u' AS use_cases")
+    for indent in (False, True):
+        made = sinks.write_result_files(rows, str(tmp_path / str(indent)), "name", "id", indent).collect()
+        assert sorted((r.name, r.n_rows) for r in made) == [("f0.json", 17), ("f1.json", 17), ("f2.json", 16)]
+        assert sorted(os.listdir(tmp_path / str(indent))) == ["f0.json", "f1.json", "f2.json"]
+        for k in range(3):
+            found = json.loads((tmp_path / str(indent) / f"f{k}.json").read_text())
+            assert list(found) == [str(i) for i in range(k, 50, 3)]
+            assert all(v == {"domains": None if int(i) % 4 == 0 else f't "{i}', "use_cases": "u"} for i, v in found.items())
 
 
 def test_broken_results_are_an_error(spark, tmp_path):
