@@ -9,6 +9,7 @@ from cribado.functions.fixed import ALL_DATASETS, CUT_TAG, EXCLUDED_FROM_ALL, TO
 from cribado.functions.plan import with_column_once
 from cribado.functions.responses import domain_list, null_if_no_match, use_case_list
 from cribado.functions.text import strip
+from cribado.session import materialize
 
 DOMAIN = "domain"
 USE_CASE = "use_case"
@@ -66,47 +67,61 @@ def coverage_counts(normalized: DataFrame, path_col: str = "dataset") -> DataFra
     return groups.groupBy("dataset").agg(F.sum("_total").alias("n_total"), F.sum("_valid").alias("n_valid"))
 
 
-def tag_counts(
-    normalized: DataFrame,
-    id_col: str,
-    path_col: str = "dataset",
-    per_dataset: bool = True,
-    combined: bool = True,
-    drop_cut_tag: bool = True,
-) -> DataFrame:
-    """Occurrences `n` and first position `first_seen` per `(dataset, kind, tag)`.
+FIRST_COUNTS = "dataset string, in_all boolean, kind string, tag string, n long, place decimal(38,0)"
 
-    The combined group is added up from the counts of the datasets, so the tags themselves are
-    read and shuffled once. A dataset that is also kept under a filtered name is left out of it.
 
-    Ids are whole numbers. Id and position are aggregated as one number: a hash aggregate can
-    keep a minimum of numbers, but for the minimum of a struct Spark would sort all tags first.
+def placed_tags(normalized: DataFrame, id_col: str, path_col: str = "dataset", drop_cut_tag: bool = True) -> DataFrame:
+    """`(dataset, in_all, kind, tag, place)` per list item; `place` puts id and position into one number.
+
+    Ids are whole numbers. A hash aggregate can keep the minimum of a number, but for the minimum of a struct Spark
+    would sort all tags first.
     """
     tags = explode_tags(
-        normalized.select("dataset", _in_all(F.col(path_col)).alias("_in_all"), id_col, "domains", "use_cases"),
+        normalized.select("dataset", _in_all(F.col(path_col)).alias("in_all"), F.col(id_col).alias("number"), "domains", "use_cases"),
         "dataset",
-        "_in_all",
-        id_col,
+        "in_all",
+        "number",
     )
     if drop_cut_tag:
         tags = tags.filter(F.col("tag") != CUT_TAG)
-    place = F.col(id_col).cast("decimal(20,0)") * F.lit(1 << 31) + F.col("pos")
-    counts = tags.groupBy("dataset", "_in_all", "kind", "tag").agg(
-        F.count("*").alias("n"), F.min(place).alias("_place")
-    )
+    place = F.col("number").cast("decimal(20,0)") * F.lit(1 << 31) + F.col("pos")
+    return tags.select("dataset", "in_all", "kind", "tag", place.cast("decimal(38,0)").alias("place"))
+
+
+def first_counts(tags: DataFrame) -> DataFrame:
+    """Occurrences and first place per `(dataset, in_all, kind, tag)`; also as a stream, which keeps them as state."""
+    return tags.groupBy("dataset", "in_all", "kind", "tag").agg(F.count("*").alias("n"), F.min("place").alias("place"))
+
+
+def grouped_counts(counts: DataFrame, per_dataset: bool = True, combined: bool = True) -> DataFrame:
+    """`(dataset, kind, tag, n, first_seen)` of the datasets and of all together, added up from `first_counts`."""
     if not combined:  # a dataset with paths on both sides of the exclusion is still one dataset
-        counts = counts.groupBy("dataset", "kind", "tag").agg(F.sum("n").alias("n"), F.min("_place").alias("_place"))
-    counts = counts.withColumn("first_seen", F.struct("dataset", "_place")).drop("_place")
+        counts = counts.groupBy("dataset", "kind", "tag").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
+    counts = counts.withColumn("first_seen", F.struct("dataset", F.col("place").alias("_place"))).drop("place")
     if not combined:
         return counts
     if per_dataset:
-        group = _groups(F.col("dataset"), F.col("_in_all"))
+        group = _groups(F.col("dataset"), F.col("in_all"))
     else:
-        counts, group = counts.filter("_in_all"), F.lit(ALL_DATASETS)
+        counts, group = counts.filter("in_all"), F.lit(ALL_DATASETS)
     groups = counts.select(group.alias("dataset"), "kind", "tag", "n", "first_seen")
-    return groups.groupBy("dataset", "kind", "tag").agg(
-        F.sum("n").alias("n"), F.min("first_seen").alias("first_seen")
-    )
+    return groups.groupBy("dataset", "kind", "tag").agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"))
+
+
+def tag_counts(
+    normalized: DataFrame,
+    id_col: str,
+    path_col: str = "dataset",
+    per_dataset: bool = True,
+    combined: bool = True,
+    drop_cut_tag: bool = True,
+) -> DataFrame:
+    """Occurrences `n` and first position `first_seen` per `(dataset, kind, tag)`.
+
+    The combined group is added up from the counts of the datasets, so the tags themselves are
+    read and shuffled once. A dataset that is also kept under a filtered name is left out of it.
+    """
+    return grouped_counts(first_counts(placed_tags(normalized, id_col, path_col, drop_cut_tag)), per_dataset, combined)
 
 
 def top_tags(counts: DataFrame, top_domains: int = TOP_DOMAINS, top_use_cases: int = TOP_USE_CASES) -> DataFrame:
@@ -154,12 +169,38 @@ def unknown_tags(counts: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return counts.select("dataset", "kind", "tag", "n").join(known, ["kind", "tag"], "left_anti").select("dataset", "kind", "tag", "n")
 
 
+def _shares(counts: DataFrame) -> DataFrame:
+    totals = counts.groupBy("dataset", "kind").agg(F.sum("n").alias("_total"))
+    return counts.join(totals, ["dataset", "kind"]).withColumn("pct", F.col("n") * 100.0 / F.col("_total"))
+
+
 def all_tags(counts: DataFrame) -> DataFrame:
     """All tags with their shares, most frequent first: `(dataset, kind, tag, n, pct)`.
 
     Sorted by range, not ranked in one task per group. `counts` is used twice: store it first
     if it is costly.
     """
-    totals = counts.groupBy("dataset", "kind").agg(F.sum("n").alias("_total"))
-    shares = counts.join(totals, ["dataset", "kind"]).withColumn("pct", F.col("n") * 100.0 / F.col("_total"))
-    return shares.orderBy("dataset", "kind", F.desc("n"), "first_seen", "tag").select("dataset", "kind", "tag", "n", "pct")
+    return _shares(counts).orderBy("dataset", "kind", F.desc("n"), "first_seen", "tag").select("dataset", "kind", "tag", "n", "pct")
+
+
+def ranked_tags(counts: DataFrame, ranges: int | None = None) -> DataFrame:
+    """All tags with their shares and ranks: `(dataset, kind, tag, n, pct, rank)`, ties in the order they were first seen.
+
+    No task sorts a whole group. The tags are dealt out in ranges of the wanted order and stored; a row's rank is its place
+    within its range and group, plus the rows that the group has in earlier ranges. Only these counts, one per
+    range and group that meet, are added up along a group.
+    """
+    spark = counts.sparkSession
+    order = [F.col("dataset"), F.col("kind"), F.desc("n"), F.col("first_seen"), F.col("tag")]
+    parts = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _shares(counts).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    stored = materialize(dealt.select("dataset", "kind", "tag", "n", "pct", F.monotonically_increasing_id().alias("at")))
+    stored = stored.withColumn("range", F.shiftright("at", 33))
+    # Within a range a group's rows follow each other: the distance to its first row is the place.
+    met = stored.groupBy("dataset", "kind", "range").agg(F.count("*").alias("rows"), F.min("at").alias("first"))
+    earlier = Window.partitionBy("dataset", "kind").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    met = met.select(F.col("dataset").alias("met_dataset"), F.col("kind").alias("met_kind"), F.col("range").alias("met_range"), "first", "before")
+    same = F.col("dataset").eqNullSafe(F.col("met_dataset")) & (F.col("kind") == F.col("met_kind")) & (F.col("range") == F.col("met_range"))
+    rank = (F.col("before") + F.col("at") - F.col("first") + 1).cast("long")
+    return stored.join(met, same).select("dataset", "kind", "tag", "n", "pct", rank.alias("rank"))

@@ -15,7 +15,7 @@ from cribado.functions.fixed import SHARD_SUFFIX
 from cribado.functions.scores import linear_score
 from cribado.operators import evaluation, labels, ratings, selection
 from cribado.operators.features import FEATURES, apply_stages, encoder_features, text_stages, vector_features
-from cribado.operators.head import Candidate, fit_head, select_head
+from cribado.operators.head import Candidate, fit_head, load_model, save_model, select_head
 from cribado.operators.sample import sample_for_rating as draw_sample
 from cribado.operators.scoring import quantize, score_documents
 from cribado.operators.shards import completed_shards, pending_shards
@@ -26,6 +26,7 @@ from cribado.session import fresh_path, materialize
 from cribado.sources import sinks, tables
 from cribado.sources.files import resolve
 from cribado.streaming.incremental import process_new_files
+from cribado.streaming.label_counts import count_new_labels, current_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -145,6 +146,14 @@ def stub_generate(spark, sf_dir):
     return ask(docs, "text", stand_ins.RATING_TEMPLATE, stand_ins.stub_judge, keep=["doc_id"])
 
 
+def resume_generate(spark, sf_dir):
+    """A run over every other document, then one over all: the second asks only for what the ledger lacks."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    ledger = fresh_path(spark, "ledger")
+    ask(docs.filter("doc_id % 2 = 0"), "text", stand_ins.RATING_TEMPLATE, stand_ins.stub_judge, keep=["doc_id"], output=ledger)
+    return ask(docs, "text", stand_ins.RATING_TEMPLATE, stand_ins.stub_judge, keep=["doc_id"], output=ledger)
+
+
 def _rating_responses(spark, sf_dir) -> DataFrame:
     return _documents(spark, sf_dir).selectExpr("doc_id", f"{stand_ins.RATING_RESPONSE} AS response")
 
@@ -248,6 +257,29 @@ def incremental_score(spark, sf_dir):
     return spark.read.schema(stored).parquet(output)
 
 
+def incremental_score_head(spark, sf_dir):
+    """A head that was fitted, saved and loaded scores the files of the corpus as a stream."""
+    names = [f"f{i}" for i in range(len(stand_ins.TEXT_FEATURES))]
+    columns = ", ".join(f"{sql} AS {name}" for sql, name in zip(stand_ins.TEXT_FEATURES, names))
+    stages = [
+        SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__"),
+        VectorAssembler(inputCols=names, outputCol=FEATURES),
+    ]
+    chosen = train_on_responses(_stored_ratings(spark, sf_dir), "doc_id", stages, [Candidate()])
+    saved = fresh_path(spark, "model")
+    save_model(chosen.model, saved)
+    model = load_model(saved)
+
+    def process(docs: DataFrame) -> DataFrame:
+        scored = score_documents(model, docs.select("doc_id", "source", "text"))
+        return scored.select("doc_id", "source", F.round("score", 4).alias("score"), "int_score")
+
+    schema = _documents(spark, sf_dir).schema
+    output, checkpoint = fresh_path(spark, "scored"), fresh_path(spark, "progress")
+    process_new_files(spark, sf_dir, schema, process, output, checkpoint, pattern="documents.parquet")
+    return spark.read.schema("doc_id long, source string, score double, int_score int").parquet(output)
+
+
 # Labels
 
 
@@ -312,6 +344,26 @@ def label_distribution_full(spark, sf_dir):
     return labels.all_tags(materialize(counts)).withColumn("pct", F.round("pct", 6))
 
 
+def label_ranks_full(spark, sf_dir):
+    """Every tag with its rank, ranked by ranges: none of them holds a whole group."""
+    counts = labels.tag_counts(normalize_labels(spark, sf_dir), "doc_id")
+    return labels.ranked_tags(materialize(counts), ranges=16).withColumn("pct", F.round("pct", 6))
+
+
+def incremental_labels(spark, sf_dir):
+    """The label report from counts that a stream keeps while shards arrive: half of them, the rest, then none."""
+    responses = _label_responses(spark, sf_dir)
+    shards, counts, checkpoint = (fresh_path(spark, name) for name in ("responses", "counts", "progress"))
+
+    def normalize(rows: DataFrame) -> DataFrame:
+        return labels.normalize_labels(labels.parse_labels(rows))
+
+    for part in ("doc_id % 2 = 0", "doc_id % 2 = 1 OR doc_id IS NULL", "false"):
+        responses.filter(part).write.mode("append").parquet(shards)
+        count_new_labels(spark, shards, responses.schema, normalize, counts, checkpoint, "doc_id")
+    return _distribution(current_counts(spark, counts))
+
+
 def _taxonomy(spark, sf_dir) -> DataFrame:
     """The caller's taxonomy; here the languages of the corpus and a few tags the responses use."""
     known = _documents(spark, sf_dir).select(F.lit(labels.DOMAIN).alias("kind"), F.col("lang").alias("tag")).distinct()
@@ -432,6 +484,7 @@ QUERIES: dict[str, Query] = {
         render_prompt,
         truncate_text,
         stub_generate,
+        resume_generate,
         parse_rating,
         clean_scores,
         join_ratings,
@@ -443,6 +496,7 @@ QUERIES: dict[str, Query] = {
         score_corpus,
         score_corpus_encoder,
         incremental_score,
+        incremental_score_head,
         parse_labels,
         import_results,
         normalize_labels,
@@ -452,6 +506,8 @@ QUERIES: dict[str, Query] = {
         label_distribution_usecases,
         label_distribution_all,
         label_distribution_full,
+        label_ranks_full,
+        incremental_labels,
         taxonomy_gaps,
         unknown_tags,
         sample_for_rating,

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Estimator
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cribado.functions.fixed import GENERATION_BATCH
 from cribado.functions.text import render_prompt
 from cribado.operators.generate import PredictorFactory, generate
 from cribado.operators.head import DEFAULT_GRID, Candidate, Selection, select_head
 from cribado.operators.labels import normalize_labels, parse_labels, tag_counts, top_tags
+from cribado.operators.ledger import generate_with_ledger
 from cribado.operators.ratings import clean_ratings, parse_ratings, training_rows
 from cribado.operators.scoring import score_documents
 from cribado.operators.selection import keep_by_score
@@ -21,10 +23,6 @@ from cribado.session import materialize
 Encode = Callable[[DataFrame], DataFrame]
 
 
-#: A resumable run stores its answers in so many parts, one after the other.
-PARTS = 16
-
-
 def ask(
     docs: DataFrame,
     text_col: str,
@@ -33,37 +31,24 @@ def ask(
     num_partitions: int | None = None,
     keep: Sequence[str] | None = None,
     output: str | None = None,
-    parts: int = PARTS,
+    batch_size: int = GENERATION_BATCH,
 ) -> DataFrame:
     """Render the prompts, ask the model, store rows with `response` and `error`.
 
     Only the columns `keep` (by default all but the text) are stored with the answers. The prompts are
     dealt out over `num_partitions` tasks, by default as many as the cluster has cores, however few
-    the rows came in. With `output` the answers are stored there part by part, and a part that is complete
-    is not asked again when the call is repeated; `keep` must then hold the key and stay the same.
+    the rows came in. With `output` a ledger of the answered batches is kept there, and a repeated or resumed call asks
+    only for what it does not have (`ledger.generate_with_ledger`).
     """
     spark = docs.sparkSession
     kept = list(keep) if keep is not None else [c for c in docs.columns if c != text_col]
     tasks = num_partitions or spark.sparkContext.defaultParallelism
     prompts = docs.select(*kept, render_prompt(template, F.col(text_col)).alias("_prompt"))
-
-    def answers(rows: DataFrame) -> DataFrame:
-        return generate(rows, "_prompt", factory, num_partitions=tasks).select(*kept, "response", "error")
-
     if output is None:
-        return materialize(answers(prompts))
-    part = F.pmod(F.xxhash64(*kept), F.lit(parts))
-    for number in range(parts):
-        path = f"{output}/part={number}"
-        if not _stored(spark, path):
-            answers(prompts.filter(part == number)).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(*(f"{output}/part={number}" for number in range(parts)))
-
-
-def _stored(spark: SparkSession, path: str) -> bool:
-    """Whether a table was written there to its end."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+        answers = generate(prompts, "_prompt", factory, batch_size, tasks)
+        return materialize(answers.select(*kept, "response", "error"))
+    answers = generate_with_ledger(prompts, "_prompt", factory, output, kept, batch_size, tasks)
+    return answers.select(*kept, "response", "error")
 
 
 def train_on_responses(

@@ -231,6 +231,8 @@ SELECT doc_id,
     ELSE array_to_string(parts[len(parts) - {stand_ins.PROMPT_TAIL_TOKENS} + 1:], ' ') END AS prompt_input
 FROM split""",
     "stub_generate": f"""SELECT doc_id, concat('Juez de prueba.', chr(10), 'PUNTUACIÓN EDUCATIVA: ',
+  cast({_JUDGED} AS string)) AS response, cast(NULL AS string) AS error FROM documents""",
+    "resume_generate": f"""SELECT doc_id, concat('Juez de prueba.', chr(10), 'PUNTUACIÓN EDUCATIVA: ',
   cast({_JUDGED} AS string)) AS response, cast(NULL AS string) AS error FROM documents""",
     "parse_rating": f"WITH {_PARSED} SELECT * FROM parsed",
     "clean_scores": f"WITH {_CLEANED} SELECT * FROM cleaned",
@@ -265,6 +267,13 @@ SELECT report AS dataset, count(*) AS n_total,
     "label_distribution_domains": _distribution("dataset", "kind = 'domain'"),
     "label_distribution_usecases": _distribution("dataset", "kind = 'use_case'"),
     "label_distribution_all": _distribution(_REPORTS, "true"),
+    "incremental_labels": _distribution(_REPORTS, "true"),
+    "label_ranks_full": f"""WITH {_TAGS},
+grouped AS (SELECT *, {_REPORTS} AS report FROM tags WHERE tag <> '{fixed.CUT_TAG}'),
+counted AS (SELECT report, kind, tag, count(*) AS n, min((dataset, doc_id, pos)) AS first_seen FROM grouped GROUP BY ALL)
+SELECT report AS dataset, kind, tag, n, round(cast(n * 100.0 / sum(n) OVER (PARTITION BY report, kind) AS double), 6) AS pct,
+  row_number() OVER (PARTITION BY report, kind ORDER BY n DESC, first_seen) AS rank FROM counted""",
+    "incremental_score_head": _head_on_text(_STORED_RATINGS, "double", _SCORED_COLUMNS, "true"),
     "stratified_split": f"WITH {_RATED}, {_SPLIT} SELECT * FROM divided",
     "score_corpus_encoder": _head_on_text(_STORED_RATINGS, "float", _SCORED_COLUMNS, "true"),
     "curate_corpus": _head_on_text(

@@ -2,11 +2,13 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cribado.operators import labels
+from cribado.streaming.label_counts import count_new_labels, current_counts
 
 SCHEMA = "dataset string, id bigint, domains string, use_cases string"
 
@@ -135,3 +137,42 @@ def test_a_dataset_on_both_sides_of_the_exclusion_is_one_dataset(spark):
     assert sorted((r.kind, r.tag, r.n, r.pct) for r in shares.collect()) == [("domain", "Salud", 3, 100.0), ("use_case", "x", 3, 100.0)]
     both = labels.top_tags(labels.tag_counts(df, "id", "path")).filter("kind = 'domain'")
     assert {r.dataset: r.n for r in both.collect()} == {"d": 3, "All-Datasets": 2}
+
+
+@pytest.mark.parametrize("ranges", [1, 5, 64])
+def test_ranks_by_ranges_equal_a_full_sort(spark, ranges):
+    rows = [(f"d{i % 3}" if i % 7 else "hot", ("domain", "use_case")[i % 2], f"t{i}", i * i % 11, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "dataset string, kind string, tag string, n long, place int")
+    counts = df.select("dataset", "kind", "tag", "n", F.struct("dataset", "place").alias("first_seen"))
+    found = {(r.dataset, r.kind, r.tag): (r["rank"], r.pct) for r in labels.ranked_tags(counts, ranges).collect()}
+    groups: dict = {}
+    for dataset, kind, tag, n, place in rows:
+        groups.setdefault((dataset, kind), []).append((-n, place, tag))
+    assert len(found) == 600
+    for (dataset, kind), members in groups.items():
+        total = -sum(m[0] for m in members)
+        for rank, (n, _, tag) in enumerate(sorted(members), 1):
+            assert found[dataset, kind, tag] == (rank, pytest.approx(-n * 100.0 / total))
+    assert labels.ranked_tags(counts.limit(0), ranges).count() == 0
+
+
+def test_counts_grow_with_the_shards(spark, tmp_path):
+    source, counts, progress = (str(tmp_path / name) for name in ("in", "counts", "progress"))
+    schema = "id long, dataset string, domains string, use_cases string"
+    rows = [(i, ("a", "b", "b-toxicity")[i % 3], f"Uno, t{i % 5}", None if i % 4 == 0 else "x, E") for i in range(90)]
+    whole = spark.createDataFrame(rows, schema)
+
+    def report(df):
+        return sorted(map(tuple, df.collect()), key=repr)
+
+    for part in ("id >= 30 AND id < 60", "id < 30", "false", "id >= 60"):  # places move forward and back
+        whole.filter(part).repartition(2).write.mode("append").parquet(source)
+        count_new_labels(spark, source, whole.schema, lambda df: df, counts, progress, max_files_per_batch=1)
+        count_new_labels(spark, source, whole.schema, lambda df: df, counts, progress)  # nothing is new
+        so_far = spark.read.parquet(source)
+        for options in ({}, {"combined": False}, {"per_dataset": False}):
+            assert report(current_counts(spark, counts, **options)) == report(labels.tag_counts(so_far, "id", **options))
+    batches = sorted((tmp_path / "counts").glob("batch=*"))
+    last = spark.read.parquet(str(batches[-1]))
+    last.write.mode("append").parquet(counts + "/batch=-1")  # an older entry changes nothing
+    assert report(current_counts(spark, counts)) == report(labels.tag_counts(whole, "id"))
