@@ -20,6 +20,7 @@ from cribado.operators.sample import sample_for_rating as draw_sample
 from cribado.operators.scoring import quantize, score_documents
 from cribado.operators.shards import completed_shards, pending_shards
 from cribado.operators.split import TEST, TRAIN, stratified_split
+from cribado.operators.training import train_steps
 from cribado.plans import curation, stand_ins
 from cribado.plans.curation import ask, train_on_responses
 from cribado.session import fresh_path, materialize
@@ -445,6 +446,27 @@ def select_best_head(spark, sf_dir):
     return _rounded(board, "precision", "recall", "f1_macro", "accuracy")
 
 
+def _trained(spark, sf_dir, hidden: int) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("y", F.least("label", F.lit(5)))
+    rows = materialize(stratified_split(vectors.select("vec_id", "y", "embedding"), "vec_id"))
+    train, test = (rows.filter(F.col("split") == name) for name in (TRAIN, TEST))
+    found = train_steps(
+        train, test, "embedding", "y", stand_ins.STEPS, stand_ins.EVALUATE_EVERY, stand_ins.RATE, hidden, output=fresh_path(spark, "steps")
+    )
+    board = spark.createDataFrame(found.history).withColumn("step", F.col("step").cast("int"))
+    return _rounded(board, "loss", "precision", "recall", "f1_macro", "accuracy")
+
+
+def train_head_steps(spark, sf_dir):
+    """One training of a linear head, evaluated every few steps; the best step is marked."""
+    return _trained(spark, sf_dir, 0)
+
+
+def train_tanh_layer(spark, sf_dir):
+    """The same with a dense layer of eight units that learns below the head."""
+    return _trained(spark, sf_dir, 8)
+
+
 def curate_corpus(spark, sf_dir):
     """Rate the documents listed in `labels`, train on the ratings, score and filter all documents."""
     docs = _corpus(spark, sf_dir)
@@ -517,6 +539,8 @@ QUERIES: dict[str, Query] = {
         text_features,
         fit_score_head,
         select_best_head,
+        train_head_steps,
+        train_tanh_layer,
         curate_corpus,
     )
 }

@@ -136,6 +136,38 @@ scored AS (SELECT doc_id, source, score, {_int_score('score')} AS int_score FROM
 SELECT {columns} FROM scored WHERE {condition}"""
 
 
+def _steps(width: int) -> str:
+    """Gradient steps of a linear head from the sums of squares and products, the constant last; then the metrics."""
+    steps, every, rate = stand_ins.STEPS, stand_ins.EVALUATE_EVERY, stand_ins.RATE
+    product = f"list_sum([r[j] * w[j] FOR j IN generate_series(1, {width})])"
+    return f"""WITH RECURSIVE rated AS (SELECT vec_id AS doc_id, least(label, 5) AS y FROM embeddings), {_SPLIT},
+vectors AS (SELECT split, y, list_append([cast(e AS double) FOR e IN embedding], 1.0) AS x FROM embeddings JOIN divided ON vec_id = doc_id),
+cells AS (SELECT i, j, sum(x[i] * x[j]) AS v FROM vectors, generate_series(1, {width}) AS a(i), generate_series(1, {width}) AS b(j)
+  WHERE split = 'train' GROUP BY i, j),
+gram AS (SELECT list(line ORDER BY i) AS g FROM (SELECT i, list(v ORDER BY j) AS line FROM cells GROUP BY i)),
+sums AS (SELECT count(*) AS n, sum(cast(y AS double) * y) AS yy FROM vectors WHERE split = 'train'),
+aims AS (SELECT list(v ORDER BY i) AS c FROM (SELECT i, sum(x[i] * y) AS v FROM vectors, generate_series(1, {width}) AS a(i)
+  WHERE split = 'train' GROUP BY i)),
+walk AS (SELECT 0 AS k, cast(NULL AS double) AS loss, list_transform(range({width}), lambda i: cast(0 AS double)) AS w,
+    list_transform(range({width}), lambda i: cast(0 AS double)) AS m, list_transform(range({width}), lambda i: cast(0 AS double)) AS v
+  UNION ALL SELECT k + 1, loss, [w[i] - {rate} * (1 - k / cast({steps} AS double)) * (m[i] / (1 - pow(0.9, k + 1)))
+      / (sqrt(v[i] / (1 - pow(0.999, k + 1))) + 1e-8) FOR i IN generate_series(1, {width})], m, v
+  FROM (SELECT k, w, loss, [0.9 * m[i] + 0.1 * s[i] FOR i IN generate_series(1, {width})] AS m,
+      [0.999 * v[i] + 0.001 * s[i] * s[i] FOR i IN generate_series(1, {width})] AS v
+    FROM (SELECT k, w, m, v, [2 * (aw[i] - c[i]) / n FOR i IN generate_series(1, {width})] AS s,
+        list_sum([w[i] * (aw[i] - 2 * c[i]) FOR i IN generate_series(1, {width})]) / n + yy / n AS loss
+      FROM (SELECT *, [{product} FOR r IN g] AS aw FROM walk, gram, aims, sums WHERE k < {steps})))),
+pairs AS (SELECT k, y, cast(round_even(least(greatest(list_sum([x[i] * w[i] FOR i IN generate_series(1, {width})]), 0), 5), 0) AS int) AS pred
+  FROM walk, vectors WHERE split = 'test' AND k > 0 AND (k % {every} = 0 OR k = {steps})),
+sides AS (SELECT k, y AS class, 1 AS support, 0 AS predicted, cast(y = pred AS int) AS hits FROM pairs
+  UNION ALL SELECT k, pred, 0, 1, 0 FROM pairs),
+kinds AS (SELECT k, class, sum(support) AS support, sum(predicted) AS predicted, cast(sum(hits) AS double) AS hits FROM sides GROUP BY k, class),
+board AS (SELECT k, avg(CASE WHEN predicted = 0 THEN 0 ELSE hits / predicted END) AS p, avg(CASE WHEN support = 0 THEN 0 ELSE hits / support END) AS r,
+  avg(2 * hits / (support + predicted)) AS f, sum(hits) / sum(support) AS a FROM kinds GROUP BY k)
+SELECT k AS step, round(loss, 6) AS loss, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1_macro, round(a, 6) AS accuracy,
+  row_number() OVER (ORDER BY round(f, 12) DESC, k) = 1 AS best FROM board JOIN walk USING (k)"""
+
+
 # Ridge on centred data: the penalty on a coefficient is scaled by its feature's variance and by
 # the standard deviation of the label.
 _RIDGE = f"""WITH RECURSIVE rated AS (SELECT vec_id AS doc_id, least(label, 5) AS y FROM embeddings), {_SPLIT},
@@ -280,6 +312,7 @@ SELECT report AS dataset, kind, tag, n, round(cast(n * 100.0 / sum(n) OVER (PART
         _JUDGED_RATINGS, "double", _SCORED_COLUMNS, f"int_score >= {stand_ins.THRESHOLD}"
     ),
     "select_best_head": _RIDGE,
+    "train_head_steps": _steps(65),
     "fit_score_head": f"""WITH RECURSIVE design AS (SELECT vec_id, least(label, 5) AS class, cast(least(label, 5) AS double) AS y,
   list_concat([cast(1 AS double)], [cast(e AS double) FOR e IN embedding]) AS x FROM embeddings),
 {_least_squares(65)}

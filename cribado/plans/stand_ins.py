@@ -70,6 +70,9 @@ TEXT_FEATURES = ["ln(1 + length(text)) / 8"] + [
     f"(length(text) - length(replace(text, '{c}', ''))) / cast(greatest(length(text), 1) AS double)" for c in LETTERS
 ]
 
+# A short training, to be checked step by step.
+STEPS, EVALUATE_EVERY, RATE = 24, 6, 0.05
+
 RIDGE_GRID = (0.0, 0.01, 0.1, 1.0)
 
 ENCODER_TOKENS = 512
