@@ -7,7 +7,6 @@ instead of the bucketed split, one pass per tag instead of added-up counts.
 from __future__ import annotations
 
 from cribado.functions import fixed
-from cribado.functions.responses import unicode_classes
 from cribado.plans import stand_ins
 
 
@@ -16,9 +15,12 @@ def _literal(value: str) -> str:
 
 
 _SPACES = _literal(fixed.SPACE_CHARS)
-_RATING = _literal(unicode_classes(fixed.RATING_PATTERN))
-_DOMAIN = _literal(unicode_classes(fixed.DOMAIN_PATTERN))
-_USE_CASE = _literal(unicode_classes(fixed.USE_CASE_PATTERN))
+# The response patterns in RE2's own words: letters, numbers and the underscore; the white space that texts hold.
+_W, _S = r"[\pL\pN_]", r"[\t\n\x0b\f\r\x1c-\x1f \x85\xa0]"
+_LIST = f"({_W}+(?:{_S}{_W}+)*(?:,{_S}*{_W}+(?:{_S}{_W}+)*)*)"
+_RATING = _literal(rf"PUNTUACIÓN EDUCATIVA(?:{_S}|:)*([0-9.]+)")
+_DOMAIN = _literal(rf"DOMINIO(?:{_S}|:)*{_LIST}\n")
+_USE_CASE = _literal(rf"CASOS DE USO(?:{_S}|:)*{_LIST}")
 _TEMPLATE = _literal(stand_ins.RATING_TEMPLATE)
 _PLACEHOLDER = _literal(fixed.PLACEHOLDER)
 _MODEL = _literal(stand_ins.MODEL_PATH.rsplit("/", 1)[-1])

@@ -16,14 +16,17 @@ RATING_TEMPLATE = (
     'Termine con "PUNTUACIÓN EDUCATIVA: <puntos>"'
 )
 
-RATING_RESPONSE = """CASE
-  WHEN doc_id % 13 = 5 THEN 'Sin formato'
-  WHEN doc_id % 13 = 6 THEN 'PUNTUACIÓN EDUCATIVA: **4**'
-  WHEN doc_id % 29 = 3 THEN 'PUNTUACIÓN EDUCATIVA: .5'
+# What a model would say about the text before its verdict: here the text's own beginning.
+REMARK = "substr(coalesce(text, ''), 1, 200)"
+
+RATING_RESPONSE = f"""CASE
+  WHEN doc_id % 13 = 5 THEN {REMARK}
+  WHEN doc_id % 13 = 6 THEN concat({REMARK}, 'PUNTUACIÓN EDUCATIVA: **4**')
+  WHEN doc_id % 29 = 3 THEN concat({REMARK}, 'PUNTUACIÓN EDUCATIVA: .5')
   WHEN doc_id % 29 = 4 THEN 'PUNTUACIÓN EDUCATIVA: 12/5'
-  ELSE concat('Breve justificación.', chr(10), 'PUNTUACIÓN EDUCATIVA: ',
+  ELSE concat({REMARK}, chr(10), 'PUNTUACIÓN EDUCATIVA: ',
     cast(cast(floor(((doc_id*7+n_chars) % 60)/10) AS int) AS string), '.',
-    cast((doc_id*7+n_chars) % 10 AS string)) END"""
+    cast((doc_id*7+n_chars) % 10 AS string), ' ', {REMARK}) END"""
 
 STORED_RESPONSE = """concat('Breve justificación.', chr(10), 'PUNTUACIÓN EDUCATIVA: ',
     cast(quality * 4 + toxic AS string))"""
@@ -35,25 +38,30 @@ SCORE = "((doc_id*31+n_chars) % 29 - 2) / cast(4 AS double)"
 
 DATASET = "CASE WHEN source='src7' THEN 'src7-toxicity' ELSE source END"
 
-LABEL_RESPONSE = """CASE doc_id % 9
-  WHEN 0 THEN concat('DOMINIO: Salud, Educación', chr(10), 'CASOS DE USO: Telemedicina, Educación Médica')
-  WHEN 1 THEN concat('DOMINIO: Soporte al Cliente', chr(10),
-    'CASOS DE USO: Servicios Financieros, E-commerce, Telecomunicaciones')
+# Words of the text: a plain one, one with any letters, and the text after its first letters.
+PLAIN_WORD = "regexp_extract(coalesce(text, ''), '[a-z]{4,}', 0)"
+ANY_WORD = "regexp_extract(coalesce(text, ''), '[a-zß-ÿ]{5,}', 0)"
+PIECES = [f"substr(coalesce(text, ''), {start}, {length})" for start, length in ((1, 12), (13, 30), (50, 60))]
+
+LABEL_RESPONSE = f"""CASE doc_id % 9
+  WHEN 0 THEN concat('DOMINIO: Apicultura, ', {PLAIN_WORD}, chr(10), 'CASOS DE USO: Censo de colmenas, ', {ANY_WORD})
+  WHEN 1 THEN concat('DOMINIO: Relojería', chr(10),
+    'CASOS DE USO: Ajuste de péndulos, E-commerce, ', {PLAIN_WORD})
   WHEN 2 THEN concat('DOMINIO: Sin coincidencia', chr(10), 'CASOS DE USO: Sin coincidencia')
-  WHEN 3 THEN concat('DOMINIO: Legal.', chr(10), 'CASOS DE USO: Redacción de Documentos')
-  WHEN 4 THEN concat('DOMINIO: Tecnología', chr(10), 'CASOS DE USO: Ayuda en Programación, Soporte Técnico')
-  WHEN 5 THEN concat('DOMINIO: Educación', chr(10), 'CASOS DE USO: Tutoría STEM, Tutoría STEM')
-  WHEN 6 THEN concat('DOMINIO: Legal, Salud', chr(10), 'CASOS DE USO: Sin coincidencia')
-  WHEN 7 THEN concat('DOMINIO: Agricultura', chr(10), 'CASOS DE USO: Precios de Mercado')
-  ELSE 'texto libre' END"""
+  WHEN 3 THEN concat('DOMINIO: Faros.', chr(10), 'CASOS DE USO: ', {ANY_WORD})
+  WHEN 4 THEN concat({PIECES[2]}, 'DOMINIO: ', {ANY_WORD}, chr(10), 'CASOS DE USO: ', {PIECES[1]})
+  WHEN 5 THEN concat('DOMINIO: ', {PIECES[0]}, chr(10), 'CASOS DE USO: Mapas de mareas, Mapas de mareas')
+  WHEN 6 THEN concat('DOMINIO: Faros, Apicultura', chr(10), 'CASOS DE USO: Sin coincidencia')
+  WHEN 7 THEN concat('DOMINIO: Encuadernación, ', {ANY_WORD}, chr(10), 'CASOS DE USO: ', {PIECES[1]}, ', ', {PLAIN_WORD})
+  ELSE {PIECES[2]} END"""
 
 MIXED_PATH = "concat(source, CASE WHEN doc_id % 2 = 0 THEN '-toxicity' ELSE '' END)"
 TAXONOMY = [
-    ("domain", "Salud"),
-    ("domain", "Legal"),
-    ("domain", "Jardinería"),
-    ("use_case", "Telemedicina"),
-    ("use_case", "Tutoría STEM"),
+    ("domain", "Apicultura"),
+    ("domain", "Faros"),
+    ("domain", "Vidrieras"),
+    ("use_case", "Censo de colmenas"),
+    ("use_case", "Mapas de mareas"),
     ("use_case", "Calendario de riego"),
 ]
 
