@@ -425,7 +425,8 @@ def text_features(spark, sf_dir):
     stages = text_stages("text", num_features=64)
     for index, stage in enumerate(stages):
         stages[index] = stage.fit(apply_stages(stages[:index], docs)) if hasattr(stage, "fit") else stage
-    return apply_stages(stages, docs).select("doc_id", vector_to_array(FEATURES).alias("features"))
+    rounded = F.transform(vector_to_array(FEATURES), lambda x: F.round(x, 6))
+    return apply_stages(stages, docs).select("doc_id", rounded.alias("features"))
 
 
 def _vectors(spark, sf_dir) -> DataFrame:

@@ -170,6 +170,41 @@ SELECT k AS step, round(loss, 6) AS loss, round(p, 6) AS precision, round(r, 6)
   row_number() OVER (ORDER BY round(f, 12) DESC, k) = 1 AS best FROM board JOIN walk USING (k)"""
 
 
+#: The hash behind hashed text features: Murmur3 of 32 bits over UTF-8, in whole numbers of 128 bits.
+_WHOLE = 1 << 32
+
+
+def _turned(x: str, bits: int) -> str:
+    return f"({x} * {1 << bits} % {_WHOLE} + {x} // {1 << (32 - bits)})"
+
+
+def _text_features(places: int) -> str:
+    block = "list_transform({0}, lambda k: k * 3432918353 % {1})".format("{}", _WHOLE)
+    mixed = "list_transform({}, lambda k: " + f"{_turned('k', 15)} * 461845907 % {_WHOLE})"
+    body = f"({_turned('xor(h, k)', 13)} * 5 + 3864292196) % {_WHOLE}"
+    return f"""WITH tokens AS (
+  SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN_]+'), lambda w: w <> '')) AS w FROM documents),
+words AS (SELECT w, hex(encode(w)) AS x, octet_length(encode(w)) AS n FROM (SELECT DISTINCT w FROM tokens)),
+parts AS (SELECT w, n,
+  [cast(concat('0x', x[8*i+7:8*i+8], x[8*i+5:8*i+6], x[8*i+3:8*i+4], x[8*i+1:8*i+2]) AS hugeint) FOR i IN range(n // 4)] AS blocks,
+  coalesce(list_sum([cast(concat('0x', x[2*i+1:2*i+2]) AS hugeint) * cast(pow(256, i % 4) AS hugeint) FOR i IN range(4 * (n // 4), n)]), 0) AS tail
+  FROM words),
+summed AS (SELECT w, n, list_reduce({mixed.format(block.format('blocks'))}, lambda h, k: {body}, cast(42 AS hugeint)) AS h,
+  {mixed.format(block.format('[cast(tail AS hugeint)]'))}[1] AS t FROM parts),
+last1 AS (SELECT w, xor(xor(h, t), cast(n AS hugeint)) AS h FROM summed),
+last2 AS (SELECT w, xor(h, h // 65536) * 2246822507 % {_WHOLE} AS h FROM last1),
+last3 AS (SELECT w, xor(h, h // 8192) * 3266489909 % {_WHOLE} AS h FROM last2),
+hashed AS (SELECT w, cast(xor(h, h // 65536) % {places} AS int) AS place FROM last3),
+counts AS (SELECT doc_id, place, count(*) AS n FROM tokens JOIN hashed USING (w) GROUP BY ALL),
+weights AS (SELECT place, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM counts GROUP BY place),
+weighted AS (SELECT doc_id, place, n * idf AS v FROM counts JOIN weights USING (place)),
+norms AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM weighted GROUP BY doc_id),
+filled AS (SELECT doc_id, map_from_entries(list((place, CASE WHEN norm > 0 THEN v / norm ELSE v END))) AS m
+  FROM weighted JOIN norms USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, [round(coalesce(m[i], 0), 6) + 0 FOR i IN range({places})] AS features
+FROM documents d LEFT JOIN filled USING (doc_id)"""
+
+
 # Ridge on centred data: the penalty on a coefficient is scaled by its feature's variance and by
 # the standard deviation of the label.
 _RIDGE = f"""WITH RECURSIVE rated AS (SELECT vec_id AS doc_id, least(label, 5) AS y FROM embeddings), {_SPLIT},
@@ -314,6 +349,7 @@ SELECT report AS dataset, kind, tag, n, round(cast(n * 100.0 / sum(n) OVER (PART
         _JUDGED_RATINGS, "double", _SCORED_COLUMNS, f"int_score >= {stand_ins.THRESHOLD}"
     ),
     "select_best_head": _RIDGE,
+    "text_features": _text_features(64),
     "train_head_steps": _steps(65),
     "fit_score_head": f"""WITH RECURSIVE design AS (SELECT vec_id, least(label, 5) AS class, cast(least(label, 5) AS double) AS y,
   list_concat([cast(1 AS double)], [cast(e AS double) FOR e IN embedding]) AS x FROM embeddings),

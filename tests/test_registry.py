@@ -12,7 +12,6 @@ SF = str(DATA / "sf0.01")
 WITH_SQL = sorted(registry.ORACLE)
 WITHOUT_SQL = {
     "score_corpus": ["doc_id", "source", "score", "int_score"],
-    "text_features": ["doc_id", "features"],
     "train_tanh_layer": ["accuracy", "best", "f1_macro", "loss", "precision", "recall", "step"],
 }
 
