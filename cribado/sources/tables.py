@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,7 @@ LABEL_RECORD = T.StructType([T.StructField("domains", T.StringType()), T.StructF
 
 
 def read_shards(spark: SparkSession, *paths: str, pattern: str = "*.parquet") -> DataFrame:
-    """All Parquet shards of the folders as one table."""
+    """All Parquet shards of the folders as one table; `pattern` is held against names of files, not of folders."""
     return spark.read.option("pathGlobFilter", pattern).parquet(*paths)
 
 
@@ -29,6 +29,21 @@ def with_provenance(df: DataFrame) -> DataFrame:
     return df.select("*", *fields)
 
 
+def with_shard_provenance(rows: DataFrame, shard: Column) -> DataFrame:
+    """Rows `with_provenance` by shards, each one file or a folder of part files: `file_name` becomes the name `shard`, an
+    expression of `file_path`, and `row_index` the row's position in the shard, whose parts follow each other by path.
+
+    Part files are counted by their footers; their counts, a row per file, are broadcast.
+    """
+    parts = rows.groupBy("file_path").agg(F.count("*").alias("part_rows"))
+    parts = parts.select(F.col("file_path").alias("part_path"), shard.alias("part_shard"), "part_rows")
+    earlier = Window.partitionBy("part_shard").orderBy("part_path").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("part_start", F.coalesce(F.sum("part_rows").over(earlier), F.lit(0)))
+    placed = rows.join(F.broadcast(parts), F.col("file_path") == F.col("part_path"))
+    placed = placed.withColumns({"file_name": F.col("part_shard"), "row_index": F.col("row_index") + F.col("part_start")})
+    return placed.drop(*parts.columns)
+
+
 def _holds(column: str, operator: str, value) -> Column:
     c = F.col(column)
     compared = {"=": c.__eq__, "<": c.__lt__, "<=": c.__le__, ">": c.__gt__, ">=": c.__ge__, "in": c.isin}

@@ -4,6 +4,7 @@ import json
 import os
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from cribado.operators import labels
 from cribado.operators.scoring import quantize
 from cribado.operators.selection import filter_counts, keep_by_score
 from cribado.operators.shards import pending_shards
+from cribado.plans import catalog
 from cribado.sources import json_results, sinks, tables
 
 
@@ -202,6 +204,33 @@ def test_provenance_and_union(spark, tmp_path):
     assert all(r.file_name.endswith(".parquet") and r.file_path.endswith(r.file_name) for r in rows) and len(rows) == 3
 
 
+@pytest.mark.parametrize("parts", [["documents.parquet"], ["documents.parquet/part-0000.parquet", "documents.parquet/part-0001.parquet", "documents.parquet/part-0002"]])
+def test_scan_of_a_shard_in_one_file_or_in_parts(spark, tmp_path, parts):
+    ids = [[0, 1, 2, 3], [4, None], [6, 6, 8]] if len(parts) > 1 else [[0, 1, 2, 3, 4, None, 6, 6, 8]]
+    folder = tmp_path / "with space"
+    for part, doc_ids in zip(parts, ids):
+        os.makedirs((folder / part).parent, exist_ok=True)
+        table = pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "text": ["t"] * len(doc_ids), "source": [f"s{i}" if i else None for i in doc_ids]})
+        pq.write_table(table, str(folder / part), row_group_size=2)
+    pq.write_table(pa.table({"doc_id": [99]}), str(folder / "pages.parquet"))
+    df = catalog.scan_with_provenance(spark, str(folder))
+    expected = [(i, f"s{i}" if i else None, "documents.parquet", at) for at, i in enumerate([0, 1, 2, 3, 4, None, 6, 6, 8])]
+    assert df.columns == ["doc_id", "source", "file_name", "row_index"]
+    assert sorted((tuple(r) for r in df.collect()), key=lambda r: r[3]) == expected
+    assert "text:string" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_positions_in_several_shards(spark, tmp_path):
+    for name, first, n in (("a.parquet/0.parquet", 0, 3), ("a.parquet/1.parquet", 3, 2), ("b.parquet/0.parquet", 0, 4), ("b.parquet/1.parquet", 4, 1)):
+        os.makedirs((tmp_path / name).parent, exist_ok=True)
+        pq.write_table(pa.table({"id": range(first, first + n)}), str(tmp_path / name))
+    rows = tables.with_provenance(tables.read_shards(spark, str(tmp_path / "a.parquet"), str(tmp_path / "b.parquet")))
+    placed = tables.with_shard_provenance(rows, F.element_at(F.split("file_path", "/"), -2))
+    assert placed.columns == rows.columns
+    found = sorted((r.file_name, r.row_index, r.id, r.file_path.endswith(f"{r.file_name}/{int(r.id > 2 + (r.file_name > 'b'))}.parquet")) for r in placed.collect())
+    assert found == [(s, i, i, True) for s in ("a.parquet", "b.parquet") for i in range(5)]
+
+
 def test_scored_folder_is_pruned_by_threshold(spark, tmp_path):
     scored = quantize(spark.range(60).select("id", (F.col("id") / 10).alias("score")))
     path = str(tmp_path / "scored")
